@@ -58,7 +58,7 @@ def fold_metrics(scored: DataFrame, fold: str = "fold", **names) -> DataFrame:
         aggs += [
             F.avg(m).alias(f"{m}_mean"),
             F.stddev_pop(m).alias(f"{m}_std"),
-            F.transform(ordered, lambda s, m=m: s[m]).alias(f"{m}_splits"),
+            ordered.getField(m).alias(f"{m}_splits"),
         ]
     return per_fold.agg(*aggs)
 

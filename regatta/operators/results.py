@@ -9,7 +9,7 @@ from regatta.columns import col, require_columns
 from regatta.functions import formatting, params
 from regatta.operators.clean import select_present
 from regatta.operators.quantiles import grouped_quantiles
-from regatta.operators.ranking import metric_order, rank_results, without_nan
+from regatta.operators.ranking import metric_order, without_nan
 
 # The results view's columns, in order.
 VIEW_COLUMNS = [
@@ -165,9 +165,3 @@ def filter_log(
         out = out.where(value.contains(text if case_sensitive else text.lower()))
     return out.orderBy(*[col(o) for o in order])
 
-
-__all__ = [
-    "kpis", "family_box", "family_median", "family_points", "sort_results", "filter_name",
-    "filter_target", "results_view", "best_row", "split_table", "best_params", "tail_lines",
-    "filter_log", "rank_results",
-]

@@ -96,86 +96,107 @@ def yeo_johnson_inverse(t: Column, power: float) -> Column:
     return F.when(t >= 0, positive).otherwise(negative)
 
 
-def yeo_johnson_scores(
-    df: DataFrame, target: str, powers: list[float], where: dict[str, Column] | None = None
-) -> dict[str, list[tuple[float, float, float, float]]]:
-    """``(power, log-likelihood, mean, deviation)`` of every power, in one pass.
-
-    ``where`` names row subsets (such as training folds) scored in the same pass.
-    """
-    where = where or {"all": F.lit(True)}
-    y = col(target).cast("double")
-    aggs = []
-    for s, (_, condition) in enumerate(where.items()):
-        kept = F.when(condition, y)
-        aggs.append(F.count(kept).alias(f"n{s}"))
-        aggs.append(F.sum(F.signum(kept) * F.log1p(F.abs(kept))).alias(f"j{s}"))
-        for i, p in enumerate(powers):
-            t = F.when(condition, yeo_johnson(y, p))
-            aggs += [F.var_pop(t).alias(f"v{s}_{i}"), F.avg(t).alias(f"m{s}_{i}")]
-    row = df.agg(*aggs).first()
-    out = {}
-    for s, name in enumerate(where):
-        n, jacobian = row[f"n{s}"], row[f"j{s}"]
-        scored = []
-        for i, p in enumerate(powers):
-            variance = row[f"v{s}_{i}"]
-            if variance and variance > 0:
-                value = -n / 2 * log(variance) + (p - 1) * jacobian
-                scored.append((p, value, row[f"m{s}_{i}"], sqrt(variance)))
-        if not scored:
-            raise ValueError("the target is constant")
-        out[name] = scored
+def _power_sql(power: float) -> str:
+    """The transform of a column ``y`` as SQL text: grids of many powers build faster so."""
+    up = "ln(1 + y)" if abs(power) < 1e-12 else f"(pow(y + 1, {power!r}D) - 1) / {power!r}D"
+    rest = 2 - power
+    down = "-ln(1 - y)" if abs(rest) < 1e-12 else f"-(pow(1 - y, {rest!r}D) - 1) / {rest!r}D"
+    return f"CASE WHEN y >= 0 THEN {up} ELSE {down} END"
+
+
+def yeo_johnson_table(
+    df: DataFrame, target: str, powers: list[float], by: str | None = None
+) -> DataFrame:
+    """``g, power, n, jacobian, mean, variance, loglik`` of every power, in one pass."""
+    y = F.col("y")
+    group = (F.col(by) if by else F.lit(0)).alias("g")
+    base = df.where(col(target).isNotNull()).select(group, col(target).cast("double").alias("y"))
+    # one short aggregate over (power, value) pairs compiles and runs faster than a wide one
+    pairs = ", ".join(f"struct({p!r}D AS power, {_power_sql(p)} AS t)" for p in powers)
+    moments = (
+        base.select("g", (F.signum(y) * F.log1p(F.abs(y))).alias("j"), F.expr(f"inline(array({pairs}))"))
+        .groupBy("g", "power")
+        .agg(F.count("*").alias("n"), F.sum("j").alias("jacobian"),
+             F.avg("t").alias("mean"), F.var_pop("t").alias("variance"))
+    )
+    loglik = F.col("n") / -2 * F.ln("variance") + (F.col("power") - 1) * F.col("jacobian")
+    return moments.withColumn("loglik", loglik)
+
+
+def yeo_johnson_moments(
+    df: DataFrame, target: str, powers: list[float], by: str | None = None
+) -> dict:
+    """Per group ``(count, jacobian, [(mean, squared deviations) per power])``."""
+    out: dict = {}
+    rows = yeo_johnson_table(df, target, powers, by).collect()
+    for r in sorted(rows, key=lambda r: r["power"]):
+        n, j, moments = out.setdefault(r["g"], (r["n"], r["jacobian"], []))
+        moments.append((r["mean"], r["variance"] * n))
     return out
 
 
-def fit_yeo_johnson(
-    df: DataFrame, target: str, where: dict[str, Column] | None = None
-) -> dict[str, TargetTransform]:
-    """Maximum-likelihood power per subset: two grids, then the vertex of a parabola.
+def _merged(groups: list[tuple]) -> tuple:
+    """Moments of several groups together."""
+    n = sum(g[0] for g in groups)
+    moments = []
+    for at in range(len(groups[0][2])):
+        mean = sum(g[0] * g[2][at][0] for g in groups) / n
+        moments.append((mean, sum(g[2][at][1] + g[0] * (g[2][at][0] - mean) ** 2 for g in groups)))
+    return n, sum(g[1] for g in groups), moments
+
+
+def _likelihood(n: int, jacobian: float, power: float, squares: float) -> float:
+    return -n / 2 * log(squares / n) + (power - 1) * jacobian if squares > 0 else float("-inf")
 
-    Every round is one pass for all subsets together.
-    """
-    where = where or {"all": F.lit(True)}
-    centers = {name: 1.0 for name in where}
-    for step, half in ((0.5, 8), (0.05, 12), (0.005, 12)):
-        best: dict[str, tuple] = {}
-        for name, scored in _grid(df, target, where, centers, step, half).items():
-            top = max(range(len(scored)), key=lambda i: scored[i][1])
-            best[name] = (top, scored)
-        centers = {name: scored[top][0] for name, (top, scored) in best.items()}
-    for name, (top, scored) in best.items():
-        if 0 < top < len(scored) - 1:
-            (a, fa, *_), (b, fb, *_), (c, fc, *_) = scored[top - 1 : top + 2]
-            bend = fa - 2 * fb + fc
-            if bend < 0:
-                centers[name] = b + 0.5 * (fa - fc) / bend * (b - a)
-    return {
-        name: TargetTransform("yeo-johnson", p, mean, std)
-        for name, ((p, _, mean, std),) in _grid(df, target, where, centers, 0.0, 0).items()
-    }
 
+def fit_yeo_johnson(df: DataFrame, target: str, by: str | None = None) -> dict:
+    """Maximum-likelihood power: two grids, then the vertex of a parabola.
 
-def _grid(df, target, where, centers, step, half):
-    """Score the grid around each subset's own centre, equal grids in one pass."""
+    With ``by`` there is one transform per group, learnt from all the *other* groups (the
+    training rows of that fold), and ``"all"``; the moments of a complement come from the
+    groups' own, so every round stays one pass.
+    """
+    centers: dict = {}
+    names: list = ["all"]
+    for step, half in ((0.5, 8), (0.05, 12), (0.005, 12)):
+        middles = sorted(set(centers.values())) or [1.0]
+        powers = sorted({round(m + step * i, 9) for m in middles for i in range(-half, half + 1)})
+        found = yeo_johnson_moments(df, target, powers, by)
+        if by:
+            names = [*sorted(found), "all"]
+        for name in names:
+            n, j, moments = _merged([g for k, g in found.items() if k != name])
+            scores = [_likelihood(n, j, p, sq) for p, (_, sq) in zip(powers, moments)]
+            top = max(range(len(powers)), key=scores.__getitem__)
+            if scores[top] == float("-inf"):
+                raise ValueError("the target is constant")
+            centers[name] = powers[top]
+            if step == 0.005 and 0 < top < len(powers) - 1:
+                low, mid, high = scores[top - 1], scores[top], scores[top + 1]
+                bend = low - 2 * mid + high
+                if bend < 0:
+                    centers[name] += 0.5 * (low - high) / bend * step
+    powers = sorted(set(centers.values()))
+    found = yeo_johnson_moments(df, target, powers, by)
     out = {}
-    for center in sorted(set(centers.values())):
-        names = [n for n, c in centers.items() if c == center]
-        powers = [center + step * i for i in range(-half, half + 1)]
-        out.update(yeo_johnson_scores(df, target, powers, {n: where[n] for n in names}))
+    for name in names:
+        n, _, moments = _merged([g for k, g in found.items() if k != name])
+        mean, squares = moments[powers.index(centers[name])]
+        out[name] = TargetTransform("yeo-johnson", centers[name], mean, sqrt(squares / n))
     return out
 
 
-def fit_target_transform(
-    df: DataFrame, target: str, kind: str, where: dict[str, Column] | None = None
-) -> dict[str, TargetTransform]:
-    """One fitted transform per named row subset; the log form needs targets above -1."""
+def fit_target_transform(df: DataFrame, target: str, kind: str, by: str | None = None) -> dict:
+    """The transform of all rows under ``"all"`` and, with ``by``, one per group that was
+    learnt without that group; the log form needs targets above -1."""
     check_transform(kind)
-    where = where or {"all": F.lit(True)}
     if kind == "yeo-johnson":
-        return fit_yeo_johnson(df, target, where)
+        return fit_yeo_johnson(df, target, by)
     if kind == "log":
         lowest = df.agg(F.min(col(target).cast("double"))).first()[0]
         if lowest is not None and lowest <= -1:
             raise ValueError("the log transform needs every target above -1")
-    return {name: TargetTransform(kind) for name in where}
+    out: dict = {"all": TargetTransform(kind)}
+    if by:
+        out.update({r[0]: TargetTransform(kind) for r in df.select(by).distinct().collect()})
+    return out
