@@ -69,6 +69,3 @@ def mutual_info_binned(
 def _c_ln_c(name: str) -> Column:
     return F.col(name) * F.ln(F.col(name))
 
-
-def mutual_info_neighbours(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    raise NotImplementedError

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import chunks, col, require_columns
-from regatta.operators.mutual_info import mutual_info_binned, mutual_info_neighbours
+from regatta.operators.mutual_info import mutual_info_binned
+from regatta.operators.neighbours import mutual_info_neighbours
 
 FEATURES_PER_JOB = 100
 SCORE_SCHEMA = "feature string, ordinal int, score double"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_regatta_shipped", False):
+        return
+    here = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="regatta-package-")) / "regatta.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._regatta_shipped = True
