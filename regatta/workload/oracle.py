@@ -39,7 +39,7 @@ def test_sql(keys: list[str], seed: int) -> str:
 
 
 DAMAGED = f"""SELECT {LK}, l_quantity, l_discount, l_tax,
-  CASE WHEN l_partkey % 7 = 0 OR l_partkey % 11 = 0 THEN NULL ELSE l_extendedprice END AS price,
+  CASE WHEN l_partkey % 7 = 0 OR l_partkey % 23 = 0 THEN NULL ELSE l_extendedprice END AS price,
   CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE l_returnflag END AS flag, l_linestatus
 FROM lineitem"""
 
@@ -197,6 +197,28 @@ def neighbour_information(feature: str, ordinal: int) -> str:
       FROM c JOIN h hx ON hx.m = c.nx JOIN h hy ON hy.m = c.ny) AS score"""
 
 
+def stump(source: str, feature: str, y: str) -> str:
+    """The best two-way split: ``cut`` (left is <= cut) and the means of both sides."""
+    return f"""SELECT v AS cut, nl_sum / nl AS low, (t - nl_sum) / (n - nl) AS high FROM (
+        SELECT v, sum(c) OVER (ORDER BY v) AS nl, sum(s) OVER (ORDER BY v) AS nl_sum,
+          sum(c) OVER () AS n, sum(s) OVER () AS t FROM (
+          SELECT {feature} AS v, count(*) AS c, sum({y}) AS s FROM ({source}) GROUP BY {feature}))
+      WHERE nl < n ORDER BY nl_sum * nl_sum / nl + (t - nl_sum) * (t - nl_sum) / (n - nl) DESC, v LIMIT 1"""
+
+
+STUMP_1 = f"""SELECT s.*, CASE WHEN l_quantity <= cut THEN low ELSE high END AS f1
+  FROM ({SCORED}) s, ({stump(SCORED, 'l_quantity', 'y')})"""
+
+ONE_FEATURE = f"""SELECT *, {test_sql(LINE_KEYS, 42)} AS is_test, {fold_sql(LINE_KEYS, 42, 5)} AS fold FROM (
+  SELECT {LK}, l_quantity AS x, y, row_number() OVER (PARTITION BY l_quantity, y ORDER BY {LK}) AS rn
+  FROM ({SCORED})) WHERE rn = 1"""
+
+
+def part_metrics(source: str) -> str:
+    return f"""SELECT avg((label - prediction) * (label - prediction)) AS mse,
+      avg(abs(label - prediction)) AS mae, {R2} AS r2 FROM ({source})"""
+
+
 SVR_U = [unit_sql("o_orderkey", 9000 + i) for i in range(9)]
 XGB_U = [unit_sql("o_orderkey", 2000 + i) for i in range(12)]
 NN_U = [unit_sql("c_custkey", 4000 + i) for i in range(4)]
@@ -448,6 +470,28 @@ ORACLE: dict[str, str] = {
     "best_trial": """WITH t AS (SELECT CAST(o_orderkey AS INT) AS trial_id, floor(o_totalprice / 1000) AS s FROM orders)
         SELECT trial_id, s AS mse_mean, s AS r2_mean FROM t WHERE trial_id IN (
           (SELECT trial_id FROM t ORDER BY s, trial_id LIMIT 1), (SELECT trial_id FROM t ORDER BY s DESC, trial_id LIMIT 1))""",
+    "tree_shap_additivity": f"SELECT {RK}, CAST(0 AS DOUBLE) AS gap FROM lineitem WHERE {test_sql(LINE_KEYS, 42)}",
+    "forest_stump": f"SELECT {LK}, round(f1, 6) AS prediction FROM ({STUMP_1})",
+    "boosted_stumps": f"""WITH a AS (SELECT *, 2 * (y - f1) AS r FROM ({STUMP_1}))
+        SELECT {LK}, round(f1 + 0.5 * CASE WHEN l_quantity <= b.cut THEN b.low ELSE b.high END, 6) AS prediction
+        FROM a, ({stump('SELECT * FROM a', 'l_quantity', 'r')}) b""",
+    "extra_trees_groups": f"""SELECT {LK}, round(avg(y) OVER (PARTITION BY l_quantity > 25,
+        l_extendedprice < 40000, l_tax > 0.03), 6) AS prediction FROM ({SCORED})""",
+    "analysis_linear": f"""WITH d AS ({ONE_FEATURE}),
+        m AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b
+          FROM (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f JOIN d ON d.fold IS NOT NULL AND d.fold <> f.fold GROUP BY f.fold),
+        s AS (SELECT d.fold, y AS label, b + a * x AS prediction FROM d JOIN m ON d.fold = m.fold),
+        v AS (SELECT fold, avg((label - prediction) * (label - prediction)) AS mse,
+          avg(abs(label - prediction)) AS mae, {R2} AS r2 FROM s GROUP BY fold),
+        w AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM d WHERE NOT is_test),
+        p AS (SELECT is_test, y AS label, b + a * x AS prediction FROM d, w)
+        SELECT 'LR_Exp1_r2_1' AS model_id, 1 AS n_trials, c.*, tr.*, te.* FROM
+          (SELECT round(avg(mse), 6) AS "best_MSE", round(avg(mae), 6) AS "best_MAE", round(avg(r2), 6) AS "best_R2",
+            round(stddev_pop(r2), 6) AS "best_R2_STD" FROM v) c,
+          (SELECT round(mse, 6) AS "train_MSE", round(mae, 6) AS "train_MAE", round(r2, 6) AS "train_R2"
+            FROM ({part_metrics('SELECT * FROM p WHERE NOT is_test')})) tr,
+          (SELECT round(mse, 6) AS "test_MSE", round(mae, 6) AS "test_MAE", round(r2, 6) AS "test_R2"
+            FROM ({part_metrics('SELECT * FROM p WHERE is_test')})) te""",
     "flagship": f"""WITH d AS (SELECT * EXCLUDE (l_shipdate) FROM ({SCORED})),
         u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_quantity, l_extendedprice, l_discount,
           l_tax, l_returnflag, l_linestatus, y ORDER BY {LK}) AS rn FROM d) WHERE rn = 1),

@@ -54,7 +54,7 @@ def every(column: str, n: int, value, otherwise):
 def damaged_lineitem(spark, sf):
     """lineitem with infinities, NaN and error text, as a spreadsheet leaves them."""
     price = F.when(F.col("l_partkey") % 7 == 0, F.lit(float("inf"))).when(
-        F.col("l_partkey") % 11 == 0, F.lit(float("nan"))
+        F.col("l_partkey") % 23 == 0, F.lit(float("nan"))
     ).otherwise(F.col("l_extendedprice"))
     return table(spark, sf, "lineitem").select(
         *LINE_KEYS, "l_quantity", "l_discount", "l_tax", price.alias("price"),
@@ -898,9 +898,9 @@ def best_trial(spark, sf):
 # -- model families ------------------------------------------------------------------
 
 
-def model_table(spark, sf, k: int = 3) -> search.TrainingTable:
+def model_table(spark, sf, k: int = 3, keys=ROW_KEYS) -> search.TrainingTable:
     df = scored_lineitem(spark, sf).select(*ROW_KEYS, "l_quantity", "l_discount", "l_tax", "y")
-    split = sp.assign_folds(df, ROW_KEYS, k=k, seed=42)
+    split = sp.assign_folds(df, keys, k=k, seed=42)
     return search.TrainingTable(split, ["l_quantity", "l_discount", "l_tax"], "y", ROW_KEYS, k)
 
 
@@ -960,6 +960,67 @@ def tree_shap(spark, sf):
     return explain.shap_values(m, t.test, ROW_KEYS)
 
 
+@query
+def tree_shap_additivity(spark, sf):
+    """Shapley values and base against the boosted prediction, per test row."""
+    t = model_table(spark, sf, keys=LINE_KEYS)
+    p = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.5}
+    m = search.fit_model(t.train, t.features, t.target, "XGB", p, seed=1)
+    kept = [*ROW_KEYS, "prediction"]
+    parts = explain.additivity(explain.shap_values(m, m.predict(t.test), kept), kept)
+    gap = F.round(F.abs(F.col("prediction") - F.col("explained")), 6)
+    return parts.select(*ROW_KEYS, gap.alias("gap"))
+
+
+@query
+def forest_stump(spark, sf):
+    """One unbagged tree of depth one: the best split of a column with 50 values."""
+    df = scored_lineitem(spark, sf)
+    p = {"n_estimators": 1, "max_depth": 1, "bootstrap": False}
+    m = search.fit_model(df, ["l_quantity"], "y", "RF", p, seed=1)
+    return m.predict(df).select(*LINE_KEYS, F.round("prediction", 6).alias("prediction"))
+
+
+@query
+def boosted_stumps(spark, sf):
+    """Two boosting rounds of depth one at half the learning rate."""
+    df = scored_lineitem(spark, sf)
+    p = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.5, "min_child_weight": 1}
+    m = search.fit_model(df, ["l_quantity"], "y", "XGB", p, seed=1)
+    return m.predict(df).select(*LINE_KEYS, F.round("prediction", 6).alias("prediction"))
+
+
+@query
+def extra_trees_groups(spark, sf):
+    """Binary features: whatever the cuts, full trees end in the group means."""
+    df = scored_lineitem(spark, sf).withColumns(
+        {
+            "many": F.col("l_quantity") > 25, "cheap": F.col("l_extendedprice") < 40000,
+            "taxed": F.col("l_tax") > 0.03,
+        }
+    )
+    p = {"n_estimators": 3, "max_depth": 5, "bootstrap": False}
+    m = search.fit_model(df, ["many", "cheap", "taxed"], "y", "ET", p, seed=1)
+    return m.predict(df).select(*LINE_KEYS, F.round("prediction", 6).alias("prediction"))
+
+
+@query
+def analysis_linear(spark, sf):
+    """A whole stored analysis with one feature, checked to the last metric."""
+    df = scored_lineitem(spark, sf).select(*LINE_KEYS, "l_quantity", "l_tax", "y")
+    config = AnalysisConfig(
+        PrepareConfig("y", key_cols=tuple(LINE_KEYS), features_to_drop=("l_tax",)),
+        models=("LR",), metrics=("r2",), n_iter=1, k=5,
+    )
+    root = scratch(spark)
+    run_analysis(spark, df, config, root)
+    out = store.read_results(spark, root, 1)
+    names = [f"{p}_{m}" for p in ("best", "train", "test") for m in ("MSE", "MAE", "R2")]
+    return out.select(
+        "model_id", "n_trials", *[F.round(n, 6).alias(n) for n in [*names, "best_R2_STD"]]
+    )
+
+
 @query
 def cross_validate_forest(spark, sf):
     t = model_table(spark, sf)
