@@ -153,7 +153,8 @@ def search_space(family: str, overrides: dict[str, Domain] | None = None) -> tup
 def domain_table(spark: SparkSession) -> DataFrame:
     """Every domain as a row."""
     rows = [
-        (family, i, d.name, d.kind, float(d.low), float(d.high), d.step, d.log,
+        (family, i, d.name, d.kind, float(d.low), float(d.high),
+         None if d.step is None else float(d.step), d.log,
          [json.dumps(c) for c in d.choices], json.dumps(d.when) if d.when else None)
         for family, domains in SEARCH_SPACE.items()
         for i, d in enumerate(domains)
