@@ -100,13 +100,20 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
         at = (s.rank - s.below + 0.5) / s.size
         gap = 2.0 / ACCURACY
         levels = [max(0.0, at - gap), min(1.0, at), min(1.0, at + gap)]
-        sketches.append(
-            F.percentile_approx(F.when(s.inside(), s.value), levels, ACCURACY).alias(f"s{i}")
-        )
+        kept = F.when(s.inside(), s.value)
+        sketches += [
+            F.percentile_approx(kept, levels, ACCURACY).alias(f"s{i}"),
+            F.min(kept).alias(f"a{i}"),
+            F.max(kept).alias(f"b{i}"),
+        ]
     proposed = df.agg(*sketches).first()
     counts = []
     for i, s in enumerate(searches):
-        s.probes = sorted(set(proposed[f"s{i}"]))
+        low, high = proposed[f"a{i}"], proposed[f"b{i}"]
+        # The sketch works on doubles: its proposals for long integers are rounded, so the
+        # middle of the interval is probed too and every round makes progress.
+        middle = (low + high) // 2 if isinstance(low, int) else low / 2 + high / 2
+        s.probes = sorted({p for p in (*proposed[f"s{i}"], middle) if low <= p <= high})
         for j, probe in enumerate(s.probes):
             counts.append(F.count_if(s.inside() & (s.value < F.lit(probe))).alias(f"l{i}_{j}"))
             counts.append(F.count_if(s.value == F.lit(probe)).alias(f"e{i}_{j}"))
