@@ -236,8 +236,10 @@ def test_analysis_is_stored_repeatable_and_rebuilt(spark, tmp_path):
     assert set(rows) == {f"{m}_Exp1_{s}_1" for m in ("LR", "RF") for s in ("mse", "r2")}
     assert rows["LR_Exp1_mse_1"]["n_trials"] == 1 and rows["RF_Exp1_mse_1"]["n_trials"] == 2
     assert list(store.read_results(spark, root, 1).columns).count("exp") == 1
-    again = run_analysis(spark, df.repartition(5), config(models=("RF",), metrics=("mse",), n_features=2), None, 1)
-    assert abs(again.results.first()["best_MSE"] - rows["RF_Exp1_mse_1"]["best_MSE"]) < 1e-9 * rows["RF_Exp1_mse_1"]["best_MSE"]
+    # sums over rows do not depend on the layout (Spark's bagging does)
+    again = run_analysis(spark, df.repartition(5), config(n_features=2), None, 1).results.first()
+    for name in ("best_MSE", "train_MAE", "test_R2"):
+        assert abs(again[name] / rows["LR_Exp1_mse_1"][name] - 1) < 1e-9
     context = rebuild_context(spark, root, 1, df)
     assert context.features == run.table.features
     ids = lambda t: {r["id"] for r in t.test.select("id").collect()}
