@@ -31,14 +31,14 @@ def _group_distinct(df: DataFrame, compared: list[str], keys: list[str]) -> Data
 
 
 def drop_duplicate_rows(
-    df: DataFrame, keys: list[str] = (), strategy: str = "group"
+    df: DataFrame, keys: list[str] = (), strategy: str = "digest"
 ) -> DataFrame:
     """Distinct rows, comparing every column but ``keys``.
 
-    ``strategy="group"`` shuffles whole rows once. ``"digest"`` suits wide tables with few
-    duplicates: it shuffles 16-byte row digests, and only rows whose digest occurs twice are
-    then grouped on their real values, so a digest collision cannot remove a row. When the
-    repeated digests are too many to broadcast it falls back to ``"group"``.
+    ``"digest"`` shuffles 16-byte row digests; without repeated ones the rows stay where they
+    are, at the cost of one more scan. Only rows whose digest occurs twice are then grouped on
+    their real values, so a digest collision cannot remove a row. When the repeated digests
+    are too many to broadcast it falls back to ``"group"``, which shuffles whole rows once.
     """
     keys = list(keys)
     compared = [n for n in df.columns if n not in keys]

@@ -31,7 +31,7 @@ class PrepareConfig:
     categorical_fill: str = "median"  # numeric-coded categories: "median" or "mode"
     max_categories: int = 1000
     non_numeric: str = "error"  # undeclared text columns: "error", "drop" or "keep"
-    dedupe: str = "group"
+    dedupe: str = "digest"
     reuse: bool = False  # write the de-duplicated rows once before the passes over them
 
 
@@ -114,7 +114,7 @@ def prepare(df: DataFrame, config: PrepareConfig) -> Prepared:
     if config.reuse:
         rows = materialize(rows)
     compared = [n for n in rows.columns if n not in keys]
-    found = S.column_stats(rows, compared)
+    found = S.column_stats(rows, compared, config.categorical_features)
     n_rows = found[target].n_rows
     if n_rows == 0:
         raise ValueError("no rows left after dropping missing targets")
@@ -149,7 +149,8 @@ def prepare(df: DataFrame, config: PrepareConfig) -> Prepared:
         and not (n in cats and config.categorical_fill == "mode")
     ]
     fills = S.medians(rows, by_median, n_rows)
-    counted = S.value_counts(rows, cats, config.max_categories)
+    estimates = {n: found[n].n_distinct for n in cats}
+    counted = S.value_counts(rows, cats, config.max_categories, estimates)
     fills.update(
         {n: S.mode_of(counted[n]) for n in cats if found[n].n_missing and n not in fills}
     )

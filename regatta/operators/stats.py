@@ -12,6 +12,7 @@ from regatta.columns import chunks, col, is_numeric
 from regatta.operators.quantiles import column_quantiles
 
 COLUMNS_PER_JOB = 100
+SKETCH_ERROR = 0.02
 _UNORDERED = (T.MapType, T.VariantType)
 
 
@@ -21,15 +22,19 @@ class ColumnStats:
     n_rows: int
     n_missing: int
     constant: bool  # exactly one distinct non-null value
+    n_distinct: int | None = None  # a sketch's estimate, on request
 
     @property
     def missing_fraction(self) -> float:
         return self.n_missing / self.n_rows if self.n_rows else 0.0
 
 
-def column_stats(df: DataFrame, names: list[str] | None = None) -> dict[str, ColumnStats]:
+def column_stats(
+    df: DataFrame, names: list[str] | None = None, count_distinct=()
+) -> dict[str, ColumnStats]:
     """Row count, missing count and constancy of each column; a value is constant when
-    its minimum equals its maximum, which is far cheaper than a distinct count."""
+    its minimum equals its maximum, which is far cheaper than a distinct count. Columns in
+    ``count_distinct`` get an estimate of that too, in the same pass."""
     names = list(names or df.columns)
     out: dict[str, ColumnStats] = {}
     for group in chunks(names, COLUMNS_PER_JOB):
@@ -40,9 +45,12 @@ def column_stats(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
                 aggs.append(F.lit(False).alias(f"c{i}"))
             else:
                 aggs.append((F.min(col(n)) == F.max(col(n))).alias(f"c{i}"))
+            if n in count_distinct:
+                aggs.append(F.approx_count_distinct(col(n), SKETCH_ERROR).alias(f"d{i}"))
         row = df.agg(*aggs).first()
         for i, n in enumerate(group):
-            out[n] = ColumnStats(n, row["n"], row[f"m{i}"], bool(row[f"c{i}"]))
+            distinct = row[f"d{i}"] if n in count_distinct else None
+            out[n] = ColumnStats(n, row["n"], row[f"m{i}"], bool(row[f"c{i}"]), distinct)
     return out
 
 
@@ -95,19 +103,26 @@ def medians(df: DataFrame, names: list[str], n_rows: int | None = None) -> dict[
     return {n: (q[0] if q else None) for n, q in found.items()}
 
 
-def value_counts(df: DataFrame, names: list[str], limit: int) -> dict[str, list[tuple]]:
+def value_counts(
+    df: DataFrame, names: list[str], limit: int, estimates: dict[str, int] | None = None
+) -> dict[str, list[tuple]]:
     """Non-null values of each column with their counts, in value order.
 
     Guarded: a column with more than ``limit`` distinct values is an error, checked with a
-    distinct-count sketch before anything is collected.
+    distinct-count sketch (``estimates`` where it was taken before) ahead of collecting.
     """
     if not names:
         return {}
-    sketch = df.agg(
-        *[F.approx_count_distinct(col(n), 0.02).alias(f"d{i}") for i, n in enumerate(names)]
-    ).first()
-    for i, n in enumerate(names):
-        if sketch[f"d{i}"] > limit * 1.1:
+    if estimates is None:
+        sketch = df.agg(
+            *[
+                F.approx_count_distinct(col(n), SKETCH_ERROR).alias(f"d{i}")
+                for i, n in enumerate(names)
+            ]
+        ).first()
+        estimates = {n: sketch[f"d{i}"] for i, n in enumerate(names)}
+    for n in names:
+        if estimates[n] > limit * 1.1:
             raise ValueError(f"column {n} has more than {limit} categories")
     pairs = F.array(
         *[

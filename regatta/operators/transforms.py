@@ -150,32 +150,40 @@ def _likelihood(n: int, jacobian: float, power: float, squares: float) -> float:
 
 
 def fit_yeo_johnson(df: DataFrame, target: str, by: str | None = None) -> dict:
-    """Maximum-likelihood power: two grids, then the vertex of a parabola.
+    """Maximum-likelihood power: a wide grid, then finer ones around the parabola's vertex.
 
     With ``by`` there is one transform per group, learnt from all the *other* groups (the
     training rows of that fold), and ``"all"``; the moments of a complement come from the
-    groups' own, so every round stays one pass.
+    groups' own, so every round is one pass for all of them.
     """
     centers: dict = {}
     names: list = ["all"]
-    for step, half in ((0.5, 8), (0.05, 12), (0.005, 12)):
-        middles = sorted(set(centers.values())) or [1.0]
-        powers = sorted({round(m + step * i, 9) for m in middles for i in range(-half, half + 1)})
-        found = yeo_johnson_moments(df, target, powers, by)
-        if by:
-            names = [*sorted(found), "all"]
-        for name in names:
-            n, j, moments = _merged([g for k, g in found.items() if k != name])
-            scores = [_likelihood(n, j, p, sq) for p, (_, sq) in zip(powers, moments)]
-            top = max(range(len(powers)), key=scores.__getitem__)
-            if scores[top] == float("-inf"):
-                raise ValueError("the target is constant")
-            centers[name] = powers[top]
-            if step == 0.005 and 0 < top < len(powers) - 1:
-                low, mid, high = scores[top - 1], scores[top], scores[top + 1]
-                bend = low - 2 * mid + high
-                if bend < 0:
-                    centers[name] += 0.5 * (low - high) / bend * step
+    for step in (0.5, 0.1, 0.01):
+        low, high = (-3.0, 5.0) if not centers else (
+            min(centers.values()) - 2 * step, max(centers.values()) + 2 * step
+        )
+        for _ in range(8):  # moves on when a maximum lies at the grid's end
+            powers = [round(low + step * i, 9) for i in range(int(round((high - low) / step)) + 1)]
+            found = yeo_johnson_moments(df, target, powers, by)
+            if by:
+                names = [*sorted(found), "all"]
+            tops = {}
+            for name in names:
+                n, j, moments = _merged([g for k, g in found.items() if k != name])
+                scores = [_likelihood(n, j, p, sq) for p, (_, sq) in zip(powers, moments)]
+                tops[name] = top = max(range(len(powers)), key=scores.__getitem__)
+                if scores[top] == float("-inf"):
+                    raise ValueError("the target is constant")
+                centers[name] = powers[top]
+                if 0 < top < len(powers) - 1:
+                    left, middle, right = scores[top - 1 : top + 2]
+                    bend = left - 2 * middle + right
+                    if bend < 0:
+                        centers[name] += 0.5 * (left - right) / bend * step
+            at_low, at_high = 0 in tops.values(), len(powers) - 1 in tops.values()
+            if not (at_low or at_high):
+                break
+            low, high = low - 4 * step * at_low, high + 4 * step * at_high
     powers = sorted(set(centers.values()))
     found = yeo_johnson_moments(df, target, powers, by)
     out = {}
