@@ -21,7 +21,7 @@ from regatta.plans import search
 from regatta.plans.analysis import AnalysisConfig, run_analysis
 from regatta.plans.comparison import ModelComparison, model_performances, rank_performances
 from regatta.plans.space import Domain, sample_hidden_layers, sample_trials
-from regatta.session import shared_folder
+from regatta.session import materialize, shared_folder
 from regatta.sources import store, tables
 
 QUERIES: dict = {}
@@ -1085,7 +1085,7 @@ def flagship(spark, sf):
     prepared = prepare(df, config)
     names = scoring.select_features(prepared.df, prepared.features, "y", 2)
     rows = scoring.project_features(prepared.df, LINE_KEYS, "y", names)
-    split = sp.train_test_split(rows, LINE_KEYS, seed=42)
+    split = materialize(sp.train_test_split(rows, LINE_KEYS, seed=42))  # four columns, read thrice
     model = fit_linear(split.where(~F.col("is_test")), names, "y", TargetTransform())
     out = metrics.regression_metrics(model.predict(split), "y", "prediction", ["is_test"])
     return out.select("is_test", "n", *[F.round(m, 6).alias(m) for m in metrics.METRICS])
