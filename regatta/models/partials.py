@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIRECT = 64  # up to this many tasks, their results go straight to the driver
+MAX_GROUPS = 512
+TASK_BYTES = 32 << 20
 
 
 def matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -29,6 +31,13 @@ def matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return out
 
 
+def expected_tasks(df: DataFrame) -> int:
+    """Upper estimate of the tasks of a pass, from the optimizer's size of the input; asking
+    the physical plan would already run its shuffles."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(size // TASK_BYTES, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def map_reduce(
     df: DataFrame,
     summarize: Callable[[Iterator[pa.RecordBatch]], dict],
@@ -57,9 +66,9 @@ def map_reduce(
 
     schema = "key bigint, blob binary"
     partials = df.mapInArrow(per_task, schema)
-    tasks = partials.rdd.getNumPartitions()
+    tasks = expected_tasks(df)
     if tasks > DIRECT:
-        groups = math.ceil(math.sqrt(tasks))
+        groups = min(MAX_GROUPS, math.ceil(math.sqrt(tasks)))
         partials = (
             partials.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
             .groupBy("key", "g")

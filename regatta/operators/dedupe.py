@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from regatta.columns import col
+from regatta.session import materialize
 
 BROADCAST_ROWS = 1_000_000
 
@@ -50,17 +50,12 @@ def drop_duplicate_rows(
     marked = df.withColumns(
         {"__d1": F.xxhash64(*values), "__d2": F.xxhash64(F.lit(1), *values)}
     )
-    repeated = (
-        marked.groupBy("__d1", "__d2").agg(F.count("*").alias("n")).where("n > 1")
-        .select("__d1", "__d2")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    digests = marked.groupBy("__d1", "__d2").agg(F.count("*").alias("n"))
+    repeated = materialize(digests.where("n > 1").select("__d1", "__d2"))
     found = repeated.count()
     if found == 0:
-        repeated.unpersist()
         return df
     if found > BROADCAST_ROWS:
-        repeated.unpersist()
         return _group_distinct(df, compared, keys)
     on = ["__d1", "__d2"]
     single = marked.join(F.broadcast(repeated), on, "left_anti").drop(*on)

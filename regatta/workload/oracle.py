@@ -342,6 +342,15 @@ ORACLE: dict[str, str] = {
     "yeo_johnson_round_trip": "SELECT c_custkey, round(c_acctbal / 1000, 6) AS y FROM customer",
     "linreg_fit": """SELECT p_partkey, round(b + a * p_partkey, 6) AS prediction FROM part,
         (SELECT regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b FROM part)""",
+    "model_store": """SELECT p_partkey, round(b + a * p_partkey, 6) AS prediction FROM part,
+        (SELECT regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b FROM part)""",
+    "diagnostics_store": f"""WITH c AS ({two_feature_fit(SCORED, 'l_quantity', 'l_discount', 'y')})
+        SELECT 'l_discount' AS feature, 'Discount / %' AS label, replace(regexp_replace('Discount / %', '[^a-z A-Z0-9_.-]', '_', 'g'), ' ', '_') AS item, l_discount AS feature_value,
+          round(cb * (l_discount - mb), 6) AS shap_value FROM lineitem, c
+        UNION ALL SELECT 'l_quantity', 'l_quantity', 'l_quantity', l_quantity, round(ca * (l_quantity - ma), 6) FROM lineitem, c""",
+    "read_by_key": "SELECT * FROM customer",
+    "rename_map": """SELECT c_custkey, CASE WHEN n_nationkey = 0 THEN '0' ELSE n_name END AS label
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "linreg_two_features": f"""SELECT {LK}, round(y, 6) AS y,
         round(c0 + ca * l_quantity + cb * l_discount, 6) AS prediction
         FROM ({SCORED}), ({two_feature_fit(SCORED, 'l_quantity', 'l_discount', 'y')})""",

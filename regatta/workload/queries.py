@@ -413,6 +413,17 @@ def linreg_fit(spark, sf):
     return predicted.select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
+@query
+def model_store(spark, sf):
+    """A fitted model saved, listed, loaded by its id and used."""
+    df, root = table(spark, sf, "part"), scratch(spark)
+    m = fit_linear(df, ["p_partkey"], "p_retailprice", TargetTransform())
+    store.save_model(spark, m, root, "LR_Exp1_mse_1")
+    name = store.list_models(spark, root).first()["model_id"]
+    predicted = store.load_model(spark, root, name).predict(df)
+    return predicted.select("p_partkey", F.round("prediction", 6).alias("prediction"))
+
+
 @query
 def linreg_two_features(spark, sf):
     df = scored_lineitem(spark, sf)
@@ -558,6 +569,22 @@ def shap_scatter(spark, sf):
     return out.withColumn("shap_value", F.round("shap_value", 6))
 
 
+@query
+def diagnostics_store(spark, sf):
+    """Residuals and Shapley points exported; the points of all features read back."""
+    df, path = scored_lineitem(spark, sf), scratch(spark)
+    m = fit_linear(df, ["l_quantity", "l_discount"], "y", TargetTransform())
+    explain.export_diagnostics(
+        explain.residuals(m, df, "y", LINE_KEYS), explain.shap_values(m, df, LINE_KEYS), path,
+        {"l_discount": "Discount / %"},
+    )
+    points = spark.read.parquet(f"{path}/scatters")
+    return points.select(
+        "feature", "label", F.col("item").cast("string").alias("item"), "feature_value",
+        F.round("shap_value", 6).alias("shap_value"),
+    )
+
+
 # -- results -------------------------------------------------------------------------
 
 
@@ -745,6 +772,24 @@ def export_view(spark, sf):
     return tables.read_table(spark, path).select("model_id", "iteration", "target", "optimization_time")
 
 
+@query
+def read_by_key(spark, sf):
+    catalog = {1: f"{sf}/orders.parquet", 2: f"{sf}/customer.parquet"}
+    return tables.read_by_key(spark, "2", catalog)
+
+
+@query
+def rename_map(spark, sf):
+    """A label map written as JSON, read back, and used as labels of every customer's nation."""
+    path = scratch(spark)
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))
+    table(spark, sf, "nation").agg(F.to_json(pairs).alias("value")).write.text(path)
+    labels = tables.read_rename_map(spark, path)
+    labels.pop("0", None)  # keys without a label stay
+    key = F.col("c_nationkey").cast("string")
+    return table(spark, sf, "customer").select("c_custkey", explain.label_of(labels, key).alias("label"))
+
+
 @query
 def metadata_defaults(spark, sf):
     raw = table(spark, sf, "part").select(
