@@ -19,7 +19,8 @@ from regatta.models.base import FittedModel, as_label
 from regatta.models.ensemble import Ensemble, Tree, predict_ensemble
 from regatta.models.partials import map_reduce, matrix
 
-CELLS_PER_PASS = 4_000_000  # open nodes x features held by one task
+CELLS_PER_PASS = 2_000_000  # open nodes x features held by one task
+SLICE = 4096  # open nodes per array that travels
 POISSON_CDF = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320.0]))
 
 
@@ -179,6 +180,16 @@ def _shared(rows, trees, slots):
     return rows.sparkSession.sparkContext.broadcast(work)
 
 
+def sliced(*arrays) -> dict:
+    """Arrays cut along the open nodes, so that many executors share the merging."""
+    size = len(arrays[0])
+    return {i: tuple(a[i : i + SLICE] for a in arrays) for i in range(0, size, SLICE)}
+
+
+def joined(slices: dict) -> tuple:
+    return tuple(np.concatenate(parts) for parts in zip(*(slices[i] for i in sorted(slices))))
+
+
 def _ranges(rows, trees, slots, d, seed, bootstrap):
     work = _shared(rows, trees, slots)
     names, size = [f"f{i}" for i in range(d)], len(slots)
@@ -195,12 +206,12 @@ def _ranges(rows, trees, slots, d, seed, bootstrap):
                 high[found] = np.maximum(high[found], np.maximum.reduceat(both, starts))
                 count[found] += np.add.reduceat(w, starts)
                 total[found] += np.add.reduceat(w * y[order], starts)
-        return {0: (low, high, count, total)}
+        return sliced(low, high, count, total)
 
     def combine(a, b):
         return (np.minimum(a[0], b[0]), np.maximum(a[1], b[1]), a[2] + b[2], a[3] + b[3])
 
-    out = map_reduce(rows, summarize, combine)[0]
+    out = joined(map_reduce(rows, summarize, combine))
     work.unpersist()
     return out
 
@@ -219,9 +230,9 @@ def _left_sums(rows, trees, slots, cuts, d, seed, bootstrap):
                 goes_left = (x <= drawn.value[slot]) * w[:, None]
                 n[found] += np.add.reduceat(goes_left, starts)
                 s[found] += np.add.reduceat(goes_left * y[order][:, None], starts)
-        return {0: (n, s)}
+        return sliced(n, s)
 
-    out = map_reduce(rows, summarize, lambda a, b: (a[0] + b[0], a[1] + b[1]))[0]
+    out = joined(map_reduce(rows, summarize, lambda a, b: (a[0] + b[0], a[1] + b[1])))
     work.unpersist()
     drawn.unpersist()
     return out

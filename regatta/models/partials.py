@@ -1,8 +1,8 @@
 """Combining per-task numpy results without piling them on the driver.
 
-A pass over the rows yields one small array per task and key. The arrays meet in groups of
-about the square root of the number of tasks, on executors, and only the group results are
-collected: their size depends on the model and not on the rows.
+A pass over the rows yields one small array per task and key. With many tasks the arrays meet
+on executors, in groups of about the square root of their number and then per key, so that the
+driver gets one array per key: its size depends on the model and not on the rows or tasks.
 """
 
 from __future__ import annotations
@@ -73,6 +73,8 @@ def map_reduce(
             partials.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
             .groupBy("key", "g")
             .applyInPandas(merge, schema)
+            .groupBy("key")
+            .applyInPandas(merge, schema)
         )
     out: dict = {}
     for row in partials.collect():

@@ -136,6 +136,26 @@ def test_product_sums_in_sql_and_in_tasks_agree(spark, table):
         np.testing.assert_allclose(sql[g], tasks[g], rtol=1e-9, atol=1e-6)
 
 
+def test_merging_on_executors_changes_nothing(spark, table, monkeypatch):
+    from regatta.models import extra, linear, partials
+
+    fit = lambda: search.fit_model(
+        table.train, table.features, "y", "ET", PARAMS["ET"], seed=3, key_cols=["id"]
+    )
+    columns = {n: F.col(n) for n in ("a", "b", "y")}
+    monkeypatch.setattr(linear, "JVM_COLUMNS", 0)
+    rows = table.train.repartition(6)
+    _, direct = product_sums(rows, columns, by="fold")
+    plain = fit()
+    monkeypatch.setattr(partials, "DIRECT", 0)
+    monkeypatch.setattr(extra, "SLICE", 3)
+    _, merged = product_sums(rows, columns, by="fold")
+    for g in direct:
+        np.testing.assert_allclose(direct[g], merged[g], rtol=1e-9, atol=1e-6)
+    gap = fit().predict(plain.predict(table.test, "p"), "q").agg(F.max(F.abs(F.col("p") - F.col("q"))))
+    assert gap.first()[0] < 1e-9
+
+
 def test_collinear_and_constant_columns(spark):
     df = synthetic(spark, 200).withColumns({"off": ~F.col("flag"), "one": F.lit(1.0)})
     m = fit_linear(df, ["a", "flag", "off", "one"], "y", TargetTransform())
