@@ -31,8 +31,8 @@ class SparkTreeModel(FittedModel):
     def raw(self, df: DataFrame, output: str) -> DataFrame:
         assembler, trees = self.pipeline.stages
         trees.setPredictionCol(output)
-        out = trees.transform(assembler.transform(df))
-        return out.drop("__features")
+        out = trees.transform(assembler.transform(df.withColumns(_inputs(self.features))))
+        return out.drop("__features", *_inputs(self.features))
 
     def ensemble(self, spark: SparkSession) -> Ensemble:
         return read_ensemble(spark, self.pipeline.stages[-1])
@@ -85,16 +85,16 @@ def fit_trees(
     df: DataFrame, features: list[str], target: str, transform, family: str, params: dict, seed: int
 ) -> SparkTreeModel:
     estimator, ignored = regressor(family, params, seed)
-    assembler = VectorAssembler(
-        inputCols=[f"f{i}" for i in range(len(features))], outputCol="__features"
-    )
-    names = {f"f{i}": col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)}
-    rows = as_label(df, col(target), transform).select(*names.values(), "__y")
+    inputs = _inputs(features)
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="__features")
+    rows = as_label(df.withColumns(inputs), col(target), transform).select(*inputs, "__y")
     fitted = Pipeline(stages=[assembler, estimator]).fit(rows)
-    # prediction reads the features under their own names
-    plain = VectorAssembler(inputCols=features, outputCol="__features")
-    model = PipelineModel([plain, fitted.stages[-1]])
-    return SparkTreeModel(family, list(features), dict(params), transform, ignored, model)
+    return SparkTreeModel(family, list(features), dict(params), transform, ignored, fitted)
+
+
+def _inputs(features: list[str]) -> dict:
+    """Features under plain names: the assembler does not take names with dots."""
+    return {f"__f{i}": col(f).cast("double") for i, f in enumerate(features)}
 
 
 def read_ensemble(spark: SparkSession, model) -> Ensemble:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +65,10 @@ def missing_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.agg(*pct).select(F.inline(pairs)).where("missing_pct > 0")
 
 
+def all_present(names: list[str]) -> Column:
+    return reduce(and_, [col(n).isNotNull() for n in names])
+
+
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     require_columns(df, [target], "target")
     return df.where(col(target).isNotNull())
@@ -85,7 +92,7 @@ def composite_target(
     require_columns(df, parts, "component")
     if skipna:
         return df if target in df.columns else df.withColumn(target, row_sum(parts, True))
-    df = df.na.drop("any", subset=parts)
+    df = df.where(all_present(parts))
     if target in df.columns:
         return drop_missing_target(df, target)
     return df.withColumn(target, row_sum(parts))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.columns import col
+
 METRICS = ("mse", "mae", "r2")
 EXTRA_METRICS = ("MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE")
 
@@ -29,7 +31,7 @@ def metric_columns(y: Column, p: Column) -> list[Column]:
 def regression_metrics(
     df: DataFrame, target: str = "label", prediction: str = "prediction", by: list[str] = ()
 ) -> DataFrame:
-    y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    y, p = col(target).cast("double"), col(prediction).cast("double")
     return df.groupBy(*by).agg(F.count(y).alias("n"), *metric_columns(y, p))
 
 
@@ -37,7 +39,7 @@ def extra_metrics(
     df: DataFrame, target: str = "label", prediction: str = "prediction", by: list[str] = ()
 ) -> DataFrame:
     """The wider set: MAE, MSE, RMSE, R2, RMSLE (on absolute values), MAPE (nonzero targets)."""
-    y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    y, p = col(target).cast("double"), col(prediction).cast("double")
     logs = F.log1p(F.abs(p)) - F.log1p(F.abs(y))
     return df.groupBy(*by).agg(
         F.avg(F.abs(y - p)).alias("MAE"),

@@ -90,12 +90,8 @@ def prepare(df: DataFrame, config: PrepareConfig) -> Prepared:
     steps: list[tuple] = []
 
     cleaned = clean.clean_sentinels(df)
-    present = (
-        " AND ".join(f"`{p}` IS NOT NULL" for p in parts) if parts else f"`{target}` IS NOT NULL"
-    )
-    counts = cleaned.agg(
-        F.count("*").alias("n"), F.count_if(F.expr(present)).alias("kept")
-    ).first()
+    present = clean.all_present(list(parts) or [target])
+    counts = cleaned.agg(F.count("*").alias("n"), F.count_if(present).alias("kept")).first()
     steps.append(("load", counts["n"], len(df.columns), ""))
 
     if parts:

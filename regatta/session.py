@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     an error, since a machine-local folder would not survive the loss of a node.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         if not context.getCheckpointDir():
             context.setCheckpointDir(folder)

@@ -65,6 +65,18 @@ def test_every_family_learns_and_survives_saving(spark, table, models, family, t
     assert back.params == model.params and back.ignored_params == model.ignored_params
 
 
+@pytest.mark.parametrize("family", ["LR", "RF", "SVR"])
+def test_names_with_dots_work_throughout(spark, family):
+    df = synthetic(spark, 300).withColumnsRenamed({"a": "a.1", "flag": "is on", "y": "the.y"})
+    split = assign_folds(df, ["id"], k=2).cache()
+    t = search.TrainingTable(split, ["a.1", "b", "is on"], "the.y", ["id"], 2)
+    params = {**PARAMS[family], "kernel": "linear"} if family == "SVR" else PARAMS[family]
+    model = search.fit_model(t.train, t.features, "the.y", family, params, seed=1, key_cols=["id"])
+    assert search.train_test_metrics(t, model)["test_r2"] > 0.7
+    assert search.cross_validate(t, family, params, 1)["r2_mean"] > 0.7
+    assert explain.residuals(model, t.test, "the.y", ["id"]).count() == t.test.count()
+
+
 def test_unusable_parameters_are_named(models):
     assert models["XGB"].ignored_params == ["lambda"]
     assert models["LGB"].ignored_params == ["boosting_type"]
