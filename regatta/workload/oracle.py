@@ -406,8 +406,8 @@ ORACLE: dict[str, str] = {
         round(stddev_pop(test_R2), 8) AS metric_std, round(max(test_R2), 8) AS metric_best,
         round(sum(coalesce(optimization_time, 0)), 4) AS total_time FROM ({STAND_IN}))""",
     "family_median": f"SELECT model_name, round(median(test_MSE), 6) AS median FROM ({STAND_IN}) GROUP BY model_name",
-    "family_box": f"""SELECT model_name, count(test_R2) AS n, round(q[1], 8) AS low, round(q[2], 8) AS q1,
-        round(q[3], 8) AS median, round(q[4], 8) AS q3, round(q[5], 8) AS high FROM (
+    "family_box": f"""SELECT model_name, count(test_R2) AS n, round(q[1], 10) AS low, round(q[2], 10) AS q1,
+        round(q[3], 10) AS median, round(q[4], 10) AS q3, round(q[5], 10) AS high FROM (
         SELECT model_name, test_R2, quantile_cont(test_R2, [0.0, 0.25, 0.5, 0.75, 1.0]) OVER (PARTITION BY model_name) AS q
         FROM ({STAND_IN})) GROUP BY model_name, q""",
     "family_points": f"""SELECT model_name, test_MSE AS "test_MSE" FROM ({STAND_IN})""",

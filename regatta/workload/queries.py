@@ -663,7 +663,7 @@ def family_median(spark, sf):
 def family_box(spark, sf):
     out = results.family_box(stand_in_results(spark, sf), "test_R2")
     names = ("low", "q1", "median", "q3", "high")
-    return out.select("model_name", "n", *[F.round(n, 8).alias(n) for n in names])
+    return out.select("model_name", "n", *[F.round(n, 10).alias(n) for n in names])
 
 
 @query
