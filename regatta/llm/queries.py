@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regatta.llm import packing, repair
+from regatta.llm import packing, repair, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,40 @@ def op2_repair_shards(spark, sf):
 def op3_tier_packing(spark, sf):
     """All documents packed into windows of at most 2048 ids."""
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op7_wu_manber(spark, sf):
+    """Documents that hold ten consecutive words of a benchmark item."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = wu_manber.find_passages(docs, table(spark, sf, "benchmark"))
+    n_hit = F.size("hit_words").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        wu_manber.hit_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op7_wu_manber"] = f"""
+WITH d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s
+      FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+            FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT m FROM p),
+windows AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+            FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                  FROM d, widths WHERE len(w) >= m)),
+found AS (SELECT doc_id, item_id, m, i FROM windows JOIN p USING (m, s)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n
+          FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit,
+       coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
