@@ -76,7 +76,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
          AS loss_sha256,
        sum(length(formatted))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
-""".replace("\\", "\\" if False else "\")
+"""
 
 
 @query
@@ -123,12 +123,12 @@ def op9_va_top_k(spark, sf):
 
 
 ORACLE["op9_va_top_k"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e
            FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+             list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
       FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
