@@ -85,6 +85,19 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         first = last
 
 
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table=None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes and its length, in one pass over the bytes.
+
+    ``table`` gives the number that a byte counts as, from 1 on; by default its value and one.
+    """
+    n = len(data)
+    power, inverse = _powers(1 << max(16, int(n).bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    values = data.astype(np.uint64) + np.uint64(1) if table is None else table[data]
+    np.cumsum(values * power[:n], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of consecutive texts.
 
@@ -105,11 +118,7 @@ class Words:
         self.start = np.flatnonzero(~gap & before)
         self.end = np.flatnonzero(~gap & after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        size = 1 << max(16, int(n).bit_length())
-        power, inverse = _powers(size)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWER[data] * power[:n], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hash = spans_hash(data, self.start, self.end, _LOWER)
 
     def document(self) -> np.ndarray:
         """For each word the place of its text."""

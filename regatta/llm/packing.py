@@ -179,7 +179,7 @@ def pack(
         task, encode = _Task(tuple(tiers), step_ids), encoder(tokenizer).encode
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                found = encode(part.column(1).to_pylist(), end)
+                found = encode(part.column(1), end)
                 for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
                     task.add(doc_id, ids)
                     if task.held >= POOL_IDS:

@@ -210,8 +210,7 @@ def write_shards(
         encode = encoder(tokenizer).encode
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                texts = part.column(1).to_pylist()
-                found = zip(part.column(0).to_pylist(), encode(texts, end), strict=True)
+                found = zip(part.column(0).to_pylist(), encode(part.column(1), end), strict=True)
                 for doc_id, one in found:
                     doc_ids.append(doc_id)
                     ids.append(one)

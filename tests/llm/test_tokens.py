@@ -1,9 +1,11 @@
 """Re-Pair shards and packing against plain encoding."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,11 +37,24 @@ def odd_documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, id string")
 
 
+SIGNS = [
+    "a", "É", "×", "÷", "»", "\u00a0", "\u3000", "\u2028", "\u0085", "中", "🙂", " ", " ", "\n", "\t",
+    "\x1c", ".", ",", "!", "'s", "'", "7", "-", "<|endoftext|>", "the", "Z", "\x00",
+]
+
+
 def test_pieces_equal_whole_texts(plain):
-    for limit in (3, 100_000):
-        one = PieceEncoder(PATH, limit)
-        for text in ODD:
-            assert one.encode([text], 7)[0].tolist() == [*plain(text), 7]
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choices(SIGNS, k=rng.randrange(12))) for _ in range(20_000)]
+    for limit in (3, 1_000_000):
+        one, at = PieceEncoder(PATH, limit), 0
+        assert one.cuts
+        while at < len(texts):
+            part = texts[at:at + rng.randrange(1, 900)]
+            got = one.encode(pa.array(part, pa.string()), 7)
+            assert [g.tolist() for g in got] == [[*plain(t), 7] for t in part]
+            at += len(part)
+    assert one.encode(pa.array([], pa.string())) == []
 
 
 @pytest.mark.parametrize("ids", [
