@@ -54,7 +54,8 @@ def _lower_table() -> np.ndarray:
     return table + np.uint64(1)
 
 
-_LOWER = _lower_table()
+LOWER = _lower_table()
+"""What a byte counts as in the hash of a word: A-Z as a-z."""
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ class Words:
         self.start = np.flatnonzero(~gap & before)
         self.end = np.flatnonzero(~gap & after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = spans_hash(data, self.start, self.end, _LOWER)
+        self.hash = spans_hash(data, self.start, self.end, LOWER)
 
     def document(self) -> np.ndarray:
         """For each word the place of its text."""

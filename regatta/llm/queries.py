@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, packing, repair, va_file, wu_manber
+from regatta.llm import chat, packing, repair, toxicity, va_file, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,26 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 WHERE rank <= 20
 """
+
+
+def held_out(n: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id counts as empty text."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text) % n == remainder
+
+
+def toxicity_classifier(spark: SparkSession, sf: str) -> toxicity.Classifier:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    hidden = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 3 == 1
+    return toxicity.fit(toxicity.learning_rows(docs, labels, hidden))
+
+
+@query
+def op10_kneser_ney_toxicity(spark, sf):
+    """Every text's toxicity, learned from two thirds of the labels."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_classifier(spark, sf))
+    return scored.select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
