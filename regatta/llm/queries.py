@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, packing, repair, toxicity, va_file, wu_manber
+from regatta.llm import chat, packing, repair, secret_scan, toxicity, va_file, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,20 @@ def op3_tier_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op4_markov_secrets(spark, sf):
+    """Secrets by fixed rules and by the Markov models that their values train."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
+    found = secret_scan.scan(docs, model)
+    base = secret_scan.ordered("assign", "access", "hex")
+    return found.select(
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(secret_scan.ordered(*secret_scan.KINDS)).alias("spans"),
+    )
+
+
 @query
 def op5_event_chat(spark, sf):
     """Conversations folded from an event log, rendered, written and read back."""
