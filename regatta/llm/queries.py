@@ -9,13 +9,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, packing, repair, secret_scan, toxicity, va_file, wu_manber
+from regatta.llm import chat, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -105,8 +108,6 @@ def op7_wu_manber(spark, sf):
     )
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ALNUM = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE["op7_wu_manber"] = f"""
 WITH d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
@@ -130,6 +131,59 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+URL_RULES = [
+    url_rules.UrlRule.of(*r) for r in (
+        ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+        ("block", "net/es/"), ("block", "net/fr/"),
+    )
+]
+
+
+@query
+def op8_association_urls(spark, sf):
+    """Every URL's verdict, by explicit rules and by those mined from what they judge."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op8_association_urls"] = f"""
+WITH u AS (SELECT page_id, row_number() OVER () AS k, url, strpos(url, '://') AS p FROM pages),
+r AS (SELECT *, CASE WHEN p > 0 THEN substr(url, p + 3) END AS rest FROM u),
+h AS (SELECT *, coalesce({_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+rules(verdict, rhost, rpath) AS (VALUES {", ".join(
+    f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+fits AS (SELECT k, arg_max(rhost || rpath, (length(rhost || rpath), rhost || rpath)) AS rule,
+                arg_max(verdict, (length(rhost || rpath), rhost || rpath)) AS verdict
+         FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+         GROUP BY k),
+t AS (SELECT k, list_distinct(list_concat(
+        list_transform(list_filter([{_LOWER.format("substr(url, 1, p - 1)")}], lambda v: v <> ''), lambda v: 's:' || v),
+        list_transform(list_filter(string_split(host, '.'), lambda v: v <> ''), lambda v: 'h:' || v),
+        list_transform(list_filter([string_split(host, '.')[-1]], lambda v: v <> ''), lambda v: 't:' || v),
+        list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda v: v <> ''),
+                       lambda v: 'p:' || v),
+        list_transform(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+                                   lambda v: regexp_extract(v, '^([^=]*)', 1) <> ''),
+                       lambda v: 'q:' || regexp_extract(v, '^([^=]*)', 1)),
+        CASE WHEN contains(rest, '#') THEN ['f:'] ELSE [] END)) AS tokens
+      FROM h WHERE p > 0),
+lab AS (SELECT k, verdict, tokens FROM fits JOIN t USING (k) WHERE len(tokens) > 0),
+sub AS (SELECT verdict, list_sort(list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS s
+        FROM (SELECT verdict, tokens, unnest(range(1, (1::BIGINT << len(tokens)))) AS mask FROM lab)),
+sup AS (SELECT s, verdict, count(*) AS n, sum(count(*)) OVER (PARTITION BY s) AS total
+        FROM sub GROUP BY s, verdict),
+assoc AS (SELECT s, verdict, n / total AS confidence, n FROM sup
+          WHERE n >= ceil({url_rules.MIN_SUPPORT} * (SELECT count(*) FROM lab))
+            AND n / total >= {url_rules.MIN_CONFIDENCE}),
+best AS (SELECT k, assoc.verdict FROM t JOIN assoc ON list_has_all(tokens, s)
+         WHERE k NOT IN (SELECT k FROM fits)
+         QUALIFY row_number() OVER (PARTITION BY k ORDER BY confidence DESC, n DESC, len(s), s) = 1)
+SELECT page_id, host, path, fits.rule, coalesce(fits.verdict, best.verdict, 'allow') AS verdict
+FROM h LEFT JOIN fits USING (k) LEFT JOIN best USING (k)
+"""
+
+
 @query
 def op9_va_top_k(spark, sf):
     """The 20 highest inner products of every twentieth vector, exactly."""
