@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
+from regatta.llm import chat, ngram_join, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,29 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query
+def op1_size_aware_join(spark, sf):
+    """Every document with the smallest id that links of Jaccard 0.75 reach."""
+    found = ngram_join.link_components(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op1_size_aware_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b USING (s) GROUP BY ALL),
+e AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id
+      WHERE 100 * o.n >= 75 * (x.n + y.n - o.n)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.least, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a) c USING (doc_id)
+"""
+
+
 @query
 def op2_repair_shards(spark, sf):
     """Every text as ids in Re-Pair shards, read back from the files."""
