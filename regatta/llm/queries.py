@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, ngram_join, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
+from regatta.llm import chat, context_mixing, ngram_join, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ FROM f GROUP BY conv_id
 """
 
 
+@query
+def op6_context_mixing(spark, sf):
+    """Every text's log probability by a unigram base and by context mixing."""
+    docs = table(spark, sf, "documents").select("doc_id", held_out(10, 0).alias("held_out"), "text")
+    return context_mixing.score(docs, context_mixing.train(docs.where(~F.col("held_out"))))
+
+
 @query
 def op7_wu_manber(spark, sf):
     """Documents that hold ten consecutive words of a benchmark item."""
