@@ -22,7 +22,6 @@ from regatta.models.base import FittedModel, as_label
 from regatta.models.partials import map_reduce, matrix
 from regatta.operators.transforms import robust_fit
 
-ROUND_CAP = 60
 ROWS_PER_WORKER = 20_000
 PATIENCE = 10
 LOSS_TOL = 1e-4
@@ -134,8 +133,9 @@ def fit_mlp(
     ).first()
     model.y_center, model.y_scale = float(summary["m"]), float(summary["s"] or 0.0) or 1.0
 
-    workers = max(1, min(-(-summary["n"] // ROWS_PER_WORKER),
-                         df.sparkSession.sparkContext.defaultParallelism * 4))
+    # the number of runs that are averaged is part of the model, not of the cluster
+    each = int(model.params.setdefault("rows_per_worker", ROWS_PER_WORKER))
+    workers = max(1, -(-summary["n"] // each))
     dealt = (
         rows.repartition(workers, "__h")
         .sortWithinPartitions("__h", *names)
@@ -151,7 +151,7 @@ def fit_mlp(
 def _train(rows: DataFrame, names: list[str], model: MlpModel, seed: int) -> None:
     params = model.params
     early = bool(params.get("early_stopping", False))
-    cap = min(int(params.get("max_iter", 200)), int(params.get("round_cap", ROUND_CAP)))
+    cap = int(params.get("max_iter", 200))
     shapes = model.shapes
     flat = initial(shapes, np.random.default_rng(seed))
     state = (flat, np.zeros_like(flat), np.zeros_like(flat))

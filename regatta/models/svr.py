@@ -22,7 +22,7 @@ from regatta.models.partials import map_reduce, matrix
 from regatta.operators.transforms import robust_fit
 
 LANDMARKS = 256
-MAX_PASSES = 60
+MAX_ITER = 1000  # where none is given; the objective settles long before
 KERNELS = ("linear", "rbf", "poly")
 
 
@@ -89,7 +89,7 @@ def fit_svr(
             add_key_hash(df, key_cols, "__h", seed)
             .select(*[col(f).cast("double").alias(n) for f, n in zip(features, names)], "__h")
             .orderBy("__h", *names)
-            .limit(LANDMARKS)
+            .limit(int(model.params.setdefault("landmarks", LANDMARKS)))
             .collect()
         )
         points = np.array([[r[n] for n in names] for r in picked])
@@ -100,7 +100,7 @@ def fit_svr(
 
     c, epsilon = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
     tol = float(params.get("tol", 1e-3))
-    passes = min(int(params.get("max_iter", MAX_PASSES)), MAX_PASSES)
+    passes = int(params.get("max_iter", MAX_ITER))
     size = model.root.shape[1] if kind != "linear" else len(features)
     model.weights, previous, smooth = np.zeros(size), None, None
     for _ in range(passes):

@@ -1,4 +1,4 @@
-"""Random forests and boosted trees on Spark ML."""
+"""Random forests and boosted trees from Spark ML's trees."""
 
 from __future__ import annotations
 
@@ -8,16 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regatta.columns import col
 from regatta.models.base import FittedModel, as_label
-from regatta.models.ensemble import Ensemble, Tree
-from regatta.session import shared_folder
+from regatta.models.ensemble import MAX_NODES, Ensemble, Tree
+from regatta.models.extra import ExtraTreesModel
+from regatta.session import materialize, shared_folder
 
 MAX_DEPTH = 30  # Spark's limit, and the search space's
 FOREST_BINS = 64
+ROUNDS_PER_TABLE = 10
 
 # Parameters that decide nothing here: Spark's trees have no counterpart.
 XGB_IGNORED = ("tree_method", "lambda", "alpha", "gamma")
@@ -42,7 +45,9 @@ def regressor(family: str, params: dict, seed: int) -> tuple:
     """The Spark ML estimator of a family and the names of parameters it cannot use."""
     p = dict(params)
     common = {"featuresCol": "__features", "labelCol": "__y", "seed": seed, "maxMemoryInMB": 1024}
-    depth = min(int(p.get("max_depth", MAX_DEPTH if family == "RF" else 6)), MAX_DEPTH)
+    depth = int(p.get("max_depth", MAX_DEPTH if family == "RF" else 6))
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth} is above {MAX_DEPTH}, the deepest Spark grows")
     if family == "RF":
         leaf = int(p.get("min_samples_leaf", 1))
         ignored = []
@@ -60,19 +65,16 @@ def regressor(family: str, params: dict, seed: int) -> tuple:
     if family == "XGB":
         ignored = [n for n in XGB_IGNORED if p.get(n)]
         leaf, bins = int(p.get("min_child_weight", 1)), int(p.get("max_bins", 256))
-        defaults = {"depth": 6, "rate": 0.3}
     else:
         ignored = [n for n in LGB_IGNORED if p.get(n)]
         if p.get("boosting_type", "gbdt") != "gbdt":
             ignored.append("boosting_type")
         leaf, bins = int(p.get("min_child_samples", 20)), int(p.get("max_bin", 255))
-        defaults = {"depth": 6, "rate": 0.1}
     share = float(p.get("colsample_bytree", 1.0))
-    return GBTRegressor(
-        lossType="squared",
-        maxIter=int(p.get("n_estimators", 100)),
-        maxDepth=min(int(p.get("max_depth", defaults["depth"])), MAX_DEPTH),
-        stepSize=float(p.get("learning_rate", defaults["rate"])),
+    return RandomForestRegressor(  # one tree of a round; without bagging
+        numTrees=1,
+        bootstrap=False,
+        maxDepth=depth,
         minInstancesPerNode=leaf,
         subsamplingRate=float(p.get("subsample", 1.0)),
         featureSubsetStrategy="all" if share >= 1.0 else str(round(share, 6)),
@@ -81,9 +83,44 @@ def regressor(family: str, params: dict, seed: int) -> tuple:
     ), ignored
 
 
+def fit_boosted(
+    df: DataFrame, features: list[str], target: str, transform, family: str, params: dict, seed: int
+) -> ExtraTreesModel:
+    """Boosted trees: from the mean, ``F <- F + learning_rate * tree(y - F)`` in every round.
+
+    Each tree is one Spark tree on the present residuals. The fit so far is a column; it is
+    written out every few rounds so that plans stay short.
+    """
+    spark = df.sparkSession
+    estimator, ignored = regressor(family, params, seed)
+    rate = float(params.get("learning_rate", 0.3 if family == "XGB" else 0.1))
+    inputs = _inputs(features)
+    rows = as_label(df.withColumns(inputs), col(target), transform).select(*inputs, "__y")
+    rows = materialize(rows.where("__y IS NOT NULL"))
+    base = rows.agg(F.avg("__y")).first()[0]
+    if base is None:
+        raise ValueError("no rows to fit")
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="__features")
+    rows, models = rows.withColumn("__f", F.lit(float(base))), []
+    for r in range(int(params.get("n_estimators", 100))):
+        ready = assembler.transform(rows.withColumn("__r", F.col("__y") - F.col("__f")))
+        model = estimator.copy({estimator.labelCol: "__r", estimator.seed: seed + r}).fit(ready)
+        models.append(model)
+        model.setPredictionCol("__t")
+        rows = model.transform(ready).withColumn("__f", F.col("__f") + rate * F.col("__t"))
+        rows = rows.select(*inputs, "__y", "__f")
+        if r % ROUNDS_PER_TABLE == ROUNDS_PER_TABLE - 1:
+            rows = materialize(rows)
+    trees = [t for m in _saved_trees(spark, models) for t in m]
+    ensemble = Ensemble(trees, [rate] * len(trees), float(base))
+    return ExtraTreesModel(family, list(features), dict(params), transform, ignored, ensemble)
+
+
 def fit_trees(
     df: DataFrame, features: list[str], target: str, transform, family: str, params: dict, seed: int
-) -> SparkTreeModel:
+) -> FittedModel:
+    if family != "RF":
+        return fit_boosted(df, features, target, transform, family, params, seed)
     estimator, ignored = regressor(family, params, seed)
     inputs = _inputs(features)
     assembler = VectorAssembler(inputCols=list(inputs), outputCol="__features")
@@ -98,36 +135,45 @@ def _inputs(features: list[str]) -> dict:
 
 
 def read_ensemble(spark: SparkSession, model) -> Ensemble:
-    """Node arrays of a Spark ML tree model, read from its saved form."""
+    """Node arrays of a Spark ML forest."""
+    trees = _saved_trees(spark, [model])[0]
+    return Ensemble(trees, [1.0 / len(trees)] * len(trees))
+
+
+def _saved_trees(spark: SparkSession, models: list) -> list[list[Tree]]:
+    """The trees of each model, read from their saved form with one job."""
+    if not models:
+        return []
     path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
-    model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data")
-    if "nodeData" in rows.columns:
-        rows = rows.select("treeID", "nodeData.*")
-    else:
-        rows = rows.selectExpr("0 AS treeID", "*")
-    per_tree: dict[int, list] = {}
+    PipelineModel(stages=models).write().save(path)
+    rows = spark.read.parquet(f"{path}/stages/*/data").withColumn(
+        "stage", F.regexp_extract("_metadata.file_path", r"/stages/([0-9]+)_", 1).cast("int")
+    ).select("stage", "treeID", "nodeData.*")
+    found = rows.agg(F.count("*")).first()[0]
+    if found > MAX_NODES:
+        raise ValueError(f"{found} nodes are too many to send to every task")
+    per_tree: dict[tuple[int, int], list] = {}
     for r in rows.collect():
-        per_tree.setdefault(r["treeID"], []).append(r)
-    trees = []
-    for _, nodes in sorted(per_tree.items()):
-        size = max(r["id"] for r in nodes) + 1
-        feature = np.full(size, -1)
-        threshold, value, cover = np.zeros(size), np.zeros(size), np.zeros(size)
-        left, right = np.zeros(size, int), np.zeros(size, int)
-        for r in nodes:
-            i = r["id"]
-            value[i], cover[i] = r["prediction"], r["rawCount"]
-            if r["leftChild"] >= 0:
-                split = r["split"]
-                if split["numCategories"] != -1:
-                    raise ValueError("categorical splits are not supported")
-                feature[i] = split["featureIndex"]
-                threshold[i] = split["leftCategoriesOrThreshold"][0]
-                left[i], right[i] = r["leftChild"], r["rightChild"]
-        trees.append(Tree(feature, threshold, left, right, value, cover))
-    if hasattr(model, "treeWeights") and model.__class__.__name__.startswith("GBT"):
-        weights = list(model.treeWeights)
-    else:
-        weights = [1.0 / len(trees)] * len(trees)
-    return Ensemble(trees, weights)
+        per_tree.setdefault((r["stage"], r["treeID"]), []).append(r)
+    out: list[list[Tree]] = [[] for _ in models]
+    for (stage, _), nodes in sorted(per_tree.items()):
+        out[stage].append(_tree(nodes))
+    return out
+
+
+def _tree(nodes: list) -> Tree:
+    size = max(r["id"] for r in nodes) + 1
+    feature = np.full(size, -1)
+    threshold, value, cover = np.zeros(size), np.zeros(size), np.zeros(size)
+    left, right = np.zeros(size, int), np.zeros(size, int)
+    for r in nodes:
+        i = r["id"]
+        value[i], cover[i] = r["prediction"], r["rawCount"]
+        if r["leftChild"] >= 0:
+            split = r["split"]
+            if split["numCategories"] != -1:
+                raise ValueError("categorical splits are not supported")
+            feature[i] = split["featureIndex"]
+            threshold[i] = split["leftCategoriesOrThreshold"][0]
+            left[i], right[i] = r["leftChild"], r["rightChild"]
+    return Tree(feature, threshold, left, right, value, cover)

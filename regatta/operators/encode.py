@@ -22,7 +22,7 @@ def impute_median(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     )
 
 
-def impute_mode(df: DataFrame, names: list[str], max_categories: int = 1000) -> DataFrame:
+def impute_mode(df: DataFrame, names: list[str], max_categories: int | None = None) -> DataFrame:
     """Missing categories get the most frequent value of their column."""
     counts = S.value_counts(df, names, max_categories)
     fills = {n: S.mode_of(c) for n, c in counts.items()}
@@ -48,7 +48,7 @@ def dummy(source: Column, numeric: bool, value) -> Column:
     return source == F.lit(value)
 
 
-def one_hot(df: DataFrame, names: list[str], max_categories: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, names: list[str], max_categories: int | None = None) -> DataFrame:
     """One boolean column ``{column}_{value}`` per value, after the other columns."""
     require_columns(df, names, "categorical")
     counts = S.value_counts(df, names, max_categories)

@@ -29,7 +29,7 @@ class PrepareConfig:
     drop_leaky: bool = False
     sparse_threshold: float = 0.2
     categorical_fill: str = "median"  # numeric-coded categories: "median" or "mode"
-    max_categories: int = 1000
+    max_categories: int | None = None
     non_numeric: str = "error"  # undeclared text columns: "error", "drop" or "keep"
     dedupe: str = "digest"
     reuse: bool = False  # write the de-duplicated rows once before the passes over them

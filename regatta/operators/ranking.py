@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from regatta.columns import col, is_fractional
 from regatta.session import materialize
 
-SMALL_ROWS = 200_000  # up to here one task sorts the table
-
 # Dashboard label -> (column, higher is better, label).
 METRIC_INFO = {
     "R²": ("test_R2", True, "R²"),
@@ -38,18 +36,14 @@ def metric_order(df: DataFrame, metric: str, higher_is_better: bool) -> Column:
 
 
 def number_rows(
-    df: DataFrame, order: list[Column], name: str = "rank", small_rows: int = SMALL_ROWS
+    df: DataFrame, order: list[Column], name: str = "rank"
 ) -> DataFrame:
-    """Adds 1..n in the given order.
+    """Adds 1..n in the given order; a hash of the row breaks ties.
 
-    A window without partitions would send the table to one task. Above ``small_rows`` the
-    table is range-partitioned on the order, written once (so that the ranges stay what they
-    were when counted), and each range numbers its own rows after the sizes of the ranges
-    before it. A hash of the row splits ranges in which the order columns tie.
+    A window without partitions would send the table to one task. The table is
+    range-partitioned on the order, written once (so that the ranges stay what they were when
+    counted), and each range numbers its own rows after the sizes of the ranges before it.
     """
-    if df.count() <= small_rows:
-        out = df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-        return out.withColumn(name, F.col(name).cast("bigint"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     content = F.xxhash64(*[col(n) for n in df.columns])
     ranged = materialize(
@@ -77,7 +71,6 @@ def rank_results(
     metric: str,
     higher_is_better: bool,
     tie: str = "model_id",
-    small_rows: int = SMALL_ROWS,
 ) -> tuple[dict | None, DataFrame]:
     """The best row and the table with ``rank`` in front; no such metric, no best row."""
     if metric not in df.columns:
@@ -85,9 +78,9 @@ def rank_results(
     order = [metric_order(df, metric, higher_is_better)]
     if tie in df.columns:
         order.append(col(tie).asc())
-    ranked = number_rows(df, order, "rank", small_rows)
+    ranked = number_rows(df, order, "rank")
     ranked = ranked.select("rank", *[col(n) for n in df.columns])
-    best = df.orderBy(*order).limit(1).collect()
+    best = ranked.where("rank = 1").drop("rank").collect()
     return (best[0].asDict() if best else None), ranked
 
 

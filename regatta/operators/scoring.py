@@ -29,24 +29,30 @@ def _unpivoted(aggregated: DataFrame, names: list[tuple[str, int]], scores: list
 def f_regression(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """``feature, ordinal, score`` with F = r^2 / (1 - r^2) * (n - 2), all in one pass.
 
-    A constant feature scores 0 and a perfectly correlated one the largest double.
+    A constant feature scores 0 and a perfectly correlated one the largest double. Rows where
+    the feature or the target is null do not count for that feature.
     """
     require_columns(df, [*features, target])
     y = col(target).cast("double")
     out = None
     for group in chunks(list(enumerate(features)), FEATURES_PER_JOB):
-        aggs = [F.count(y).alias("n"), F.stddev_pop(y).alias("sy")]
+        aggs = []
         for i, n in group:
             x = _number(df, n)
-            aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"s{i}")]
+            both = x.isNotNull() & y.isNotNull()
+            aggs += [
+                F.covar_pop(x, y).alias(f"c{i}"), F.count_if(both).alias(f"n{i}"),
+                F.stddev_pop(F.when(both, x)).alias(f"s{i}"),
+                F.stddev_pop(F.when(both, y)).alias(f"t{i}"),
+            ]
         scores = []
         for i, _ in group:
-            r = F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col("sy"))
+            r = F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col(f"t{i}"))
             ratio = F.try_divide(r * r, F.lit(1.0) - r * r)
             scores.append(
                 F.when(r.isNull(), F.lit(0.0))
                 .when((r * r >= 1.0) | ratio.isNull(), F.lit(sys.float_info.max))
-                .otherwise(ratio * (F.col("n") - 2))
+                .otherwise(ratio * (F.col(f"n{i}") - 2))
             )
         part = _unpivoted(df.agg(*aggs), [(n, i) for i, n in group], scores)
         out = part if out is None else out.unionByName(part)

@@ -104,16 +104,17 @@ def medians(df: DataFrame, names: list[str], n_rows: int | None = None) -> dict[
 
 
 def value_counts(
-    df: DataFrame, names: list[str], limit: int, estimates: dict[str, int] | None = None
+    df: DataFrame, names: list[str], limit: int | None = None,
+    estimates: dict[str, int] | None = None,
 ) -> dict[str, list[tuple]]:
     """Non-null values of each column with their counts, in value order.
 
-    Guarded: a column with more than ``limit`` distinct values is an error, checked with a
+    With a ``limit`` a column with more distinct values is an error, checked with a
     distinct-count sketch (``estimates`` where it was taken before) ahead of collecting.
     """
     if not names:
         return {}
-    if estimates is None:
+    if limit is not None and estimates is None:
         sketch = df.agg(
             *[
                 F.approx_count_distinct(col(n), SKETCH_ERROR).alias(f"d{i}")
@@ -121,7 +122,7 @@ def value_counts(
             ]
         ).first()
         estimates = {n: sketch[f"d{i}"] for i, n in enumerate(names)}
-    for n in names:
+    for n in names if limit is not None else ():
         if estimates[n] > limit * 1.1:
             raise ValueError(f"column {n} has more than {limit} categories")
     pairs = F.array(
@@ -144,7 +145,7 @@ def value_counts(
         if isinstance(dtype, T.BooleanType):
             read = lambda text: text == "true"
         out[n] = sorted((read(r["v"]), r["count"]) for r in rows if r["i"] == i)
-        if len(out[n]) > limit:
+        if limit is not None and len(out[n]) > limit:
             raise ValueError(f"column {n} has more than {limit} categories")
     return out
 

@@ -159,6 +159,8 @@ def metadata_fields(config: AnalysisConfig) -> dict:
         "kfold": config.k,
         "feature_scoring": config.feature_scoring,
         "key_cols": list(p.key_cols),
+        "test_size": float(config.test_size),
+        "exact_folds": bool(config.exact_folds),
     }
 
 
@@ -177,7 +179,8 @@ def rebuild_context(
     prep = replace(base, **fields) if base else PrepareConfig(**fields)
     config = AnalysisConfig(
         prep, n_features=m["n_features"], feature_scoring=m["feature_scoring"],
-        k=m["kfold"] or 5, random_state=m["random_state"],
+        k=m["kfold"] or 5, random_state=m["random_state"], test_size=m["test_size"],
+        exact_folds=m["exact_folds"],
     )
     return build_context(rows, config)[1]
 

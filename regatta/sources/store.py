@@ -14,6 +14,7 @@ from regatta.models.linear import LinearModel
 from regatta.models.mlp import MlpModel
 from regatta.models.svr import SvrModel
 from regatta.models.trees import SparkTreeModel
+from regatta.sources.tables import CSV_OPTIONS
 
 _D, _A = "double", "array<double>"
 RESULT_COLUMNS = {
@@ -34,7 +35,7 @@ METADATA_SCHEMA = (
     "experiment_id string, date string, data_path string, random_state int, target string, "
     "target_transform string, features_to_drop array<string>, "
     "categorical_features array<string>, n_features int, kfold int, feature_scoring string, "
-    "key_cols array<string>, exp int"
+    "key_cols array<string>, test_size double, exact_folds boolean, exp int"
 )
 
 
@@ -81,7 +82,7 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     """CSV variant; lists become JSON text since CSV cannot hold them."""
     listed = {n: F.to_json(n) for n, t in results.dtypes if t.startswith(("array", "map"))}
     out = results.withColumns(listed) if listed else results
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_results(spark: SparkSession, root: str, exp: int | None = None) -> DataFrame:
@@ -122,8 +123,8 @@ def allocate_experiment(spark: SparkSession, root: str) -> int:
 
 
 def export_view(view: DataFrame, path: str) -> None:
-    """A filtered results view as one CSV file."""
-    view.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A filtered results view as one CSV file, with quotes doubled as other readers expect."""
+    view.coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 # -- metadata ------------------------------------------------------------------------
@@ -155,6 +156,8 @@ def metadata_defaults(raw: DataFrame) -> DataFrame:
             "n_features": F.coalesce("n_features", F.lit(0)),
             "feature_scoring": F.coalesce("feature_scoring", F.lit("f_regression")),
             "key_cols": F.coalesce("key_cols", empty),
+            "test_size": F.coalesce("test_size", F.lit(0.2)),
+            "exact_folds": F.coalesce("exact_folds", F.lit(False)),
         }
     )
 
@@ -225,7 +228,9 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
         f"{root}/models"
     )
-    name = F.regexp_extract("path", r"/models/([^/]+)/", 1)
+    # a model's files lie in <id>/state or <id>/pipeline; the root may hold any names
+    deeper = F.regexp_replace("path", r"/(state|pipeline)(/(metadata|stages)/.*|/[^/]*)$", "")
+    name = F.element_at(F.split(deeper, "/"), -1)
     return (
         files.select(name.alias("model_id"))
         .distinct()
@@ -243,9 +248,9 @@ def load_model(spark: SparkSession, root: str, model_id: str) -> FittedModel:
         family, header["features"], header["params"], header["transform"],
         header["ignored_params"],
     )
-    if family in ("RF", "XGB", "LGB"):
+    if family == "RF":
         return SparkTreeModel(*common, PipelineModel.load(f"{path}/pipeline"))
-    if family == "ET":
+    if family in ("ET", "XGB", "LGB"):
         return ExtraTreesModel(*common, Ensemble.from_arrays(arrays))
     if family == "LR":
         return LinearModel(*common, float(arrays["intercept"]), arrays["coefficients"].tolist())

@@ -8,16 +8,33 @@ from pyspark.sql import types as T
 
 from regatta.columns import chunks, col
 
+#: Quotes are doubled inside quoted fields, which may hold line breaks.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+#: The words that count as missing in a field.
+NA_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 
 
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV's fields as text, with NA words as null."""
+    raw = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(path)
+    return raw.select(*[F.when(~col(n).isin(*NA_WORDS), col(n)).alias(n) for n in raw.columns])
+
+
 def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
     """Types of a CSV's columns from all of its values, in one aggregate.
 
     Unlike the reader's own inference a bare ``20:07:01`` stays text.
     """
-    raw = spark.read.option("header", True).csv(path)
+    return _inferred(_csv_text(spark, path))
+
+
+def _inferred(raw: DataFrame) -> T.StructType:
     fields: list[T.StructField] = []
     for group in chunks(raw.columns, 50):
         aggs = []
@@ -49,10 +66,21 @@ def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """Parquet, or CSV with a header; a CSV without a schema gets an inferred one."""
+    """Parquet, or CSV with a header; a CSV without a schema gets an inferred one.
+
+    Quoted fields may hold commas, doubled quotes and line breaks; NA words are null, as is a
+    field that does not fit its column's type.
+    """
     if path.rstrip("/").endswith(".csv"):
-        schema = schema or infer_csv_schema(spark, path)
-        return spark.read.schema(schema).option("header", True).csv(path)
+        raw = _csv_text(spark, path)
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        schema = schema or _inferred(raw)
+        if len(schema) != len(raw.columns):
+            raise ValueError(f"{path} has {len(raw.columns)} columns, the schema {len(schema)}")
+        return raw.select(*[
+            col(n).try_cast(f.dataType).alias(f.name) for n, f in zip(raw.columns, schema)
+        ])
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 

@@ -481,9 +481,17 @@ ORACLE: dict[str, str] = {
           (SELECT trial_id FROM t ORDER BY s, trial_id LIMIT 1), (SELECT trial_id FROM t ORDER BY s DESC, trial_id LIMIT 1))""",
     "tree_shap_additivity": f"SELECT {RK}, CAST(0 AS DOUBLE) AS gap FROM lineitem WHERE {test_sql(LINE_KEYS, 42)}",
     "forest_stump": f"SELECT {LK}, round(f1, 6) AS prediction FROM ({STUMP_1})",
-    "boosted_stumps": f"""WITH a AS (SELECT *, 2 * (y - f1) AS r FROM ({STUMP_1}))
-        SELECT {LK}, round(f1 + 0.5 * CASE WHEN l_quantity <= b.cut THEN b.low ELSE b.high END, 6) AS prediction
+    "boosted_stumps": f"""WITH m AS (SELECT *, avg(y) OVER () AS m FROM ({STUMP_1})),
+        a AS (SELECT *, m + 0.5 * (f1 - m) AS g1, y - (m + 0.5 * (f1 - m)) AS r FROM m)
+        SELECT {LK}, round(g1 + 0.5 * CASE WHEN l_quantity <= b.cut THEN b.low ELSE b.high END, 6) AS prediction
         FROM a, ({stump('SELECT * FROM a', 'l_quantity', 'r')}) b""",
+    "boosted_three": f"""WITH m AS (SELECT *, avg(y) OVER () AS m FROM ({STUMP_1})),
+        a AS (SELECT *, m + 0.25 * (f1 - m) AS g1, y - (m + 0.25 * (f1 - m)) AS r FROM m),
+        b AS (SELECT a.*, g1 + 0.25 * CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS g2
+          FROM a, ({stump('SELECT * FROM a', 'l_quantity', 'r')}) s),
+        c AS (SELECT * EXCLUDE (r), y - g2 AS r FROM b)
+        SELECT {LK}, round(g2 + 0.25 * CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END, 6) AS prediction
+        FROM c, ({stump('SELECT * FROM c', 'l_quantity', 'r')}) s""",
     "extra_trees_groups": f"""SELECT {LK}, round(avg(y) OVER (PARTITION BY l_quantity > 25,
         l_extendedprice < 40000, l_tax > 0.03), 6) AS prediction FROM ({SCORED})""",
     "analysis_linear": f"""WITH d AS ({ONE_FEATURE}),

@@ -623,7 +623,7 @@ def rank_results(spark, sf):
 
 @query
 def rank_results_ranges(spark, sf):
-    _, ranked = ranking.rank_results(stand_in_results(spark, sf), "test_MAE", False, small_rows=0)
+    _, ranked = ranking.rank_results(stand_in_results(spark, sf), "test_MAE", False)
     return ranked.select("rank", "model_id", F.round("test_MSE", 4).alias("test_mse"))
 
 
@@ -1035,6 +1035,15 @@ def boosted_stumps(spark, sf):
     return m.predict(df).select(*LINE_KEYS, F.round("prediction", 6).alias("prediction"))
 
 
+@query
+def boosted_three(spark, sf):
+    """Three rounds of the other boosted family."""
+    df = scored_lineitem(spark, sf)
+    p = {"n_estimators": 3, "max_depth": 1, "learning_rate": 0.25, "min_child_samples": 1}
+    m = search.fit_model(df, ["l_quantity"], "y", "LGB", p, seed=1)
+    return m.predict(df).select(*LINE_KEYS, F.round("prediction", 6).alias("prediction"))
+
+
 @query
 def extra_trees_groups(spark, sf):
     """Binary features: whatever the cuts, full trees end in the group means."""

@@ -1,10 +1,14 @@
 import json
+import pathlib
 
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regatta.functions import formatting, params
 from regatta.operators import ranking, results
+from regatta.plans import search
 from regatta.sources import store, tables
 
 SCHEMA = (
@@ -40,8 +44,39 @@ def test_range_ranks_equal_window_ranks_with_heavy_ties(spark, higher):
         F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.pmod(F.col("id") * 31, F.lit(997)) * 1.0).alias("m"),
     )
     _, a = ranking.rank_results(df, "m", higher)
-    _, b = ranking.rank_results(df, "m", higher, small_rows=10)
-    assert a.exceptAll(b).count() == 0
+    order = F.desc_nulls_last("m") if higher else F.asc_nulls_last("m")
+    rank = F.row_number().over(Window.orderBy(order, "model_id")).cast("bigint").alias("rank")
+    assert a.exceptAll(df.select(rank, "*")).count() == 0
+
+
+def test_ranks_of_equal_rows_do_not_depend_on_layout(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("m"), (F.col("id") * 7).alias("other"))
+    a, b = (ranking.rank_results(df.repartition(n), "m", True)[1] for n in (1, 7))
+    assert a.exceptAll(b).count() == 0 and a.count() == 300
+
+
+def test_models_under_a_root_of_that_name(spark, tmp_path):
+    root = f"{tmp_path}/models/run1"
+    df = spark.range(20).select("id", (F.col("id") * 2.0).alias("y"))
+    for name in ("LR_a", "RF_b"):
+        model = search.fit_model(df, ["id"], "y", name[:2], {"n_estimators": 1} if name[0] == "R" else {})
+        store.save_model(spark, model, root, name)
+    found = [tuple(r) for r in store.list_models(spark, root).collect()]
+    assert found == [("LR_a", "LR"), ("RF_b", "RF")]
+
+
+def test_csv_dialect(spark, tmp_path):
+    rows = [(1, 'say "hi", ok', 1.5), (2, "two\nlines", None), (3, "N/A", 2.0), (4, "a\\b", 3.0)]
+    df = spark.createDataFrame(rows, "k long, t string, v double")
+    store.export_view(df, f"{tmp_path}/out.csv")
+    plain = pd.concat(pd.read_csv(p) for p in pathlib.Path(f"{tmp_path}/out.csv").glob("part-*"))
+    back = tables.read_table(spark, f"{tmp_path}/out.csv").orderBy("k")
+    assert dict(back.dtypes) == {"k": "bigint", "t": "string", "v": "double"}
+    assert [r.t for r in back.collect()] == ['say "hi", ok', "two\nlines", None, "a\\b"]
+    assert plain.sort_values("k")["t"].fillna("-").tolist() == ['say "hi", ok', "two\nlines", "-", "a\\b"]
+    (tmp_path / "na.csv").write_text("a,b\n1,x\nNA,N/A\nnan,\n2.5,null\n")
+    read = tables.read_table(spark, f"{tmp_path}/na.csv")
+    assert [tuple(r) for r in read.collect()] == [(1.0, "x"), (None, None), (None, None), (2.5, None)]
 
 
 def test_kpis_skip_missing(table):
