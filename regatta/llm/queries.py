@@ -240,17 +240,17 @@ def held_out(n: int, remainder: int) -> Column:
     return F.crc32(text) % n == remainder
 
 
-def toxicity_classifier(spark: SparkSession, sf: str) -> toxicity.Classifier:
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    hidden = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 3 == 1
-    return toxicity.fit(toxicity.learning_rows(docs, labels, hidden))
+def toxicity_classifier(docs: DataFrame, labels: DataFrame) -> toxicity.Classifier:
+    """A classifier from the labels of rows that are not held out."""
+    known = labels.where(~held_out(3, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    return toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), known)
 
 
 @query
 def op10_kneser_ney_toxicity(spark, sf):
     """Every text's toxicity, learned from two thirds of the labels."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity_classifier(spark, sf))
+    scored = toxicity.score(docs, toxicity_classifier(docs, table(spark, sf, "labels")))
     return scored.select(
         "doc_id", held_out(3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),

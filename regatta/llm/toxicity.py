@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm import common
 from regatta.llm.schemas import arrow_schema
+from regatta.session import materialize
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -105,23 +106,35 @@ class _Level:
         return np.where(known, share + self.backoff[at] * lower, lower)
 
 
+def gram_counts(words: list[bytes], counts: np.ndarray, order: int) -> list[tuple[np.ndarray, ...]]:
+    """For each length the grams of words, their contexts, and counts summed by gram.
+
+    ``counts`` has a row for each word; the first column of the sums counts the word itself.
+    """
+    ends = np.cumsum([len(w) for w in words]).astype(np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    spelled, at, word, place = _spelling(data, ends - [len(w) for w in words], ends)
+    out = []
+    for k in range(1, order + 1):
+        there, gram, context = _grams(spelled, at, place, k)
+        grams, first, which = np.unique(gram, return_index=True, return_inverse=True)
+        weights = [np.ones(len(gram)), *(c[word[there]].astype(float) for c in counts.T)]
+        sums = [np.bincount(which, weights=w, minlength=len(grams)) for w in weights]
+        out.append((grams, context[first], np.stack(sums, axis=1)))
+    return out
+
+
 class SpellingModel:
-    """Both classes' models, from words with their counts in ordinary and toxic texts."""
-
-    def __init__(self, words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: int = ORDER):
-        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        spelled, at, word, place = _spelling(data, ends - [len(w) for w in words], ends)
-        self.order, self.shared, self.classes = order, [], []
-        for k in range(1, order + 1):
-            there, gram, context = _grams(spelled, at, place, k)
-            if k < order:
-                once = np.ones(len(gram))
-                self.shared.append(_Level.of(gram, context, once, DISCOUNT))
-            else:
-                for counts in (ordinary, toxic):
-                    weight = counts[word[there]].astype(float)
-                    self.classes.append(_Level.of(gram, context, weight, DISCOUNT))
+    """Both classes' models, from the counts of grams in words of ordinary and toxic texts.
+
+    ``levels`` has, for each length, grams, contexts and three counts: in distinct words, in
+    ordinary and in toxic texts.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, ...]]):
+        self.order = len(levels)
+        self.shared = [_Level.of(g, c, n[:, 0], DISCOUNT) for g, c, n in levels[:-1]]
+        self.classes = [_Level.of(*levels[-1][:2], levels[-1][2][:, k], DISCOUNT) for k in (1, 2)]
         self.known = (np.zeros(0, np.uint64), np.zeros(0))
 
     def _ratios(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -192,55 +205,88 @@ class Classifier:
         return calibrated(self.model.differences(column), self.knots)
 
 
-def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hash of their id."""
-    tie = F.xxhash64("id", "text")
-    return labelled.orderBy(F.xxhash64("id"), tie).limit(rows).withColumn(
-        "part", F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(2))
-    )
+_COUNTS = ("n00", "n01", "n10", "n11")
+"""Counts by half of the sample and label."""
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
-    """A classifier from rows (id, text, label) of label 0 or 1; others are left out.
-
-    Half of the sample by id hash gives the counts, the other half the calibration, and then
-    the whole sample gives the counts that are used. Without rows of both labels in the two
-    halves, scores stay at the share of label 1, or at one half. Empty texts count as texts
-    without words. What reaches the driver are the distinct words of the sample with their
-    counts and a difference for each sampled row.
-    """
-    sample = _sample(labelled.where("label in (0, 1)"), fit_rows).cache()
-    spelled = "word binary, part long, label long, n long"
+def _spelled_words(rows: DataFrame) -> DataFrame:
+    """The distinct words of (text, label, part), with their counts by part and label."""
+    shape = "word binary, part long, label long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, label in {(a, b) for a in (0, 1) for b in (0, 1)}:
-                mask = np.array([
-                    x == part and y == label
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                ], bool)
-                if not mask.any():
-                    continue
-                for piece in common.chunks(batch.filter(pa.array(mask)), "text"):
+            labels, parts = (np.array(c.to_pylist()) for c in batch.columns[1:])
+            for part, label in ((p, y) for p in (0, 1) for y in (0, 1)):
+                mine = batch.filter(pa.array((parts == part) & (labels == label)))
+                for piece in common.chunks(mine, "text"):
                     data, words, start, end = _expressions(piece.column(0))
                     _, first, n = np.unique(words.hash, return_index=True, return_counts=True)
-                    text = data.tobytes()
-                    found = [text[a:b].lower() for a, b in zip(start[first], end[first], strict=True)]
+                    text, spans = data.tobytes(), zip(start[first], end[first], strict=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(found, pa.binary()), pa.array(np.full(len(n), part)),
-                        pa.array(np.full(len(n), label)), pa.array(n),
-                    ], schema=arrow_schema(spelled))
+                        pa.array([text[a:b].lower() for a, b in spans], pa.binary()),
+                        pa.array(np.full(len(n), part)), pa.array(np.full(len(n), label)), pa.array(n),
+                    ], schema=arrow_schema(shape))
 
-    rows = sample.select("text", F.col("label").cast("long"), "part")
-    table = rows.mapInArrow(count, spelled).groupBy("word", "part", "label").agg(F.sum("n").alias("n"))
-    table = table.groupBy("word").agg(*(
+    return rows.mapInArrow(count, shape).groupBy("word").agg(*(
         F.sum(F.when((F.col("part") == p) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"n{p}{y}")
         for p in (0, 1) for y in (0, 1)
-    )).orderBy("word").toArrow()
-    words = table["word"].to_pylist()
-    counts = {c: table[c].to_numpy() for c in ("n00", "n01", "n10", "n11")}
-    half = SpellingModel(words, counts["n00"], counts["n01"])
-    sent = sample.sparkSession.sparkContext.broadcast(half)
+    ))
+
+
+def _gram_table(words: DataFrame, order: int) -> DataFrame:
+    """Counts of all grams of words; only these, not the words, go to the driver."""
+    shape = "k int, gram long, context long, once double, " + ", ".join(f"{c} double" for c in _COUNTS)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([np.array(c) for c in batch.columns[1:]], axis=1)
+            for k, (gram, context, sums) in enumerate(
+                gram_counts(batch.column(0).to_pylist(), counts, order), 1
+            ):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)),
+                    pa.array(context.view(np.int64)), *(pa.array(c.copy()) for c in sums.T),
+                ], schema=arrow_schema(shape))
+
+    return words.select("word", *_COUNTS).mapInArrow(grams, shape).groupBy("k", "gram", "context").agg(
+        *(F.sum(c).alias(c) for c in ("once", *_COUNTS))
+    )
+
+
+def _model(table: pa.Table, order: int, parts: tuple[int, ...]) -> SpellingModel:
+    k = table["k"].to_numpy()
+    columns = {c: table[c].to_numpy() for c in table.column_names}
+    levels = []
+    for length in range(1, order + 1):
+        at = np.flatnonzero(k == length)
+        at = at[np.argsort(columns["gram"][at])]
+        classes = [sum(columns[f"n{p}{y}"][at] for p in parts) for y in (0, 1)]
+        levels.append((
+            columns["gram"][at].view(np.uint64), columns["context"][at].view(np.uint64),
+            np.stack([columns["once"][at], *classes], axis=1),
+        ))
+    return SpellingModel(levels)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, order: int = ORDER
+) -> Classifier:
+    """A classifier from texts (id, text) and labels (id, label) of 0 or 1; others are left out.
+
+    At most ``fit_rows`` labels are used, those with the smallest hash of their id; they are
+    sent to all tasks, so that no text is shuffled. Half of the sample by id hash gives the
+    counts, the other half the calibration, and then the whole sample gives the counts that are
+    used. Without sampled rows scores stay at one half. Empty texts count as texts without
+    words; labels without a text are of no use. The counts of spelled grams and a difference
+    for each sampled row reach the driver.
+    """
+    known = labels.where("label in (0, 1)").select("id", F.col("label").cast("long").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)
+    part = F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(2)).alias("part")
+    rows = materialize(docs.join(F.broadcast(known), "id").select("text", "label", part))
+    table = _gram_table(_spelled_words(rows), order).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(_model(table, order, (0,)))
+    shape = "difference double, label long"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -248,15 +294,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
             for piece in common.chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(model.differences(piece.column(0))), piece.column(1)],
-                    schema=arrow_schema("difference double, label long"),
+                    schema=arrow_schema(shape),
                 )
 
-    held = rows.where("part = 1").select("text", "label").mapInArrow(measure, "difference double, label long")
+    held = rows.where("part = 1").select("text", "label").mapInArrow(measure, shape)
     held = held.orderBy("difference", "label").toArrow()
-    sample.unpersist()
     knots = calibration(held["difference"].to_numpy(), held["label"].to_numpy())
-    whole = SpellingModel(words, counts["n00"] + counts["n10"], counts["n01"] + counts["n11"])
-    return Classifier(whole, knots)
+    return Classifier(_model(table, order, (0, 1)), knots)
 
 
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", to: str = "score") -> DataFrame:
@@ -280,9 +324,3 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", to: s
 
     return docs.mapInArrow(scored, shape)
 
-
-def learning_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """Labelled rows to learn from: (id, text, label), without those held out."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where(~held_out)
-    return texts.join(known, "id")
