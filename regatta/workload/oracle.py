@@ -219,6 +219,43 @@ def part_metrics(source: str) -> str:
       avg(abs(label - prediction)) AS mae, {R2} AS r2 FROM ({source})"""
 
 
+STUMP_ROWS = f"""SELECT {LK}, l_quantity, y, {test_sql(LINE_KEYS, 42)} AS is_test,
+  {fold_sql(LINE_KEYS, 42, 3)} AS fold FROM ({SCORED})"""
+STUMP_TRAIN = f"SELECT * FROM ({STUMP_ROWS}) WHERE NOT is_test"
+
+
+def split_metrics(predicted: str, family: str) -> str:
+    """Metrics of training and test rows, as the model queries return them."""
+    return f"""SELECT is_test, count(*) AS n, round(avg((label - prediction) * (label - prediction)), 6) AS mse,
+      round(avg(abs(label - prediction)), 6) AS mae, round({R2}, 6) AS r2, '{family}' AS model_name
+      FROM ({predicted}) GROUP BY is_test"""
+
+
+def boosted_sql(rounds: int, rate: float) -> str:
+    """``label, prediction`` of boosted stumps: from the mean, rate times each stump."""
+    out = f"SELECT *, (SELECT avg(y) FROM ({STUMP_TRAIN})) AS f FROM ({STUMP_ROWS})"
+    for _ in range(rounds):
+        residuals = f"SELECT *, y - f AS r FROM ({out}) WHERE NOT is_test"
+        out = f"""SELECT d.* EXCLUDE (f), f + {rate} * CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS f
+          FROM ({out}) d, ({stump(residuals, 'l_quantity', 'r')}) s"""
+    return f"SELECT *, y AS label, f AS prediction FROM ({out})"
+
+
+STUMP_MODEL = f"""SELECT d.*, y AS label, CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS prediction
+  FROM ({STUMP_ROWS}) d, ({stump(STUMP_TRAIN, 'l_quantity', 'y')}) s"""
+
+
+def fold_part(f: int) -> str:
+    """Rows of the training table under the stump and the line learned without fold ``f``."""
+    others = f"SELECT * FROM ({STUMP_ROWS}) WHERE fold <> {f}"
+    return f"""SELECT d.*, {f} AS left_out, y AS label,
+      CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS rf, b + a * l_quantity AS lr
+      FROM ({STUMP_ROWS}) d, ({stump(others, 'l_quantity', 'y')}) s,
+      (SELECT regr_slope(y, l_quantity) AS a, regr_intercept(y, l_quantity) AS b FROM ({others})) WHERE fold IS NOT NULL"""
+
+
+STUMP_FOLDS = " UNION ALL ".join(f"({fold_part(f)})" for f in range(3))
+
 SVR_U = [unit_sql("o_orderkey", 9000 + i) for i in range(9)]
 XGB_U = [unit_sql("o_orderkey", 2000 + i) for i in range(12)]
 NN_U = [unit_sql("c_custkey", 4000 + i) for i in range(4)]
@@ -479,6 +516,30 @@ ORACLE: dict[str, str] = {
     "best_trial": """WITH t AS (SELECT CAST(o_orderkey AS INT) AS trial_id, floor(o_totalprice / 1000) AS s FROM orders)
         SELECT trial_id, s AS mse_mean, s AS r2_mean FROM t WHERE trial_id IN (
           (SELECT trial_id FROM t ORDER BY s, trial_id LIMIT 1), (SELECT trial_id FROM t ORDER BY s DESC, trial_id LIMIT 1))""",
+    "rf_fit": split_metrics(STUMP_MODEL, "RF"),
+    "xgb_fit": split_metrics(boosted_sql(2, 0.3), "XGB"),
+    "lgb_fit": split_metrics(boosted_sql(3, 0.2), "LGB"),
+    "et_fit": split_metrics(f"""SELECT d.*, y AS label, prediction FROM ({STUMP_ROWS}) d JOIN (
+        SELECT l_quantity > 25 AS many, l_quantity % 2 > 0 AS odd, avg(y) AS prediction FROM ({STUMP_TRAIN}) GROUP BY ALL) g
+        ON g.many = (d.l_quantity > 25) AND g.odd = (d.l_quantity % 2 > 0)""", "ET"),
+    "mlp_fit": "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS x, round(CAST(3 * l_quantity + 7 AS DOUBLE), 1) AS prediction FROM lineitem",
+    "tree_shap": f"""WITH b AS (SELECT avg(prediction) AS base FROM ({STUMP_MODEL}) WHERE NOT is_test)
+        SELECT {LK}, 'l_quantity' AS feature, CAST(l_quantity AS DOUBLE) AS feature_value,
+          round(prediction - base, 6) AS shap_value, round(base, 6) AS base_value, 'none' AS target_scale
+        FROM ({STUMP_MODEL}), b WHERE is_test""",
+    "cross_validate_forest": "SELECT " + ", ".join(
+        f"round({fn}({m}), 6) AS {m}_{p}"
+        for m in ("mse", "mae", "r2") for p, fn in (("mean", "avg"), ("std", "stddev_pop"))
+    ) + f""" FROM (SELECT left_out, avg((label - prediction) * (label - prediction)) AS mse,
+        avg(abs(label - prediction)) AS mae, {R2} AS r2
+        FROM (SELECT *, rf AS prediction FROM ({STUMP_FOLDS}) WHERE fold = left_out) GROUP BY left_out)""",
+    "compare_models": f"""WITH p AS (SELECT left_out, label, fold = left_out AS val, unnest(['LR', 'RF']) AS model_name,
+          unnest([lr, rf]) AS prediction FROM ({STUMP_FOLDS})),
+        m AS (SELECT model_name, left_out, CASE WHEN val THEN 'val' ELSE 'train' END AS split, {EXTRA}
+          FROM p GROUP BY ALL),
+        u AS (UNPIVOT m ON COLUMNS(* EXCLUDE (model_name, left_out, split)) INTO NAME metric VALUE v)
+        SELECT model_name, metric, split, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std
+        FROM u GROUP BY model_name, metric, split""",
     "tree_shap_additivity": f"SELECT {RK}, CAST(0 AS DOUBLE) AS gap FROM lineitem WHERE {test_sql(LINE_KEYS, 42)}",
     "forest_stump": f"SELECT {LK}, round(f1, 6) AS prediction FROM ({STUMP_1})",
     "boosted_stumps": f"""WITH m AS (SELECT *, avg(y) OVER () AS m FROM ({STUMP_1})),
