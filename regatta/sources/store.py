@@ -148,6 +148,10 @@ def read_metadata(spark: SparkSession, root: str, exp: int) -> DataFrame:
 
 def metadata_defaults(raw: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
+    split = {"test_size": F.lit(0.2), "exact_folds": F.lit(False)}  # absent in older files
+    raw = raw.withColumns({
+        n: F.coalesce(n, v) if n in raw.columns else v for n, v in split.items()
+    })
     return raw.withColumns(
         {
             "random_state": F.coalesce("random_state", F.lit(42)),
@@ -156,8 +160,6 @@ def metadata_defaults(raw: DataFrame) -> DataFrame:
             "n_features": F.coalesce("n_features", F.lit(0)),
             "feature_scoring": F.coalesce("feature_scoring", F.lit("f_regression")),
             "key_cols": F.coalesce("key_cols", empty),
-            "test_size": F.coalesce("test_size", F.lit(0.2)),
-            "exact_folds": F.coalesce("exact_folds", F.lit(False)),
         }
     )
 

@@ -469,6 +469,26 @@ ORACLE: dict[str, str] = {
     "list_experiments": "SELECT CAST(e AS INT) AS exp, 13 AS following FROM range(1, 13) r(e) WHERE e IN (SELECT o_orderkey % 12 + 1 FROM orders)",
     "csv_round_trip": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
         '20:07:01' AS time FROM orders""",
+    "csv_dialect": """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'say "' || c_name || '", ok'
+          WHEN 1 THEN c_name || chr(10) || c_mktsegment WHEN 3 THEN 'a' || chr(92) || c_name WHEN 5 THEN c_name END AS note,
+        CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS amount FROM customer""",
+    "f_regression_nulls": " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, {i} AS ordinal, round(r * r / (1 - r * r) * (n - 2), 4) AS score FROM (
+          SELECT corr({f}, y) AS r, count(*) AS n FROM (
+            SELECT CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS gappy, l_tax,
+              CASE WHEN l_suppkey % 7 <> 0 THEN y END AS y FROM ({SCORED}))
+          WHERE {f} IS NOT NULL AND y IS NOT NULL)"""
+        for i, f in enumerate(["gappy", "l_tax"])
+    ),
+    "metric_best": f"""SELECT 'R²' AS label, round(max(test_R2), 6) AS best FROM ({STAND_IN})
+        UNION ALL SELECT 'MAE', round(min(test_MAE), 6) FROM ({STAND_IN})
+        UNION ALL SELECT 'MSE', round(min(test_MSE), 6) FROM ({STAND_IN})""",
+    "log_round_trip": "SELECT row_number() OVER (ORDER BY r_regionkey) AS line_no, r_name AS line FROM region",
+    "metadata_round_trip": """SELECT 'experiment_3' AS experiment_id, count(*)::INT AS random_state, 'y' AS target,
+        0 AS n_features, 'f_regression' AS feature_scoring, 0.25::DOUBLE AS test_size, false AS exact_folds FROM nation""",
+    "listed_tables": """SELECT n_regionkey::INT AS region, sum(strlen(n_name) + 1)::BIGINT AS length
+        FROM nation GROUP BY n_regionkey""",
+    "rebuilt_split": f"SELECT {LK} FROM ({ONE_FEATURE}) WHERE {hash_sql(LINE_KEYS, 42)} < {int(MODULUS * 0.3)}",
     "export_view": f"""SELECT model_id, CAST(iteration AS BIGINT) AS iteration, target,
         coalesce({hms('optimization_time')}, '—') AS optimization_time FROM ({STAND_IN})
         WHERE regexp_matches(model_name, '^l', 'i')""",

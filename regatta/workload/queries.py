@@ -18,7 +18,7 @@ from regatta.operators.prepare import PrepareConfig, prepare, split_xy
 from regatta.operators.quantiles import grouped_quantiles
 from regatta.operators.transforms import TargetTransform
 from regatta.plans import search
-from regatta.plans.analysis import AnalysisConfig, run_analysis
+from regatta.plans.analysis import AnalysisConfig, rebuild_context, run_analysis
 from regatta.plans.comparison import ModelComparison, model_performances, rank_performances
 from regatta.plans.space import Domain, sample_hidden_layers, sample_trials
 from regatta.session import materialize, shared_folder
@@ -764,6 +764,96 @@ def csv_round_trip(spark, sf):
     return tables.read_table(spark, path).drop("o_orderdate")
 
 
+def awkward_text():
+    """Quotes, commas, line breaks, backslashes and NA words, by row."""
+    k = F.col("c_custkey") % 6
+    return (
+        F.when(k == 0, F.concat(F.lit('say "'), "c_name", F.lit('", ok')))
+        .when(k == 1, F.concat("c_name", F.lit("\n"), "c_mktsegment"))
+        .when(k == 2, F.lit("N/A")).when(k == 3, F.concat(F.lit("a\\"), "c_name"))
+        .when(k == 4, F.lit(None)).otherwise(F.col("c_name"))
+    )
+
+
+@query
+def csv_dialect(spark, sf):
+    """Text that needs quoting, and missing values by word, through a CSV and back."""
+    path = scratch(spark) + "/customers.csv"
+    amount = every("c_custkey", 5, F.lit("NA"), F.col("c_acctbal").cast("string"))
+    df = table(spark, sf, "customer").select(
+        "c_custkey", awkward_text().alias("note"), amount.alias("amount")
+    )
+    store.write_results_csv(df, path)
+    return tables.read_table(spark, path)
+
+
+@query
+def f_regression_nulls(spark, sf):
+    """F scores over the rows where both the feature and the target are there."""
+    df = scored_lineitem(spark, sf).select(
+        every("l_partkey", 3, F.lit(None), F.col("l_quantity")).alias("gappy"),
+        "l_tax", every("l_suppkey", 7, F.lit(None), F.col("y")).alias("y"),
+    )
+    out = scoring.f_regression(df, ["gappy", "l_tax"], "y")
+    return out.withColumn("score", F.round("score", 4))
+
+
+@query
+def metric_best(spark, sf):
+    """The best value of each metric of the dashboard, in its own direction."""
+    rows, out = stand_in_results(spark, sf), None
+    for key in sorted(ranking.METRIC_INFO):
+        name, higher, label = ranking.metric_info(key)
+        best = (F.max if higher else F.min)(ranking.without_nan(rows, name))
+        part = rows.agg(F.round(best, 6).alias("best")).select(F.lit(label).alias("label"), "best")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def log_round_trip(spark, sf):
+    """A log written and read with its line numbers."""
+    root = scratch(spark)
+    lines = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    store.write_log(spark, root, 1, lines)
+    return store.read_log(spark, f"{root}/logs/exp=1")
+
+
+@query
+def metadata_round_trip(spark, sf):
+    """An experiment's record written and read, with defaults for what it leaves out."""
+    root, n = scratch(spark), table(spark, sf, "nation").count()
+    store.write_metadata(spark, root, 3, {"random_state": n, "target": "y", "test_size": 0.25})
+    out = store.read_metadata(spark, root, 3)
+    return out.select(
+        "experiment_id", "random_state", "target", "n_features", "feature_scoring", "test_size", "exact_folds"
+    )
+
+
+@query
+def listed_tables(spark, sf):
+    """The tables of a folder by name, here one for each region."""
+    folder = scratch(spark)
+    for r in table(spark, sf, "region").collect():
+        mine = table(spark, sf, "nation").where(F.col("n_regionkey") == r["r_regionkey"])
+        mine.select("n_name").coalesce(1).write.text(f"{folder}/{r['r_regionkey']}")
+    found = tables.list_tables(spark, f"{folder}/*")
+    return found.select(F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("int").alias("region"), "length")
+
+
+@query
+def rebuilt_split(spark, sf):
+    """The test rows of a stored analysis with a test size of its own, built again."""
+    df = scored_lineitem(spark, sf).select(*LINE_KEYS, "l_quantity", "l_tax", "y")
+    config = AnalysisConfig(
+        PrepareConfig("y", key_cols=tuple(LINE_KEYS), features_to_drop=("l_tax",)),
+        models=("LR",), metrics=("r2",), n_iter=1, k=3, test_size=0.3,
+    )
+    root = scratch(spark)
+    run_analysis(spark, df, config, root)
+    return rebuild_context(spark, root, 1, df).test.select(*LINE_KEYS)
+
+
 @query
 def export_view(spark, sf):
     path = scratch(spark) + "/view.csv"
