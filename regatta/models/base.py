@@ -18,6 +18,9 @@ SCALED_FAMILIES = ("NN", "SVR", "LR")
 TREE_FAMILIES = ("RF", "ET", "XGB", "LGB")
 
 
+VALUES_PER_ROW = 200_000  # of a saved array
+
+
 @dataclass
 class FittedModel:
     """A trained regressor. ``raw`` predicts on the transformed target's scale."""
@@ -54,21 +57,29 @@ class FittedModel:
         }
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [("header", [], [], json.dumps(self.header()))]
+        rows = [("header", [], 0, [], json.dumps(self.header()))]
         for name, values in self.state().items():
             values = np.asarray(values, dtype=float)
-            rows.append((name, list(values.shape), values.ravel().tolist(), None))
-        schema = "name string, shape array<int>, data array<double>, header string"
+            flat = values.ravel()
+            for part, at in enumerate(range(0, max(1, len(flat)), VALUES_PER_ROW)):
+                piece = flat[at : at + VALUES_PER_ROW].tolist()
+                rows.append((name, list(values.shape), part, piece, None))
+        schema = "name string, shape array<int>, part int, data array<double>, header string"
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
 
 
 def load_state(spark: SparkSession, path: str) -> tuple[dict, dict[str, np.ndarray]]:
-    header, arrays = {}, {}
+    header, parts, shapes = {}, {}, {}
     for r in spark.read.parquet(path).collect():
         if r["name"] == "header":
             header = json.loads(r["header"])
         else:
-            arrays[r["name"]] = np.array(r["data"]).reshape(r["shape"])
+            parts.setdefault(r["name"], {})[r["part"]] = r["data"]
+            shapes[r["name"]] = r["shape"]
+    arrays = {
+        n: np.concatenate([np.array(p[k], dtype=float) for k in sorted(p)]).reshape(shapes[n])
+        for n, p in parts.items()
+    }
     header["transform"] = TargetTransform(*header["transform"])
     return header, arrays
 

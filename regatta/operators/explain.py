@@ -9,6 +9,9 @@ from regatta.columns import col, require_columns
 from regatta.functions.formatting import safe_name
 from regatta.models.base import TREE_FAMILIES, FittedModel
 from regatta.models.ensemble import shapley_column
+from regatta.session import materialize
+
+FILES_PER_ITEM = 8
 
 
 def residuals(
@@ -109,8 +112,11 @@ def export_diagnostics(
 ) -> None:
     """Residuals, the summary and the points of every feature under one folder."""
     residual_table.write.mode("overwrite").parquet(f"{path}/residuals")
+    shap = materialize(shap)  # Shapley values are worked out once
     shap_summary(shap).write.mode("overwrite").parquet(f"{path}/shap_summary")
     points = shap_scatter(shap, labels=labels).withColumn("item", safe_name(F.col("label")))
+    salt = F.pmod(F.xxhash64("feature_value"), F.lit(FILES_PER_ITEM))
+    points = points.repartition("item", salt)
     points.write.mode("overwrite").partitionBy("item").parquet(f"{path}/scatters")
 
 

@@ -83,31 +83,29 @@ def run_grid(
     table: TrainingTable, config: AnalysisConfig, spark: SparkSession, exp: int,
     root: str | None = None, log: list[str] | None = None,
 ) -> tuple[DataFrame, dict[str, FittedModel]]:
-    """models x metrics x iterations over one cached table."""
+    """models x metrics x iterations over one written table; trials are kept with the results."""
     log = [] if log is None else log
     table.fit_transforms(config.target_transform)
-    table.df.persist()
     rows, models = [], {}
-    try:
-        for family in config.models:
-            for metric in config.metrics:
-                for i in range(1, config.n_iter + 1):
-                    started = time.time()
-                    row, model, _ = optimize_and_evaluate(
-                        table, family, metric, i, config.n_trials, config.n_jobs,
-                        config.random_state, config.target_transform,
-                        config.overrides.get(family),
-                    )
-                    rows.append(row)
-                    name = f"{family}_Exp{exp}_{metric}_{i}"
-                    models[name] = model
-                    if config.save_models and root:
-                        size = store.save_model(spark, model, root, name)
-                        log.append(f"Saved model: {name} | Size: {size / 1e6:.2f} MB")
-                    log.append(f"Iteration {i}/{config.n_iter} for {family} ({metric}) "
-                               f"completed in {_elapsed(time.time() - started)}")
-    finally:
-        table.df.unpersist()
+    for family in config.models:
+        for metric in config.metrics:
+            for i in range(1, config.n_iter + 1):
+                started = time.time()
+                row, model, trials = optimize_and_evaluate(
+                    table, family, metric, i, config.n_trials, config.n_jobs,
+                    config.random_state, config.target_transform,
+                    config.overrides.get(family),
+                )
+                rows.append(row)
+                name = f"{family}_Exp{exp}_{metric}_{i}"
+                models[name] = model
+                if root:
+                    store.write_trials(trials, root, name)
+                if config.save_models and root:
+                    size = store.save_model(spark, model, root, name)
+                    log.append(f"Saved model: {name} | Size: {size / 1e6:.2f} MB")
+                log.append(f"Iteration {i}/{config.n_iter} for {family} ({metric}) "
+                           f"completed in {_elapsed(time.time() - started)}")
     return store.results_frame(spark, rows, exp), models
 
 
@@ -138,6 +136,8 @@ def run_targets(
 ) -> list[int]:
     """One experiment per target, in order; returns their numbers."""
     done = []
+    if len(targets) > 1:
+        df = materialize(df)  # read from its source once
     for target in targets:
         exp = store.allocate_experiment(spark, root)
         one = replace(config, prepare=replace(config.prepare, target=target))

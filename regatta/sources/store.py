@@ -196,6 +196,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_trials(trials: DataFrame, root: str, model_id: str) -> None:
+    """The trials of one search, under the id of the model that came of it."""
+    trials.write.mode("overwrite").parquet(f"{root}/trials/model_id={model_id}")
+
+
+def read_trials(spark: SparkSession, root: str) -> DataFrame:
+    """All stored trials with their ``model_id``."""
+    return spark.read.parquet(f"{root}/trials")
+
+
 # -- models --------------------------------------------------------------------------
 
 
