@@ -14,7 +14,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from regatta.models.linear import fit_linear  # noqa: E402
 from regatta.operators import explain, metrics, scoring  # noqa: E402
 from regatta.operators import split as sp  # noqa: E402
+from regatta.operators.dedupe import drop_duplicate_rows  # noqa: E402
 from regatta.operators.mutual_info import mutual_info_binned  # noqa: E402
+from regatta.operators.neighbours import mutual_info_neighbours  # noqa: E402
 from regatta.operators.prepare import PrepareConfig, prepare  # noqa: E402
 from regatta.operators.transforms import TargetTransform, fit_yeo_johnson  # noqa: E402
 from regatta.plans import search  # noqa: E402
@@ -78,6 +80,14 @@ def main() -> None:
     timed("shap_linear", lambda: run(explain.shap_values(linear, rows, q.ROW_KEYS)))
     trees = search.fit_model(table.train, table.features, "y", "RF", forest, seed=1)
     timed("shap_tree", lambda: run(explain.shap_values(trees, table.test, q.ROW_KEYS)))
+    boosted = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}
+    timed("boosted_fit", lambda: search.fit_model(
+        table.train, table.features, "y", "XGB", boosted, seed=1, key_cols=q.ROW_KEYS))
+    timed("svr_rbf_fit", lambda: search.fit_model(
+        table.train, table.features, "y", "SVR", {"kernel": "rbf", "gamma": 0.05}, key_cols=q.ROW_KEYS))
+    timed("mutual_info_neighbours", lambda: run(mutual_info_neighbours(rows, ["l_quantity"], "y")))
+    repeated = rows.select("l_quantity", "l_discount", "l_tax")
+    timed("dedupe_repeated", lambda: run(drop_duplicate_rows(repeated)))
     rows.unpersist()
     for name in ("flagship", "rank_results", "family_box", "kfold_exact", "analysis_linear"):
         timed(name, lambda name=name: run(q.QUERIES[name](spark, sf)))
