@@ -41,7 +41,9 @@ RATE, MAP_RATE, FIRST_WEIGHTS, SMOOTH = 0.03, 0.02, (0.05, 0.1, 0.4, 0.5), 0.2
 MAP_CELLS = 24
 _SCALE = 16.0
 """Log odds are kept in sixteenths, from -8 to 8."""
-BLOCK_TOKENS = 1 << 20
+CHUNK_BYTES = 1 << 19
+"""Text that a task scores in one go; more lanes run faster and take more memory."""
+BLOCK_TOKENS = 1 << 19
 BUCKET_WORDS = 1 << 20
 """Distinct words of a bucket, about."""
 _SLICE = 1 << 18
@@ -164,7 +166,8 @@ class Model:
         place = np.arange(len(text)) - np.repeat(limits[:-1], sizes)
         opens = np.flatnonzero(place % SEGMENT == 0)
         lane = np.cumsum(place % SEGMENT == 0) - 1
-        step = place % SEGMENT // STEP
+        step = (place % SEGMENT // STEP).astype(np.int16)
+        del place
         order = np.argsort(step, kind="stable")
         cuts = np.searchsorted(step[order], np.arange(SEGMENT // STEP + 1))
         state = _Lanes(len(opens))
@@ -260,7 +263,7 @@ def _cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             counts[:] = 0
 
         for batch in batches:
-            for part in common.chunks(batch, "text"):
+            for part in common.chunks(batch, "text", CHUNK_BYTES // 2):
                 text, limits, _ = joined_bytes(part.column(0))
                 known, base = classes[text], 0
                 for size, rows in zip(ROWS, context_rows(text, limits), strict=True):
@@ -403,7 +406,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
-            for part in common.chunks(batch, "text"):
+            for part in common.chunks(batch, "text", CHUNK_BYTES):
                 scores, n_bytes, words = sent.value.score(part.column(2))
                 block.ids += part.column(0).to_pylist()
                 block.held += part.column(1).to_pylist()
