@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = docs.columns
     model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
     spans = secret_scan.ordered(*secret_scan.KINDS)
-    found = secret_scan.scan(docs, model).withColumn("_spans", spans)
+    found = secret_scan.scan(docs, model, cut=True).withColumn("_spans", spans)
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("_spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 

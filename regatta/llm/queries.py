@@ -76,7 +76,7 @@ def op4_markov_secrets(spark, sf):
     """Secrets by fixed rules and by the Markov models that their values train."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
-    found = secret_scan.scan(docs, model)
+    found = secret_scan.scan(docs, model, cut=True)
     base = secret_scan.ordered("assign", "access", "hex")
     return found.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS),

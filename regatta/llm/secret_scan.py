@@ -24,6 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 """Candidates of the Markov models."""
+LEAST_TOKEN = 16
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 _BLOCK = 128
 
@@ -145,48 +146,150 @@ class MarkovRatio:
         usable = counts[0] and counts[1]
         self.ratios = rows if usable else [0.0] * len(rows)
 
-    def score(self, token: Column) -> Column:
-        """The log-likelihood ratio of a string of the alphabet's characters."""
+    def _ratios(self, token: Column) -> Column:
+        """The ratio of each character of a string, given the one before."""
         size = len(ALPHABET)
         table = F.lit(self.ratios)
         codes = F.lit([ALPHABET.find(chr(k)) for k in range(128)])
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(token)),
-            F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum")),
-            lambda acc, i: F.struct(
-                (_code(codes, token, i) + 1).alias("row"),
-                (acc["sum"] + F.element_at(
-                    table, acc["row"] * size + _code(codes, token, i) + 1
-                )).alias("sum"),
-            ),
-            lambda acc: acc["sum"],
-        )
+        own = F.transform(F.split(token, ""), lambda c: F.element_at(codes, F.ascii(c) + 1))
+        return _let(own, lambda own: F.transform(own, lambda c, i: F.element_at(
+            table, (F.coalesce(F.get(own, i - 1), F.lit(-1)) + 1) * size + c + 1
+        )))
+
+    def score(self, token: Column) -> Column:
+        """The log-likelihood ratio of a string of the alphabet's characters."""
+        return F.aggregate(self._ratios(token), F.lit(0.0), lambda acc, r: acc + r)
+
+    def stretches(self, token: Column, least_ratio: float) -> Column:
+        """Where a string looks random: an array of (start, end) in it.
+
+        The string as a whole if its ratio is at least ``least_ratio``. Otherwise its best
+        stretches of ``LEAST_TOKEN`` characters or more, read from the left: a stretch that has
+        the ratio grows while its ratio does, and is closed once the characters after its end
+        take ``least_ratio`` away; the search goes on behind those.
+        """
+        pair = "array<struct<start:int,end:int>>"
+        none, far = F.array().cast(pair), F.lit(1e300)
+
+        def span(start: Column, end: Column) -> Column:
+            return F.array(F.struct(start.alias("start"), end.alias("end"))).cast(pair)
+
+        def state(at, total, lag, first, low, low_at, best, start, end, out) -> Column:
+            names = "at", "sum", "lag", "first", "low", "low_at", "best", "start", "end", "out"
+            values = at, total, lag, first, low, low_at, best, start, end, out
+            return F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+
+        # sum and lag: ratios of all characters so far, and of those at least LEAST_TOKEN back;
+        # low: the least lag from ``first`` on, at low_at; best: of the open stretch, or 0.
+        zero, nought = F.lit(0), F.lit(0.0)
+        opening = state(zero, nought, nought, zero, far, zero, nought, zero, zero, none)
+
+        def read(acc: Column, r: Column, before: Column) -> Column:
+            back = acc["at"] + 1 - LEAST_TOKEN
+            lag = acc["lag"] + F.coalesce(F.get(before, back - 1), nought)
+            moved = F.struct(
+                (acc["sum"] + r).alias("sum"), lag.alias("lag"),
+                ((back >= acc["first"]) & (lag < acc["low"])).alias("lower"),
+            )
+            return _let(moved, lambda m: _let(
+                F.struct(
+                    F.when(m["lower"], m["lag"]).otherwise(acc["low"]).alias("low"),
+                    F.when(m["lower"], back).otherwise(acc["low_at"]).alias("low_at"),
+                ), lambda low: follow(acc, m, low)
+            ))
+
+        def follow(acc: Column, m: Column, low: Column) -> Column:
+            at, value = acc["at"] + 1, m["sum"] - low["low"]
+            found = acc["best"] > 0
+            fallen = found & (value <= acc["best"] - least_ratio)
+            grown = (value >= least_ratio) & (value > acc["best"])
+            return (
+                F.when(fallen, state(
+                    at, m["sum"], m["lag"], at, far, zero, nought, zero, zero,
+                    F.concat(acc["out"], span(acc["start"], acc["end"])),
+                ))
+                .when(grown, state(
+                    at, m["sum"], m["lag"], acc["first"], low["low"], low["low_at"], value,
+                    low["low_at"], at, acc["out"],
+                ))
+                .otherwise(state(
+                    at, m["sum"], m["lag"], acc["first"], low["low"], low["low_at"], acc["best"],
+                    acc["start"], acc["end"], acc["out"],
+                ))
+            )
+
+        def closed(acc: Column) -> Column:
+            return (
+                F.when(acc["sum"] >= least_ratio, span(zero, acc["at"]))
+                .when(acc["best"] > 0, F.concat(acc["out"], span(acc["start"], acc["end"])))
+                .otherwise(acc["out"])
+            )
+
+        return _let(self._ratios(token), lambda ratios: F.aggregate(
+            ratios, opening, lambda acc, r: read(acc, r, ratios), closed
+        ))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all characters of the spans (sorted)."""
+    zero = F.lit(0).cast("bigint")
+    opening = F.struct(zero.alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def between(a: Column, b: Column) -> Column:
+        return text.substr((a + 1).cast("int"), (b - a).cast("int"))
 
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        blank = F.repeat(F.lit(" "), (end - start).cast("int"))
+        return F.struct(
+            end.alias("at"), F.concat(acc["out"], F.array(between(acc["at"], start), blank)).alias("out")
+        )
 
-def _code(codes: Column, token: Column, i: Column) -> Column:
-    return F.element_at(codes, F.ascii(token.substr(i, F.lit(1))) + 1)
+    rebuilt = F.aggregate(spans, opening, step, lambda acc: F.array_join(
+        F.concat(acc["out"], F.array(between(acc["at"], F.length(text).cast("bigint")))), ""
+    ))
+    return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
 
 
 def scan(
     docs: DataFrame, model: MarkovRatio, text_col: str = "text", least_ratio: float = 8.0,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with its secrets: ``assign``, ``access``, ``hex`` and ``markov`` spans.
 
-    A Markov span is a run of candidate characters whose log-likelihood ratio is at least
-    ``least_ratio``, as a whole beside all spans of the fixed rules. A null text is empty; equal
+    Markov spans lie in runs of candidate characters beside the spans of the fixed rules. They are
+    the run as a whole or its stretches with a log-likelihood ratio of at least ``least_ratio``,
+    see ``MarkovRatio.stretches``. With ``cut``, a run that touches a span of the fixed rules is
+    cut there and its parts are looked at; otherwise it is left out. A null text is empty; equal
     rows are scanned apart; columns named like the results are replaced, all others are kept.
     """
     docs = docs.drop("assign", "access", "hex", "markov")
     text = "_scanned_text"
     docs = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     docs = base_spans(docs, text)
+    base = ordered("assign", "access", "hex")
+    if cut:
+        docs = docs.withColumn(text, _blanked(F.col(text), base))
     docs = _with_spans(docs, text, TOKEN, 3, "markov")
-    base = F.concat("assign", "access", "hex")
-    likely = F.zip_with("markov", "markov_found", lambda s, t: F.when(
-        ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & (model.score(t) >= least_ratio), s
-    ))
-    docs = docs.withColumn("markov", F.filter(likely, lambda s: s.isNotNull()).cast(SPAN))
+
+    def inside(s: Column, t: Column) -> Column:
+        return F.transform(model.stretches(t, least_ratio), lambda x: F.struct(
+            (s["start"] + x["start"]).alias("start"), s["kind"].alias("kind"),
+            (s["start"] + x["end"]).alias("end"),
+        ))
+
+    def beside(s: Column, t: Column) -> Column:
+        return F.when(
+            ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), inside(s, t)
+        ).otherwise(F.array().cast(SPAN))
+
+    likely = F.flatten(F.zip_with("markov", "markov_found", inside if cut else beside))
+    docs = docs.withColumn("markov", likely.cast(SPAN))
     return docs.drop(text, "markov_found")
 
 

@@ -126,3 +126,48 @@ def test_table(spark, sf):
         names = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
         assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in names.split(",") if x]
+
+
+def stretches(token, ratio, least):
+    values = [ratio(a, b) for a, b in zip("^" + token, token)]
+    if sum(values) >= least:
+        return [(0, len(token))]
+    sums, out, first, best = [0.0], [], 0, (0.0, 0, 0)
+    for v in values:
+        sums.append(sums[-1] + v)
+        at = len(sums) - 1
+        starts = range(first, at - 15)
+        value, start = max(((sums[at] - sums[s], s) for s in starts), default=(0.0, 0), key=lambda x: x[0])
+        if best[0] and sums[at] <= sums[best[2]] - least:
+            out, first, best = [*out, best[1:]], at, (0.0, 0, 0)
+        elif value >= least and value > best[0]:
+            best = value, start, at
+    return out + [best[1:]] * bool(best[0])
+
+
+def test_secrets_inside_longer_runs(spark, model):
+    """Keys behind a name or a path, two of them in a run, and around a span of the fixed rules."""
+    ratio, name, digits = ratios(SAMPLES), "user_name_from_table_value=", "0123456789abcdef" * 2
+    key, other, path = RANDOM[50], RANDOM[51], "/user/name/from/table/value/get/table/"
+    cases = [
+        (f"x {name}{key} y", [key]), (f"é🙂 {path}{key}", [key]), (f"{path}{key}{path}", [key]),
+        (f"{name}{key}{path}{name}{other}_{name}", [key, other]), (f"{name}{path}{name}", []),
+        (f"{key}_{digits}_{other} {digits}", [key, other]),
+        (f"{name}{key}_{digits}_{name}", [key]), (f"secret={key} {name}{key}", [key]),
+        (" ".join([name + key] * 300), [key] * 300),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = secret_scan.scan(docs, model, cut=True).collect()
+    for row in got:
+        text, keys = cases[row.doc_id]
+        blank = list(text)
+        for start, _, end in base(text):
+            blank[start:end] = " " * (end - start)
+        want = [
+            (m.start() + a, 3, m.start() + b)
+            for m in re.finditer(secret_scan.TOKEN, "".join(blank)) for a, b in stretches(m[0], ratio, 8.0)
+        ]
+        assert [tuple(s) for s in row.markov] == want, text[:80]
+        assert len(want) == len(keys), text[:80]
+        assert all(k[4:-4] in text[a:b] for k, (a, _, b) in zip(keys, want)), text[:80]
+        assert all(b - a <= len(k) + 16 for k, (a, _, b) in zip(keys, want)), text[:80]
