@@ -158,32 +158,42 @@ def fit_yeo_johnson(df: DataFrame, target: str, by: str | None = None) -> dict:
     """
     centers: dict = {}
     names: list = ["all"]
-    for step in (0.5, 0.1, 0.01):
-        low, high = (-3.0, 5.0) if not centers else (
-            min(centers.values()) - 2 * step, max(centers.values()) + 2 * step
-        )
-        for _ in range(8):  # moves on when a maximum lies at the grid's end
-            powers = [round(low + step * i, 9) for i in range(int(round((high - low) / step)) + 1)]
-            found = yeo_johnson_moments(df, target, powers, by)
-            if by:
-                names = [*sorted(found), "all"]
-            tops = {}
-            for name in names:
-                n, j, moments = _merged([g for k, g in found.items() if k != name])
-                scores = [_likelihood(n, j, p, sq) for p, (_, sq) in zip(powers, moments)]
-                tops[name] = top = max(range(len(powers)), key=scores.__getitem__)
-                if scores[top] == float("-inf"):
-                    raise ValueError("the target is constant")
-                centers[name] = powers[top]
-                if 0 < top < len(powers) - 1:
-                    left, middle, right = scores[top - 1 : top + 2]
-                    bend = left - 2 * middle + right
-                    if bend < 0:
-                        centers[name] += 0.5 * (left - right) / bend * step
-            at_low, at_high = 0 in tops.values(), len(powers) - 1 in tops.values()
-            if not (at_low or at_high):
-                break
+    steps, low, high, enclosed = [0.5, 0.1, 0.01], -3.0, 5.0, False
+    while steps:
+        step = steps[0]
+        powers = [round(low + step * i, 9) for i in range(int(round((high - low) / step)) + 1)]
+        found = yeo_johnson_moments(df, target, powers, by)
+        if by:
+            names = [*sorted(found), "all"]
+        at_low = at_high = False
+        for name in names:
+            n, j, moments = _merged([g for k, g in found.items() if k != name])
+            scores = [_likelihood(n, j, p, sq) for p, (_, sq) in zip(powers, moments)]
+            top = max(range(len(powers)), key=scores.__getitem__)
+            if scores[top] == float("-inf"):
+                raise ValueError("the target is constant")
+            centers[name] = powers[top]
+            if top == 0 and scores[0] > scores[1]:
+                at_low = True
+            elif top == len(powers) - 1 and scores[top] > scores[top - 1]:
+                at_high = True
+            elif 0 < top < len(powers) - 1:
+                left, middle, right = scores[top - 1 : top + 2]
+                bend = left - 2 * middle + right
+                if bend == float("-inf") and len(steps) == 1:
+                    raise ValueError("the likelihood has no maximum at a power that can be worked out")
+                if float("-inf") < bend < 0:
+                    centers[name] += 0.5 * (left - right) / bend * step
+        if (at_low or at_high) and not enclosed:  # looks four times as far, in steps as much wider
+            steps.insert(0, 4 * step)
+            low, high = 4 * low, 4 * high
+        elif at_low or at_high:
             low, high = low - 4 * step * at_low, high + 4 * step * at_high
+        else:
+            enclosed = True
+            steps.pop(0)
+            if steps:
+                low, high = min(centers.values()) - 2 * steps[0], max(centers.values()) + 2 * steps[0]
     powers = sorted(set(centers.values()))
     found = yeo_johnson_moments(df, target, powers, by)
     out = {}

@@ -135,3 +135,19 @@ def test_closer_rank_decides_by_distance():
     lower = closer_rank(points, center, r, center - r, False)
     want = (np.abs(points[None, :] - center[:, None]) < r[:, None]).sum(1)
     np.testing.assert_array_equal(upper - lower, want)
+
+
+@pytest.mark.parametrize("power", [60.0, -90.0])
+def test_yeo_johnson_power_beyond_the_first_grid(spark, power):
+    z = np.random.default_rng(5).normal(0.5, 0.1, 2000)
+    y = (1 + power * z if power > 0 else z) ** (1 / power) - 1
+    df = spark.createDataFrame([(float(v),) for v in y], "y double")
+    got = transforms.fit_yeo_johnson(df, "y")["all"].power
+
+    def likelihood(p):
+        t = ((1 + y) ** p - 1) / p
+        return -len(y) / 2 * np.log(t.var()) + (p - 1) * np.log1p(y).sum()
+
+    best = max(np.arange(-400, 400, 0.25) + 0.125, key=likelihood)
+    assert best * power > 0 and abs(best) > 30 and abs(got - best) < 0.25
+    assert likelihood(got) >= max(likelihood(got - 0.05), likelihood(got + 0.05))
