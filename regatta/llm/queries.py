@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import chat, context_mixing, ngram_join, packing, repair, secret_scan, toxicity, url_rules, va_file, wu_manber
+from regatta.llm import (
+    chat,
+    context_mixing,
+    exact_copies,
+    fill_middle,
+    filter_audit,
+    ngram_join,
+    packing,
+    repair,
+    secret_scan,
+    toxicity,
+    url_rules,
+    va_file,
+    wu_manber,
+)
 from regatta.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +269,92 @@ def op10_kneser_ney_toxicity(spark, sf):
         "doc_id", held_out(3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_skip_list_middle(spark, sf):
+    """Every text in a fill-in-middle form, and its digest after the form is undone."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    made = fill_middle.transform(docs)
+    text = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op11_skip_list_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+k AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+             ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3,
+             ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+             array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_exact_copies(spark, sf):
+    """Every document with the one that stays of its equal texts."""
+    return exact_copies.copies(table(spark, sf, "documents"))
+
+
+ORACLE["op12_exact_copies"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       coalesce(row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1, false) AS kept,
+       sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query
+def op13_filter_audit(spark, sf):
+    """Every step of all orders of five filters, with exact Shapley values, for each language."""
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+              'C': 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'),
+              'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS x
+      FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, [x.A, x.B, x.C, x.D, x.E] AS v FROM f),
+c AS (SELECT part, v, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM m GROUP BY ALL),
+a(i) AS (SELECT unnest([1, 2, 3, 4, 5])),
+o AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM a p, a q, a r, a s, a u
+      WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+e AS (SELECT c.*, o.o, coalesce(list_position(list_transform(o.o, lambda k: v[k]), true), 9) AS hit FROM c, o),
+g AS (SELECT part, o, k.i AS step,
+             sum(n) FILTER (hit > k.i) AS kept, sum(n) FILTER (hit = k.i) AS removed,
+             sum(n) FILTER (hit < k.i AND v[o[k.i]]) AS redundant,
+             sum(n) FILTER (v[o[k.i]] AND len(list_filter(v, lambda z: z)) = 1) AS unique_fails,
+             sum(good) FILTER (hit = k.i) AS good_lost, sum(toxic) FILTER (hit = k.i) AS toxic_lost
+      FROM e, a k GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, step::INT AS step,
+       coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, o[step])::BIGINT AS shapley
+FROM g
+"""
