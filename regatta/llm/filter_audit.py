@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import col
+from regatta.session import materialize
 
 FILTERS = "ABCDE"
 
@@ -147,11 +148,11 @@ def failures(
         "id", "part", "digest", "failed", "n",
         F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"),
     )
-    alike = said.groupBy("digest", "part", "failed", "good", "toxic").agg(
+    alike = materialize(said.groupBy("digest", "part", "failed", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("id").alias("first"),
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless"),
         F.min_by("n", "id").alias("at_first"),
-    )
+    ))
     # Of the copies of a text those of the smallest id, and rows without an id, pass filter E.
     least = alike.groupBy("digest").agg(F.min("first").alias("least"))
     alike = alike.join(least, "digest").withColumn(
