@@ -34,6 +34,10 @@ class FittedModel:
     def raw(self, df: DataFrame, output: str) -> DataFrame:
         raise NotImplementedError
 
+    def decide(self, x: np.ndarray) -> np.ndarray:
+        """``raw`` for rows of numbers in the order of the features."""
+        raise NotImplementedError
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Adds the prediction on the target's own scale; row-parallel, no shuffle."""
         out = self.raw(df, output)
@@ -89,5 +93,8 @@ def require_positive(name: str, value) -> None:
         raise ValueError(f"{name} must be positive")
 
 
-def as_label(df: DataFrame, target: Column, transform: TargetTransform, name: str = "__y") -> DataFrame:
-    return df.withColumn(name, transform.forward(target.cast("double")))
+def complete_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that have a number in every one of these columns; a fit takes no others."""
+    for name in names:
+        df = df.where(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
+    return df

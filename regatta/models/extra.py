@@ -8,16 +8,15 @@ sums left of the cuts. Tasks hold sums per open node and feature, never rows.
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from regatta.columns import col
-from regatta.functions.hashing import add_key_hash
-from regatta.models.base import FittedModel, as_label
+from regatta.models.base import FittedModel
 from regatta.models.ensemble import Ensemble, Tree, predict_ensemble
-from regatta.models.partials import map_reduce, matrix
+from regatta.models.together import FitTable, Request, Step
 
 CELLS_PER_PASS = 2_000_000  # open nodes x features held by one task
 SLICE = 4096  # open nodes per array that travels
@@ -28,6 +27,9 @@ POISSON_CDF = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040,
 class ExtraTreesModel(FittedModel):
     ensemble_: Ensemble = None
 
+    def decide(self, x: np.ndarray) -> np.ndarray:
+        return self.ensemble_.predict(x)
+
     def raw(self, df: DataFrame, output: str) -> DataFrame:
         return predict_ensemble(df, self.ensemble_, self.features, output)
 
@@ -64,36 +66,32 @@ class _Growing:
         return len(self.feature) - 1
 
 
-def bag_weights(row_hash: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """Poisson(1) copies of each row in a tree's bootstrap, a function of the row's key."""
+def row_uniform(row_hash: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each row and tree, a function of the row's key."""
     salt = (seed * 7919 + tree * 104729 + 1) & 0xFFFFFFFF
     with np.errstate(over="ignore"):
         z = row_hash.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return np.searchsorted(POISSON_CDF, z.astype(np.float64) / 2.0**64).astype(float)
+    return z.astype(np.float64) / 2.0**64
+
+
+def bag_weights(row_hash: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """Poisson(1) copies of each row in a tree's bootstrap."""
+    return np.searchsorted(POISSON_CDF, row_uniform(row_hash, tree, seed)).astype(float)
 
 
-def fit_extra_trees(
-    df: DataFrame, features: list[str], target: str, transform, params: dict, seed: int,
-    key_cols: list[str],
-) -> ExtraTreesModel:
+def extra_steps(
+    table: FitTable, label: int, fold: int | None, transform, params: dict, seed: int,
+) -> Generator[Request, dict, ExtraTreesModel]:
+    """One fit on the rows outside a fold, as steps of ``fit_together``."""
     n_trees = int(params.get("n_estimators", 100))
     max_depth = int(params.get("max_depth", 30))
-    min_split = int(params.get("min_samples_split", 2))
-    min_leaf = int(params.get("min_samples_leaf", 1))
-    bootstrap = bool(params.get("bootstrap", False))
-
-    hashed = add_key_hash(df, key_cols, "__row", seed) if bootstrap else df
-    rows = as_label(hashed, col(target), transform).select(
-        *[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)],
-        "__y",
-        *(["__row"] if bootstrap else []),
-    )
-    d = len(features)
-    rng = np.random.default_rng(seed)
+    limits = (int(params.get("min_samples_split", 2)), int(params.get("min_samples_leaf", 1)))
+    d, rng = len(table.features), np.random.default_rng(seed)
     trees = [_Growing() for _ in range(n_trees)]
+    sample = (seed, bool(params.get("bootstrap", False)))
     open_nodes = [(t, 0) for t in range(n_trees)]
     for depth in range(max_depth + 1):
         if not open_nodes:
@@ -102,17 +100,18 @@ def fit_extra_trees(
         step = max(1, CELLS_PER_PASS // (d + 1))
         for start in range(0, len(open_nodes), step):
             part = open_nodes[start : start + step]
-            reached += _grow(rows, trees, part, d, rng, seed, bootstrap, min_split, min_leaf,
-                             last=depth == max_depth)
+            reached += yield from _grow(
+                label, fold, trees, part, d, rng, sample, *limits, last=depth == max_depth)
         open_nodes = reached
     model = Ensemble([t.frozen() for t in trees], [1.0 / n_trees] * n_trees)
-    return ExtraTreesModel("ET", list(features), dict(params), transform, [], model)
+    return ExtraTreesModel("ET", list(table.features), dict(params), transform, [], model)
 
 
-def _grow(rows, trees, nodes, d, rng, seed, bootstrap, min_split, min_leaf, last):
+def _grow(label, fold, trees, nodes, d, rng, sample, min_split, min_leaf, last):
     """Split what can be split among ``nodes`` and return the new open nodes."""
     slots = {node: s for s, node in enumerate(nodes)}
-    low, high, count, total = _ranges(rows, trees, slots, d, seed, bootstrap)
+    found = yield Request(_Ranges(trees, slots, d, sample), label, fold)
+    low, high, count, total = joined(found)
     splittable = []
     for (t, node), s in slots.items():
         trees[t].cover[node] = float(count[s])
@@ -127,7 +126,8 @@ def _grow(rows, trees, nodes, d, rng, seed, bootstrap, min_split, min_leaf, last
     # a cut lies in [low, high), so both sides of a drawn cut hold rows
     cuts = low[picked, :d] + rng.random((len(picked), d)) * (high[picked, :d] - low[picked, :d])
     at = {node: s for s, node in enumerate(splittable)}
-    left_n, left_y = _left_sums(rows, trees, at, cuts, d, seed, bootstrap)
+    found = yield Request(_LeftSums(trees, at, d, sample, cuts), label, fold)
+    left_n, left_y = joined(found)
     n = count[picked][:, None]
     y = total[picked][:, None]
     right_n, right_y = n - left_n, y - left_y
@@ -152,34 +152,6 @@ def _grow(rows, trees, nodes, d, rng, seed, bootstrap, min_split, min_leaf, last
     return opened
 
 
-def _routed(batch, names, work, seed, bootstrap):
-    """Per tree: rows sorted by open node, as ``(order, starts, slots, weights)``."""
-    x = matrix(batch, names)
-    row = batch.column(batch.schema.get_field_index("__row")).to_numpy() if bootstrap else None
-    for t, tree, lookup in work:
-        slot = lookup[tree.leaves(x)]
-        w = bag_weights(row, t, seed) if bootstrap else np.ones(len(x))
-        order = np.flatnonzero((slot >= 0) & (w > 0))
-        order = order[np.argsort(slot[order], kind="stable")]
-        if len(order):
-            found, starts = np.unique(slot[order], return_index=True)
-            yield x[order], order, starts, found, w[order]
-
-
-def _shared(rows, trees, slots):
-    """Trees with open nodes and their node -> slot lookups, sent to every task once."""
-    by_tree: dict[int, list] = {}
-    for (t, node), s in slots.items():
-        by_tree.setdefault(t, []).append((node, s))
-    work = []
-    for t, pairs in sorted(by_tree.items()):
-        lookup = np.full(len(trees[t].feature), -1)
-        for node, s in pairs:
-            lookup[node] = s
-        work.append((t, trees[t].frozen(), lookup))
-    return rows.sparkSession.sparkContext.broadcast(work)
-
-
 def sliced(*arrays) -> dict:
     """Arrays cut along the open nodes, so that many executors share the merging."""
     size = len(arrays[0])
@@ -190,49 +162,75 @@ def joined(slices: dict) -> tuple:
     return tuple(np.concatenate(parts) for parts in zip(*(slices[i] for i in sorted(slices))))
 
 
-def _ranges(rows, trees, slots, d, seed, bootstrap):
-    work = _shared(rows, trees, slots)
-    names, size = [f"f{i}" for i in range(d)], len(slots)
-
-    def summarize(batches):
-        low = np.full((size, d + 1), np.inf)
-        high = np.full((size, d + 1), -np.inf)
-        count, total = np.zeros(size), np.zeros(size)
-        for batch in batches:
-            y = matrix(batch, ["__y"])[:, 0]
-            for x, order, starts, found, w in _routed(batch, names, work.value, seed, bootstrap):
-                both = np.column_stack([x, y[order]])
-                low[found] = np.minimum(low[found], np.minimum.reduceat(both, starts))
-                high[found] = np.maximum(high[found], np.maximum.reduceat(both, starts))
-                count[found] += np.add.reduceat(w, starts)
-                total[found] += np.add.reduceat(w * y[order], starts)
-        return sliced(low, high, count, total)
-
-    def combine(a, b):
+class _Routing(Step):
+    """Rows of each tree by open node. Trees with open nodes go to a task with their lookups."""
+
+    def __init__(self, trees, slots: dict, d: int, sample: tuple[int, bool]):
+        by_tree: dict[int, list] = {}
+        for (t, node), s in slots.items():
+            by_tree.setdefault(t, []).append((node, s))
+        self.work = []
+        for t, pairs in sorted(by_tree.items()):
+            lookup = np.full(len(trees[t].feature), -1)
+            for node, s in pairs:
+                lookup[node] = s
+            self.work.append((t, trees[t].frozen(), lookup))
+        self.n, self.d, self.sample = len(slots), d, sample
+        self.size = 32 * self.n * (d + 1) + sum(56 * len(lookup) for *_, lookup in self.work)
+
+    def routed(self, x, h):
+        """Per tree ``(rows in the order of their nodes, starts, slots, weights)``."""
+        seed, bootstrap = self.sample
+        for t, tree, lookup in self.work:
+            slot = lookup[tree.leaves(x)]
+            w = bag_weights(h, t, seed) if bootstrap else np.ones(len(x))
+            order = np.flatnonzero((slot >= 0) & (w > 0))
+            order = order[np.argsort(slot[order], kind="stable")]
+            if len(order):
+                found, starts = np.unique(slot[order], return_index=True)
+                yield order, starts, found, w[order]
+
+    def sums(self, state):
+        return sliced(*state)
+
+
+class _Ranges(_Routing):
+    """Smallest and largest values, rows and label sums of the open nodes."""
+
+    def start(self):
+        shape = (self.n, self.d + 1)
+        return [np.full(shape, np.inf), np.full(shape, -np.inf), np.zeros(self.n), np.zeros(self.n)]
+
+    def add(self, state, x, y, h):
+        low, high, count, total = state
+        for order, starts, found, w in self.routed(x, h):
+            both = np.column_stack([x[order], y[order]])
+            low[found] = np.minimum(low[found], np.minimum.reduceat(both, starts))
+            high[found] = np.maximum(high[found], np.maximum.reduceat(both, starts))
+            count[found] += np.add.reduceat(w, starts)
+            total[found] += np.add.reduceat(w * y[order], starts)
+
+    def combine(self, a, b):
         return (np.minimum(a[0], b[0]), np.maximum(a[1], b[1]), a[2] + b[2], a[3] + b[3])
 
-    out = joined(map_reduce(rows, summarize, combine))
-    work.unpersist()
-    return out
-
-
-def _left_sums(rows, trees, slots, cuts, d, seed, bootstrap):
-    work = _shared(rows, trees, slots)
-    drawn = rows.sparkSession.sparkContext.broadcast(cuts)
-    names, size = [f"f{i}" for i in range(d)], len(slots)
-
-    def summarize(batches):
-        n, s = np.zeros((size, d)), np.zeros((size, d))
-        for batch in batches:
-            y = matrix(batch, ["__y"])[:, 0]
-            for x, order, starts, found, w in _routed(batch, names, work.value, seed, bootstrap):
-                slot = np.repeat(found, np.diff(np.append(starts, len(order))))
-                goes_left = (x <= drawn.value[slot]) * w[:, None]
-                n[found] += np.add.reduceat(goes_left, starts)
-                s[found] += np.add.reduceat(goes_left * y[order][:, None], starts)
-        return sliced(n, s)
-
-    out = joined(map_reduce(rows, summarize, lambda a, b: (a[0] + b[0], a[1] + b[1])))
-    work.unpersist()
-    drawn.unpersist()
-    return out
+
+class _LeftSums(_Routing):
+    """Rows and label sums left of the drawn cuts."""
+
+    def __init__(self, trees, slots, d, sample, cuts):
+        super().__init__(trees, slots, d, sample)
+        self.cuts = cuts
+
+    def start(self):
+        return [np.zeros((self.n, self.d)), np.zeros((self.n, self.d))]
+
+    def add(self, state, x, y, h):
+        n, s = state
+        for order, starts, found, w in self.routed(x, h):
+            slot = np.repeat(found, np.diff(np.append(starts, len(order))))
+            goes_left = (x[order] <= self.cuts[slot]) * w[:, None]
+            n[found] += np.add.reduceat(goes_left, starts)
+            s[found] += np.add.reduceat(goes_left * y[order][:, None], starts)
+
+    def combine(self, a, b):
+        return a[0] + b[0], a[1] + b[1]

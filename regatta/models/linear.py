@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import col, total
-from regatta.models.base import FittedModel
+from regatta.models.base import FittedModel, complete_rows
 from regatta.models.partials import map_reduce, matrix
 
 JVM_COLUMNS = 10  # up to here the products are plain SQL sums, beyond it numpy in tasks
@@ -46,7 +46,8 @@ def product_sums(
 ) -> tuple[np.ndarray, dict]:
     """``(center, {group: S})`` with S the sums of products of ``[1, columns - center]``.
 
-    Centering first keeps the sums accurate for columns far from zero.
+    Centering first keeps the sums accurate for columns far from zero. Rows with a missing value
+    in any of the columns are left out.
     """
     names = list(columns)
     base = df.select(
@@ -54,6 +55,7 @@ def product_sums(
         *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())],
     )
     fields = [f"c{i}" for i in range(len(names))]
+    base = complete_rows(base, fields)
     center = np.zeros(len(names))
     if shift:
         means = base.agg(*[F.avg(f).alias(f) for f in fields]).first()

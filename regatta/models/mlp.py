@@ -8,19 +8,18 @@ the weights travel.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Generator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from regatta.columns import col
-from regatta.functions.hashing import MODULUS, add_key_hash
-from regatta.models.base import FittedModel, as_label
-from regatta.models.partials import map_reduce, matrix
-from regatta.operators.transforms import robust_fit
+from regatta.models.base import FittedModel
+from regatta.models.extra import row_uniform
+from regatta.models.together import FitTable, Request, Step
 
 ROWS_PER_WORKER = 20_000
 PATIENCE = 10
@@ -111,114 +110,100 @@ def gradient(x, y, flat, shapes, activation, alpha) -> tuple[float, np.ndarray]:
     return loss, np.concatenate(parts[::-1])
 
 
-def fit_mlp(
-    df: DataFrame, features: list[str], target: str, transform, params: dict, seed: int,
-    key_cols: list[str],
-) -> MlpModel:
+class _Round(Step):
+    """One pass: every worker's own Adam run, summed with row counts as weights."""
+
+    def __init__(self, model: MlpModel, state: tuple, steps: int, early: bool, seed: int):
+        self.model, self.state, self.steps, self.early, self.seed = replace(model, flat=None), state, steps, early, seed
+        self.size = 64 * len(state[0])
+
+    def start(self):
+        flat, m, v = (a.copy() for a in self.state)
+        return {"flat": flat, "m": m, "v": v, "rng": np.random.default_rng(self.seed), "t": self.steps,
+                "n": 0, "loss": 0.0, "held_n": 0, "held": 0.0, "taken": 0}
+
+    def add(self, state, x, y, h):
+        model, params, shapes = self.model, self.model.params, self.model.shapes
+        batch_size = int(params.get("batch_size", 200))
+        rate = float(params.get("learning_rate_init", 1e-3))
+        alpha, activation = float(params.get("alpha", 1e-4)), params.get("activation", "relu")
+        x, y = (x - model.center) / model.scale, (y - model.y_center) / model.y_scale
+        if self.early:
+            train = row_uniform(h, 0, self.seed_of_rows) < 1 - HELD_OUT
+            if not train.all():  # scored with the weights the round started from
+                error = forward(x[~train], unflatten(self.state[0], shapes), activation)[-1][:, 0] - y[~train]
+                state["held"] += 0.5 * (error @ error)
+                state["held_n"] += len(error)
+            x, y = x[train], y[train]
+        order = state["rng"].permutation(len(y))
+        flat, m, v = state["flat"], state["m"], state["v"]
+        for i in range(0, len(y), batch_size):
+            part = order[i : i + batch_size]
+            value, g = gradient(x[part], y[part], flat, shapes, activation, alpha)
+            state["t"] += 1
+            state["taken"] += 1
+            m = BETA1 * m + (1 - BETA1) * g
+            v = BETA2 * v + (1 - BETA2) * g * g
+            step = rate * (m / (1 - BETA1 ** state["t"])) / (np.sqrt(v / (1 - BETA2 ** state["t"])) + EPS)
+            flat = flat - step
+            state["loss"] += value * len(part)
+        state["flat"], state["m"], state["v"] = flat, m, v
+        state["n"] += len(y)
+
+    seed_of_rows = 0
+    """The rows held out for early stopping are the same in every round."""
+
+    def sums(self, s):
+        counts = np.array([s["n"], s["loss"], s["held_n"], s["held"], s["taken"]], float)
+        return {0: (counts, s["n"] * np.stack([s["flat"], s["m"], s["v"]]))}
+
+    def combine(self, a, b):
+        counts = a[0] + b[0]
+        counts[4] = max(a[0][4], b[0][4])
+        return counts, a[1] + b[1]
+
+
+def worker_count(table: FitTable, params: dict) -> int:
+    """Runs that are averaged: part of the model and not of the cluster."""
+    each = int(params.get("rows_per_worker", ROWS_PER_WORKER))
+    return max(1, -(-table.label_summary(0, None)[0] // each))
+
+
+def mlp_steps(
+    table: FitTable, label: int, fold: int | None, transform, params: dict, seed: int,
+) -> Generator[Request, dict, MlpModel]:
+    """One fit on the rows outside a fold, as steps of ``fit_together`` over dealt rows."""
     activation = params.get("activation", "relu")
     if activation not in ("relu", "tanh"):
         raise ValueError(f"unknown activation: {activation}")
     # the schedule belongs to plain gradient descent; Adam does not read it
     ignored = ["learning_rate"] if "learning_rate" in params else []
-    model = MlpModel("NN", list(features), dict(params), transform, ignored)
-    scaled = robust_fit(df, features)
-    model.center = np.array([scaled[f][0] for f in features])
-    model.scale = np.array([scaled[f][1] for f in features])
-    names = [f"f{i}" for i in range(len(features))]
-    rows = as_label(add_key_hash(df, key_cols, "__h", seed), col(target), transform).select(
-        *[col(f).cast("double").alias(n) for f, n in zip(features, names)], "__y", "__h"
-    )
-    summary = rows.agg(
-        F.count("*").alias("n"), F.avg("__y").alias("m"), F.stddev_pop("__y").alias("s")
-    ).first()
-    model.y_center, model.y_scale = float(summary["m"]), float(summary["s"] or 0.0) or 1.0
-
-    # the number of runs that are averaged is part of the model, not of the cluster
-    each = int(model.params.setdefault("rows_per_worker", ROWS_PER_WORKER))
-    workers = max(1, -(-summary["n"] // each))
-    dealt = (
-        rows.repartition(workers, "__h")
-        .sortWithinPartitions("__h", *names)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        _train(dealt, names, model, seed)
-    finally:
-        dealt.unpersist()
-    return model
-
+    model = MlpModel("NN", list(table.features), dict(params), transform, ignored)
+    model.params.setdefault("rows_per_worker", ROWS_PER_WORKER)
+    model.center, model.scale = table.scaling(fold)
+    n, mean, deviation = table.label_summary(label, fold)
+    if not n:
+        raise ValueError("no rows to fit")
+    model.y_center, model.y_scale = mean, deviation or 1.0
 
-def _train(rows: DataFrame, names: list[str], model: MlpModel, seed: int) -> None:
-    params = model.params
     early = bool(params.get("early_stopping", False))
-    cap = int(params.get("max_iter", 200))
-    shapes = model.shapes
-    flat = initial(shapes, np.random.default_rng(seed))
+    flat = initial(model.shapes, np.random.default_rng(seed))
     state = (flat, np.zeros_like(flat), np.zeros_like(flat))
     best, best_flat, stale, steps = np.inf, flat, 0, 0
-    for r in range(cap):
+    for r in range(int(params.get("max_iter", 200))):
         start = state[0]
-        done = _round(rows, names, model, state, steps, early, seed + r)
-        n, loss, held_n, held, most = done[0]
+        done = yield Request(_Round(model, state, steps, early, seed + r), label, fold)
+        (n, loss, held_n, held, most), sums = done[0]
         weight = max(n, 1.0)
-        state = tuple(v / weight for v in done[1])
+        state = tuple(v / weight for v in sums)
         steps += int(most)
         model.rounds = r + 1
         value = held / held_n if early and held_n else loss / weight
-        if value < best - LOSS_TOL:
-            stale = 0
-        else:
-            stale += 1
+        stale = 0 if value < best - LOSS_TOL else stale + 1
         if value < best:
             # held-out rows were scored with the weights the round started from
             best, best_flat = value, (start if early and held_n else state[0])
         if stale >= PATIENCE:
             break
     model.flat = best_flat if early else state[0]
-
-
-def _round(rows, names, model, state, steps, early, seed):
-    """One pass: every worker's own Adam run, summed with row counts as weights."""
-    params, shapes = model.params, model.shapes
-    shared = rows.sparkSession.sparkContext.broadcast((model, state))
-    batch_size = int(params.get("batch_size", 200))
-    rate = float(params.get("learning_rate_init", 1e-3))
-    alpha = float(params.get("alpha", 1e-4))
-    activation = params.get("activation", "relu")
-    cut = int(MODULUS * (1 - HELD_OUT)) if early else MODULUS
-
-    def summarize(batches):
-        base, (flat, m, v) = shared.value
-        flat, m, v = flat.copy(), m.copy(), v.copy()
-        rng, t = np.random.default_rng(seed), steps
-        n, loss, held_n, held, taken = 0, 0.0, 0, 0.0, 0
-        for batch in batches:
-            x = (matrix(batch, names) - base.center) / base.scale
-            y = (matrix(batch, ["__y"])[:, 0] - base.y_center) / base.y_scale
-            train = matrix(batch, ["__h"])[:, 0] < cut
-            if not train.all():  # scored with the weights the round started from
-                start = unflatten(shared.value[1][0], shapes)
-                error = forward(x[~train], start, activation)[-1][:, 0] - y[~train]
-                held, held_n = held + 0.5 * (error @ error), held_n + len(error)
-            x, y = x[train], y[train]
-            order = rng.permutation(len(y))
-            for i in range(0, len(y), batch_size):
-                part = order[i : i + batch_size]
-                value, g = gradient(x[part], y[part], flat, shapes, activation, alpha)
-                t, taken = t + 1, taken + 1
-                m = BETA1 * m + (1 - BETA1) * g
-                v = BETA2 * v + (1 - BETA2) * g * g
-                flat = flat - rate * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + EPS)
-                loss += value * len(part)
-            n += len(y)
-        return {0: (np.array([n, loss, held_n, held, taken], float), n * np.stack([flat, m, v]))}
-
-    def combine(a, b):
-        most = max(a[0][4], b[0][4])
-        sums = a[0] + b[0]
-        sums[4] = most
-        return sums, a[1] + b[1]
-
-    out = map_reduce(rows, summarize, combine)[0]
-    shared.unpersist()
-    return out
+    return model

@@ -1,13 +1,12 @@
 """Combining per-task numpy results without piling them on the driver.
 
-A pass over the rows yields one small array per task and key. With many tasks the arrays meet
-on executors, in groups of about the square root of their number and then per key, so that the
-driver gets one array per key: its size depends on the model and not on the rows or tasks.
+A pass over the rows yields one small array per task and key. With many tasks or large arrays
+they meet on executors, a few tasks at a time and level by level, so that the driver gets one
+array per key: its size depends on the model and not on the rows or tasks.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -18,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIRECT = 64  # up to this many tasks, their results go straight to the driver
-MAX_GROUPS = 512
+DIRECT_BYTES = 256 << 20  # if all of them together are no larger
+FAN = 32  # results that meet in one group
 TASK_BYTES = 32 << 20
 
 
@@ -42,9 +42,12 @@ def map_reduce(
     df: DataFrame,
     summarize: Callable[[Iterator[pa.RecordBatch]], dict],
     combine: Callable,
+    tasks: int | None = None,
+    size: int = 0,
 ) -> dict:
     """``summarize`` turns one task's batches into ``{key: array(s)}``; equal keys are
-    merged with ``combine``, which must be associative and commutative."""
+    merged with ``combine``, which must be associative and commutative. ``tasks`` is the number
+    of partitions, if known, and ``size`` about the bytes of a task's results."""
 
     def per_task(batches):
         items = summarize(batches)
@@ -62,23 +65,19 @@ def map_reduce(
         for blob in pdf["blob"]:
             value = pickle.loads(blob)
             total = value if total is None else combine(total, value)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "blob": [pickle.dumps(total)]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "g": [pdf["g"].iloc[0]], "blob": [pickle.dumps(total)]})
 
-    schema = "key bigint, blob binary"
-    partials = df.mapInArrow(per_task, schema)
-    tasks = expected_tasks(df)
-    if tasks > DIRECT:
-        groups = min(MAX_GROUPS, math.ceil(math.sqrt(tasks)))
-        partials = (
-            partials.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
-            .groupBy("key", "g")
-            .applyInPandas(merge, schema)
-            .groupBy("key")
-            .applyInPandas(merge, schema)
-        )
+    partials = df.mapInArrow(per_task, "key bigint, blob binary")
+    tasks = expected_tasks(df) if tasks is None else tasks
+    if tasks > DIRECT or tasks * size > DIRECT_BYTES:
+        partials = partials.withColumn("g", F.spark_partition_id())
+        while tasks > 1:
+            tasks = -(-tasks // FAN)
+            at = F.call_function("div", F.col("g"), F.lit(FAN)) if tasks > 1 else F.lit(0)
+            partials = partials.withColumn("g", at.cast("int")).groupBy("key", "g").applyInPandas(
+                merge, "key bigint, g int, blob binary")
     out: dict = {}
     for row in partials.collect():
         value = pickle.loads(bytes(row["blob"]))
         out[row["key"]] = value if row["key"] not in out else combine(out[row["key"]], value)
     return out
-

@@ -8,7 +8,8 @@ Nystroem map (Williams and Seeger 2001): exact when the rows are no more than th
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Generator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import col
-from regatta.functions.hashing import add_key_hash
-from regatta.models.base import FittedModel, as_label
-from regatta.models.partials import map_reduce, matrix
-from regatta.operators.transforms import robust_fit
+from regatta.models.base import FittedModel
+from regatta.models.extra import row_uniform
+from regatta.models.together import FitTable, Request, Step
 
 LANDMARKS = 256
 MAX_ITER = 1000  # where none is given; the objective settles long before
+PATIENCE = 3  # passes at full sharpness without a gain in the objective
 KERNELS = ("linear", "rbf", "poly")
 
 
@@ -67,33 +68,95 @@ def kernel(a: np.ndarray, b: np.ndarray, params: dict) -> np.ndarray:
     return np.exp(-gamma * np.clip(squared, 0, None))
 
 
-def fit_svr(
-    df: DataFrame, features: list[str], target: str, transform, params: dict, seed: int,
-    key_cols: list[str],
-) -> SvrModel:
+class _Landmarks(Step):
+    """The rows with the smallest draws of a seed."""
+
+    def __init__(self, count: int, seed: int, d: int):
+        self.count, self.seed, self.size = count, seed, 32 * count * (d + 1)
+
+    def start(self):
+        return [np.zeros((0, 0))]
+
+    def add(self, state, x, y, h):
+        drawn = np.column_stack([row_uniform(h, 0, self.seed), x])
+        state[0] = self._least(np.vstack([state[0], drawn]) if state[0].size else drawn)
+
+    def _least(self, rows):
+        return rows[np.lexsort(rows.T[::-1])[:self.count]]
+
+    def sums(self, state):
+        return {0: state[0]} if state[0].size else {}
+
+    def combine(self, a, b):
+        return self._least(np.vstack([a, b]))
+
+
+class _Sums(Step):
+    """Sums of the surrogate least squares problem at the current fit."""
+
+    def __init__(self, model: SvrModel, epsilon: float, smooth: float | None):
+        self.model, self.epsilon, self.smooth = replace(model), epsilon, smooth
+        known = sum(a.nbytes for a in (model.landmarks, model.root) if a is not None)
+        self.size = 16 * (len(model.weights) + 2) ** 2 + known
+
+    def start(self):
+        size = len(self.model.weights) + 1
+        return [np.zeros(4), np.zeros((size, size)), np.zeros(size)]
+
+    def add(self, state, x, y, h):
+        phi = self.model.mapped(x)
+        f = phi @ self.model.weights + self.model.intercept
+        phi = np.hstack([phi, np.ones((len(y), 1))])
+        if self.smooth is None:
+            w, t = np.ones(len(y)), y
+        else:
+            above = 0.25 / np.maximum(np.abs(y - f - self.epsilon), self.smooth)
+            under = 0.25 / np.maximum(np.abs(f - y - self.epsilon), self.smooth)
+            w = above + under
+            t = ((y - self.epsilon) * above + (y + self.epsilon) * under) / w
+        loss = np.clip(np.abs(y - f) - self.epsilon, 0, None).sum()
+        state[0] += np.array([loss, len(y), y.sum(), (y * y).sum()])
+        state[1] += (phi * w[:, None]).T @ phi
+        state[2] += phi.T @ (w * t)
+
+    def sums(self, state):
+        return dict(enumerate(state))
+
+
+class _Mixing:
+    """Anderson's mixing of the latest steps of a fixed point iteration (Walker and Ni 2011)."""
+
+    def __init__(self, depth: int = 6):
+        self.depth, self.points, self.steps = depth, [], []
+
+    def next(self, at: np.ndarray, solution: np.ndarray) -> np.ndarray:
+        self.points.append(solution)
+        self.steps.append(solution - at)
+        del self.points[:-self.depth], self.steps[:-self.depth]
+        if len(self.steps) < 2:
+            return solution
+        changes = np.diff(np.array(self.steps), axis=0).T
+        share = np.linalg.lstsq(changes, self.steps[-1], rcond=1e-8)[0]
+        return solution - np.diff(np.array(self.points), axis=0).T @ share
+
+
+def svr_steps(
+    table: FitTable, label: int, fold: int | None, transform, params: dict, seed: int,
+) -> Generator[Request, dict, SvrModel]:
+    """One fit on the rows outside a fold, as steps of ``fit_together``."""
     kind = params.get("kernel", "rbf")
     if kind not in KERNELS:
         raise ValueError(f"unknown kernel: {kind}")
     ignored = ["shrinking"] if "shrinking" in params else []  # a solver shortcut, no effect
-    model = SvrModel("SVR", list(features), dict(params), transform, ignored)
-    scaled = robust_fit(df, features)
-    model.center = np.array([scaled[f][0] for f in features])
-    model.scale = np.array([scaled[f][1] for f in features])
-
-    names = [f"f{i}" for i in range(len(features))]
-    rows = as_label(df, col(target), transform).select(
-        *[col(f).cast("double").alias(n) for f, n in zip(features, names)], "__y"
-    )
+    model = SvrModel("SVR", list(table.features), dict(params), transform, ignored)
+    model.center, model.scale = table.scaling(fold)
+    d = len(table.features)
     if kind != "linear":
-        picked = (
-            add_key_hash(df, key_cols, "__h", seed)
-            .select(*[col(f).cast("double").alias(n) for f, n in zip(features, names)], "__h")
-            .orderBy("__h", *names)
-            .limit(int(model.params.setdefault("landmarks", LANDMARKS)))
-            .collect()
-        )
-        points = np.array([[r[n] for n in names] for r in picked])
-        model.landmarks = np.unique((points - model.center) / model.scale, axis=0)
+        count = int(model.params.setdefault("landmarks", LANDMARKS))
+        found = yield Request(_Landmarks(count, seed, d), label, fold)
+        if 0 not in found:
+            raise ValueError("no rows to fit")
+        model.landmarks = np.unique((found[0][:, 1:] - model.center) / model.scale, axis=0)
         values, vectors = np.linalg.eigh(kernel(model.landmarks, model.landmarks, params))
         keep = values > 1e-10 * max(values.max(), 1e-300)
         model.root = vectors[:, keep] / np.sqrt(values[keep])
@@ -101,59 +164,38 @@ def fit_svr(
     c, epsilon = float(params.get("C", 1.0)), float(params.get("epsilon", 0.1))
     tol = float(params.get("tol", 1e-3))
     passes = int(params.get("max_iter", MAX_ITER))
-    size = model.root.shape[1] if kind != "linear" else len(features)
-    model.weights, previous, smooth = np.zeros(size), None, None
+    size = model.root.shape[1] if kind != "linear" else d
+    model.weights, smooth, floor = np.zeros(size), None, 0.0
+    mixed, best, stale = _Mixing(), None, 0
     for _ in range(passes):
-        sums = _weighted_sums(rows, names, model, epsilon, smooth)
+        found = yield Request(_Sums(model, epsilon, smooth), label, fold)
+        loss, n, sy, syy = found[0]
+        if not n:
+            raise ValueError("no rows to fit")
+        spread = max(np.sqrt(max(syy / n - (sy / n) ** 2, 0.0)), 1e-12)
+        at = np.append(model.weights, model.intercept)
+        objective = 0.5 * model.weights @ model.weights + c * loss
+        # 0.5 |w|^2 + C sum W (t - f)^2 with W = 1/(4|u1|) + 1/(4|u2|)
+        system = 2 * c * found[1]
+        system[:-1, :-1] += np.eye(size)
+        solution = np.linalg.lstsq(system, 2 * c * found[2], rcond=None)[0]
         if smooth is None:  # first pass: plain least squares
-            smooth = max(np.sqrt(sums["spread"]), 1e-12)
-            gram, right = sums["plain"]
+            smooth, floor = spread, 1e-4 * spread
         else:
-            gram, right = sums["weighted"]
-            objective = 0.5 * model.weights @ model.weights + c * sums["loss"]
-            settled = previous is not None and abs(previous - objective) <= 1e-3 * tol * abs(previous)
-            if settled and smooth <= floor:
+            gained = best is None or objective < best[0] - 1e-2 * tol * abs(best[0])
+            worse = best is not None and objective > best[0]
+            if not worse:
+                best = (objective, at, solution)
+            stale = 0 if gained or smooth > floor else stale + 1
+            if stale >= PATIENCE:
                 break
-            previous = objective
-        # 0.5 |w|^2 + C sum W (t - f)^2 with W = 1/(4|u1|) + 1/(4|u2|)
-        system = 2 * c * gram
-        system[:-1, :-1] += np.eye(size)
-        solution = np.linalg.lstsq(system, 2 * c * right, rcond=None)[0]
+            if smooth > floor:
+                smooth = max(smooth / 4, floor)
+            elif worse:  # back to the plain step from the best point
+                mixed, solution = _Mixing(), best[2]
+            else:
+                solution = mixed.next(at, solution)
         model.weights, model.intercept = solution[:-1], float(solution[-1])
-        floor = 1e-4 * max(np.sqrt(sums["spread"]), 1e-12)
-        smooth = max(smooth / 4, floor)
+    if best is not None:
+        model.weights, model.intercept = best[1][:-1], float(best[1][-1])
     return model
-
-
-def _weighted_sums(rows, names, model, epsilon, smooth) -> dict:
-    """Sums of the surrogate least squares problem at the current fit."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def summarize(batches):
-        size = len(shared.value.weights) + 1
-        gram, right = np.zeros((size, size)), np.zeros(size)
-        loss, n, sy, syy = 0.0, 0, 0.0, 0.0
-        for batch in batches:
-            y = matrix(batch, ["__y"])[:, 0]
-            phi = shared.value.mapped(matrix(batch, names))
-            f = phi @ shared.value.weights + shared.value.intercept
-            phi = np.hstack([phi, np.ones((len(y), 1))])
-            loss += np.clip(np.abs(y - f) - epsilon, 0, None).sum()
-            if smooth is None:
-                w, t = np.ones(len(y)), y
-            else:
-                above = 0.25 / np.maximum(np.abs(y - f - epsilon), smooth)
-                under = 0.25 / np.maximum(np.abs(f - y - epsilon), smooth)
-                w = above + under
-                t = ((y - epsilon) * above + (y + epsilon) * under) / w
-            gram += (phi * w[:, None]).T @ phi
-            right += phi.T @ (w * t)
-            n, sy, syy = n + len(y), sy + y.sum(), syy + (y * y).sum()
-        return {0: np.array([loss, n, sy, syy]), 1: gram, 2: right}
-
-    out = map_reduce(rows, summarize, lambda a, b: a + b)
-    shared.unpersist()
-    loss, n, sy, syy = out[0]
-    spread = max(syy / n - (sy / n) ** 2, 0.0)
-    key = "plain" if smooth is None else "weighted"
-    return {"loss": loss, "spread": spread, key: (out[1], out[2])}

@@ -1,179 +1,72 @@
-"""Random forests and boosted trees from Spark ML's trees."""
+"""Random forests and boosted trees on a binned table."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
-import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from regatta.columns import col
-from regatta.models.base import FittedModel, as_label
-from regatta.models.ensemble import MAX_NODES, Ensemble, Tree
+from regatta.models.base import FittedModel
+from regatta.models.binned import BinnedTable
 from regatta.models.extra import ExtraTreesModel
-from regatta.session import materialize, shared_folder
+from regatta.models.grow import Fit, Limits, Plan, grow
+from regatta.models.together import FitTable, Job
 
-MAX_DEPTH = 30  # Spark's limit, and the search space's
+BINNED = ("RF", "XGB", "LGB")
 FOREST_BINS = 64
-ROUNDS_PER_TABLE = 10
-
-# Parameters that decide nothing here: Spark's trees have no counterpart.
-XGB_IGNORED = ("tree_method", "lambda", "alpha", "gamma")
-LGB_IGNORED = ("num_leaves", "reg_alpha", "reg_lambda", "bagging_freq", "min_split_gain")
-
-
-@dataclass
-class SparkTreeModel(FittedModel):
-    pipeline: PipelineModel | None = None
 
-    def raw(self, df: DataFrame, output: str) -> DataFrame:
-        assembler, trees = self.pipeline.stages
-        trees.setPredictionCol(output)
-        out = trees.transform(assembler.transform(df.withColumns(_inputs(self.features))))
-        return out.drop("__features", *_inputs(self.features))
+MODELS_TOGETHER = 40
+"""Models whose fits a row of the table holds, 8 bytes each."""
 
-    def ensemble(self, spark: SparkSession) -> Ensemble:
-        return read_ensemble(spark, self.pipeline.stages[-1])
 
+def plan(family: str, params: dict, seed: int, d: int) -> tuple[Plan, int, list[str]]:
+    """The plan of a family's parameters, its bins, and the parameters that decide nothing.
 
-def regressor(family: str, params: dict, seed: int) -> tuple:
-    """The Spark ML estimator of a family and the names of parameters it cannot use."""
+    Penalties are off unless given.
+    """
     p = dict(params)
-    common = {"featuresCol": "__features", "labelCol": "__y", "seed": seed, "maxMemoryInMB": 1024}
-    depth = int(p.get("max_depth", MAX_DEPTH if family == "RF" else 6))
-    if depth > MAX_DEPTH:
-        raise ValueError(f"max_depth {depth} is above {MAX_DEPTH}, the deepest Spark grows")
+    n_trees = int(p.get("n_estimators", 100))
     if family == "RF":
-        leaf = int(p.get("min_samples_leaf", 1))
-        ignored = []
-        if int(p.get("min_samples_split", 2)) > 2 * leaf:
-            ignored.append("min_samples_split")  # otherwise implied by the leaf size
-        return RandomForestRegressor(
-            numTrees=int(p.get("n_estimators", 100)),
-            maxDepth=depth,
-            minInstancesPerNode=leaf,
-            bootstrap=bool(p.get("bootstrap", True)),
-            featureSubsetStrategy="all",
-            maxBins=int(p.get("max_bins", FOREST_BINS)),
-            **common,
-        ), ignored
+        limits = Limits(
+            max_depth=int(p.get("max_depth", 30)), min_split=int(p.get("min_samples_split", 2)),
+            min_leaf=int(p.get("min_samples_leaf", 1)))
+        made = Plan(False, n_trees, limits, seed, bootstrap=bool(p.get("bootstrap", True)))
+        return made, int(p.get("max_bins", FOREST_BINS)), []
+    share, columns = float(p.get("subsample", 1.0)), float(p.get("colsample_bytree", 1.0))
     if family == "XGB":
-        ignored = [n for n in XGB_IGNORED if p.get(n)]
-        leaf, bins = int(p.get("min_child_weight", 1)), int(p.get("max_bins", 256))
-    else:
-        ignored = [n for n in LGB_IGNORED if p.get(n)]
-        if p.get("boosting_type", "gbdt") != "gbdt":
-            ignored.append("boosting_type")
-        leaf, bins = int(p.get("min_child_samples", 20)), int(p.get("max_bin", 255))
-    share = float(p.get("colsample_bytree", 1.0))
-    return RandomForestRegressor(  # one tree of a round; without bagging
-        numTrees=1,
-        bootstrap=False,
-        maxDepth=depth,
-        minInstancesPerNode=leaf,
-        subsamplingRate=float(p.get("subsample", 1.0)),
-        featureSubsetStrategy="all" if share >= 1.0 else str(round(share, 6)),
-        maxBins=bins,
-        **common,
-    ), ignored
-
-
-def fit_boosted(
-    df: DataFrame, features: list[str], target: str, transform, family: str, params: dict, seed: int
-) -> ExtraTreesModel:
-    """Boosted trees: from the mean, ``F <- F + learning_rate * tree(y - F)`` in every round.
-
-    Each tree is one Spark tree on the present residuals. The fit so far is a column; it is
-    written out every few rounds so that plans stay short.
+        limits = Limits(
+            max_depth=int(p.get("max_depth", 6)), min_leaf=float(p.get("min_child_weight", 1)),
+            min_gain=float(p.get("gamma", 0.0)), l1=float(p.get("alpha", 0.0)), l2=float(p.get("lambda", 0.0)))
+        made = Plan(
+            True, n_trees, limits, seed, rate=float(p.get("learning_rate", 0.3)), share=share,
+            columns=max(1, int(columns * d)) if columns < 1 else None)
+        # Both methods bin the values; they differ in when, which a fixed table does not.
+        return made, int(p.get("max_bins", 256)), ["tree_method"] if "tree_method" in p else []
+    freq = int(p.get("bagging_freq", 1))
+    depth = int(p.get("max_depth", -1))
+    limits = Limits(
+        max_depth=depth if depth > 0 else 1 << 30, max_leaves=int(p.get("num_leaves", 31)),
+        min_leaf=int(p.get("min_child_samples", 20)), min_gain=float(p.get("min_split_gain", 0.0)),
+        l1=float(p.get("reg_alpha", 0.0)), l2=float(p.get("reg_lambda", 0.0)))
+    made = Plan(
+        True, n_trees, limits, seed, rate=float(p.get("learning_rate", 0.1)),
+        share=share if freq > 0 else 1.0, bagging_freq=max(1, freq),
+        columns=max(1, round(columns * d)) if columns < 1 else None,
+        dart=p.get("boosting_type", "gbdt") == "dart")
+    return made, int(p.get("max_bin", 255)), []
+
+
+def fit_tree_models(source: FitTable, family: str, jobs: list[Job]) -> list[FittedModel]:
+    """Fit many models of a family; those with equal bins share a coded table and every pass.
+
+    Boosts start from the mean label; draws of rows depend on the row key, not on the layout.
     """
-    spark = df.sparkSession
-    estimator, ignored = regressor(family, params, seed)
-    rate = float(params.get("learning_rate", 0.3 if family == "XGB" else 0.1))
-    inputs = _inputs(features)
-    rows = as_label(df.withColumns(inputs), col(target), transform).select(*inputs, "__y")
-    rows = materialize(rows.where("__y IS NOT NULL"))
-    base = rows.agg(F.avg("__y")).first()[0]
-    if base is None:
-        raise ValueError("no rows to fit")
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="__features")
-    rows, models = rows.withColumn("__f", F.lit(float(base))), []
-    for r in range(int(params.get("n_estimators", 100))):
-        ready = assembler.transform(rows.withColumn("__r", F.col("__y") - F.col("__f")))
-        model = estimator.copy({estimator.labelCol: "__r", estimator.seed: seed + r}).fit(ready)
-        models.append(model)
-        model.setPredictionCol("__t")
-        rows = model.transform(ready).withColumn("__f", F.col("__f") + rate * F.col("__t"))
-        rows = rows.select(*inputs, "__y", "__f")
-        if r % ROUNDS_PER_TABLE == ROUNDS_PER_TABLE - 1:
-            rows = materialize(rows)
-    trees = [t for m in _saved_trees(spark, models) for t in m]
-    ensemble = Ensemble(trees, [rate] * len(trees), float(base))
-    return ExtraTreesModel(family, list(features), dict(params), transform, ignored, ensemble)
-
-
-def fit_trees(
-    df: DataFrame, features: list[str], target: str, transform, family: str, params: dict, seed: int
-) -> FittedModel:
-    if family != "RF":
-        return fit_boosted(df, features, target, transform, family, params, seed)
-    estimator, ignored = regressor(family, params, seed)
-    inputs = _inputs(features)
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="__features")
-    rows = as_label(df.withColumns(inputs), col(target), transform).select(*inputs, "__y")
-    fitted = Pipeline(stages=[assembler, estimator]).fit(rows)
-    return SparkTreeModel(family, list(features), dict(params), transform, ignored, fitted)
-
-
-def _inputs(features: list[str]) -> dict:
-    """Features under plain names: the assembler does not take names with dots."""
-    return {f"__f{i}": col(f).cast("double") for i, f in enumerate(features)}
-
-
-def read_ensemble(spark: SparkSession, model) -> Ensemble:
-    """Node arrays of a Spark ML forest."""
-    trees = _saved_trees(spark, [model])[0]
-    return Ensemble(trees, [1.0 / len(trees)] * len(trees))
-
-
-def _saved_trees(spark: SparkSession, models: list) -> list[list[Tree]]:
-    """The trees of each model, read from their saved form with one job."""
-    if not models:
-        return []
-    path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
-    PipelineModel(stages=models).write().save(path)
-    rows = spark.read.parquet(f"{path}/stages/*/data").withColumn(
-        "stage", F.regexp_extract("_metadata.file_path", r"/stages/([0-9]+)_", 1).cast("int")
-    ).select("stage", "treeID", "nodeData.*")
-    found = rows.agg(F.count("*")).first()[0]
-    if found > MAX_NODES:
-        raise ValueError(f"{found} nodes are too many to send to every task")
-    per_tree: dict[tuple[int, int], list] = {}
-    for r in rows.collect():
-        per_tree.setdefault((r["stage"], r["treeID"]), []).append(r)
-    out: list[list[Tree]] = [[] for _ in models]
-    for (stage, _), nodes in sorted(per_tree.items()):
-        out[stage].append(_tree(nodes))
-    return out
-
-
-def _tree(nodes: list) -> Tree:
-    size = max(r["id"] for r in nodes) + 1
-    feature = np.full(size, -1)
-    threshold, value, cover = np.zeros(size), np.zeros(size), np.zeros(size)
-    left, right = np.zeros(size, int), np.zeros(size, int)
-    for r in nodes:
-        i = r["id"]
-        value[i], cover[i] = r["prediction"], r["rawCount"]
-        if r["leftChild"] >= 0:
-            split = r["split"]
-            if split["numCategories"] != -1:
-                raise ValueError("categorical splits are not supported")
-            feature[i] = split["featureIndex"]
-            threshold[i] = split["leftCategoriesOrThreshold"][0]
-            left[i], right[i] = r["leftChild"], r["rightChild"]
-    return Tree(feature, threshold, left, right, value, cover)
+    plans = [plan(family, j.params, j.seed, len(source.features)) for j in jobs]
+    out: dict[int, FittedModel] = {}
+    for bins in sorted({b for _, b, _ in plans}):
+        alike = [k for k, (_, b, _) in enumerate(plans) if b == bins]
+        for at in range(0, len(alike), MODELS_TOGETHER):
+            chosen = alike[at:at + MODELS_TOGETHER]
+            table = BinnedTable(source, bins, len(chosen))
+            fits = [Fit(plans[k][0], table, jobs[k].label, jobs[k].fold) for k in chosen]
+            for k, ensemble in zip(chosen, grow(table, fits), strict=True):
+                out[k] = ExtraTreesModel(
+                    family, list(source.features), dict(jobs[k].params), jobs[k].transform, plans[k][2], ensemble)
+            source.passes += table.passes
+    return [out[k] for k in range(len(jobs))]

@@ -8,18 +8,21 @@ import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regatta.columns import col
 from regatta.models.base import FAMILIES, FittedModel
-from regatta.models.extra import fit_extra_trees
+from regatta.models.extra import extra_steps
 from regatta.models.linear import LinearModel, fit_linear, fit_linear_folds
-from regatta.models.mlp import fit_mlp
-from regatta.models.svr import fit_svr
-from regatta.models.trees import fit_trees
-from regatta.operators.metrics import METRICS, fold_metrics, regression_metrics
+from regatta.models.mlp import mlp_steps, worker_count
+from regatta.models.svr import svr_steps
+from regatta.models.together import FitTable, Job, fit_together
+from regatta.models.trees import BINNED, fit_tree_models
+from regatta.operators.metrics import METRICS, fold_metrics, metric_columns, regression_metrics
 from regatta.operators.transforms import (
     TargetTransform, check_transform, fit_target_transform,
 )
@@ -36,6 +39,17 @@ class TrainingTable:
     key_cols: list[str]
     k: int
     transforms: dict = field(default_factory=dict)  # fold -> transform, and "all"
+    _source: tuple | None = None
+    _linear: dict | None = None
+
+    def source(self) -> tuple[FitTable, list[TargetTransform]]:
+        """The training rows as fits read them, written once, and the transforms of its labels."""
+        labels = list(dict.fromkeys(self.transforms.values()))
+        if self._source is None or self._source[1] != labels:
+            targets = [t.forward(col(self.target).cast("double")) for t in labels]
+            made = FitTable.of(self.train, self.features, targets, self.key_cols, "fold")
+            self._source = made, labels
+        return self._source
 
     @property
     def train(self) -> DataFrame:
@@ -52,6 +66,7 @@ class TrainingTable:
             self.transforms = {f: TargetTransform() for f in [*range(self.k), "all"]}
         else:
             self.transforms = fit_target_transform(self.train, self.target, kind, "fold")
+        self._linear = None
 
 
 def check_model(family: str) -> None:
@@ -88,29 +103,64 @@ def fit_model(
     params = dict(params or {})
     if family == "LR":
         return fit_linear(df, features, target, transform)
-    if family in ("RF", "XGB", "LGB"):
-        return fit_trees(df, features, target, transform, family, params, seed)
-    fit = {"ET": fit_extra_trees, "SVR": fit_svr, "NN": fit_mlp}[family]
-    return fit(df, features, target, transform, params, seed, list(key_cols))
+    label = transform.forward(col(target).cast("double"))
+    source = FitTable.of(df, features, [label], key_cols)
+    return fit_jobs(source, family, [Job(params, seed, transform)])[0]
+
+
+def fit_jobs(source: FitTable, family: str, jobs: list[Job], n_jobs: int = 1) -> list[FittedModel]:
+    """Models of one family over one table, all but LR. Those of a lot share every pass; lots run
+    side by side. A model is the same whatever is fitted with it."""
+    if family in BINNED:
+        return fit_tree_models(source, family, jobs)
+    steps, together = {"ET": (extra_steps, 16), "SVR": (svr_steps, 512), "NN": (mlp_steps, 64)}[family]
+    lots: list[tuple[int | None, list[int]]] = []
+    by_workers: dict = {}
+    for k, job in enumerate(jobs):
+        by_workers.setdefault(worker_count(source, job.params) if family == "NN" else None, []).append(k)
+    for workers, chosen in by_workers.items():
+        lots += [(workers, chosen[at:at + together]) for at in range(0, len(chosen), together)]
+
+    def fit(lot) -> list[FittedModel]:
+        workers, chosen = lot
+        fits = [
+            steps(source, j.label, j.fold, j.transform, j.params, j.seed) for j in (jobs[k] for k in chosen)
+        ]
+        return fit_together(source, fits, workers)
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, n_jobs)) as pool:
+            found = list(pool.map(fit, lots))
+    finally:
+        source.close()
+    by_job = {k: m for (_, chosen), models in zip(lots, found, strict=True) for k, m in zip(chosen, models, strict=True)}
+    return [by_job[k] for k in range(len(jobs))]
 
 
 def cv_models(
     table: TrainingTable, family: str, params: dict, seed: int, n_jobs: int = 1
 ) -> dict[int, FittedModel]:
-    """One model per fold, trained on the other folds."""
+    """One model per fold, trained on the other folds; all folds share their passes."""
+    return trial_models(table, family, [params], [seed], n_jobs)[0]
+
+
+def trial_models(
+    table: TrainingTable, family: str, trials: list[dict], seeds: list[int], n_jobs: int = 1
+) -> list[dict[int, FittedModel]]:
+    """For each trial one model per fold. All trials and folds share one table and their passes."""
     if not table.transforms:
         table.fit_transforms("none")
+    folds = {f: table.transforms[f] for f in range(table.k)}
     if family == "LR":  # all fits from one pass
-        folds = {f: table.transforms[f] for f in range(table.k)}
-        return fit_linear_folds(table.train, table.features, table.target, folds)
-
-    def fit(f: int) -> FittedModel:
-        rows = table.train.where(F.col("fold") != f)
-        return fit_model(rows, table.features, table.target, family, params,
-                         table.transforms[f], seed, table.key_cols)
-
-    with ThreadPoolExecutor(max_workers=max(1, n_jobs)) as pool:
-        return dict(zip(range(table.k), pool.map(fit, range(table.k))))
+        models = fit_linear_folds(table.train, table.features, table.target, folds)
+        return [models for _ in trials]
+    source, labels = table.source()
+    jobs = [
+        Job(dict(p), seed, t, labels.index(t), f)
+        for p, seed in zip(trials, seeds, strict=True) for f, t in folds.items()
+    ]
+    fitted = iter(fit_jobs(source, family, jobs, n_jobs))
+    return [{f: next(fitted) for f in folds} for _ in trials]
 
 
 def score_folds(
@@ -138,14 +188,67 @@ def score_folds(
     return out
 
 
+TRIALS_PER_SCORE = 20
+
+
+def score_trials(table: TrainingTable, trials: list[dict[int, FittedModel]]) -> list[dict]:
+    """Mean, population deviation and per-fold values of MSE, MAE and R2 for each trial.
+
+    Every held-out row meets the models of its fold once, for many trials in one scan.
+    """
+    spark = table.df.sparkSession
+    label = col(table.target).cast("double").alias("label")
+    inputs = F.struct(*[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(table.features)])
+    out = []
+    for at in range(0, len(trials), TRIALS_PER_SCORE):
+        part = trials[at:at + TRIALS_PER_SCORE]
+        shared = spark.sparkContext.broadcast(part)
+
+        @F.pandas_udf("array<double>")
+        def decide(x: pd.DataFrame, fold: pd.Series) -> pd.Series:
+            values, folds = x.to_numpy(dtype=float), fold.to_numpy()
+            found = np.full((len(x), len(shared.value)), np.nan)
+            for f in np.unique(folds):
+                rows = np.flatnonzero(folds == f)
+                for t, models in enumerate(shared.value):
+                    if f in models:
+                        found[rows, t] = models[f].decide(values[rows])
+            return pd.Series(list(found))
+
+        scored = table.train.select(label, "fold", decide(inputs, F.col("fold")).alias("__p"))
+        aggregates = []
+        for t, models in enumerate(part):
+            raw, chosen = F.col("__p")[t], None
+            if len({m.transform for m in models.values()}) == 1:
+                chosen = next(iter(models.values())).transform.inverse(raw)
+            else:
+                for f, m in models.items():
+                    chosen = (F if chosen is None else chosen).when(F.col("fold") == f, m.transform.inverse(raw))
+            aggregates += [
+                c.alias(f"{m}{t}") for c, m in zip(metric_columns(F.col("label"), chosen), METRICS, strict=True)
+            ]
+        rows = scored.groupBy("fold").agg(*aggregates).orderBy("fold").collect()
+        shared.unpersist()
+        for t, models in enumerate(part):
+            scores: dict = {"ignored_params": sorted({p for m in models.values() for p in m.ignored_params})}
+            for m in METRICS:
+                splits = [r[f"{m}{t}"] for r in rows]
+                known = [v for v in splits if v is not None]
+                scores[f"{m}_mean"] = float(np.mean(known)) if known else None
+                scores[f"{m}_std"] = float(np.std(known)) if known else None
+                scores[f"{m}_splits"] = splits
+            out.append(scores)
+    return out
+
+
 def cross_validate(
     table: TrainingTable, family: str, params: dict, seed: int, n_jobs: int = 1
 ) -> dict:
     """Mean, population deviation and per-fold values of MSE, MAE and R2."""
-    models = cv_models(table, family, params, seed, n_jobs)
-    row = fold_metrics(score_folds(table, models)).first()
-    ignored = sorted({p for m in models.values() for p in m.ignored_params})
-    return {**row.asDict(), "ignored_params": ignored}
+    if family != "LR":
+        return score_trials(table, trial_models(table, family, [params], [seed], n_jobs))[0]
+    models = cv_models(table, family, params, seed, n_jobs)  # expressions: no Python needed
+    return {**fold_metrics(score_folds(table, models)).first().asDict(), "ignored_params": []}
 
 
 TRIAL_SCHEMA = T.StructType(
@@ -166,15 +269,18 @@ TRIAL_SCHEMA = T.StructType(
 def run_trials(
     table: TrainingTable, family: str, trials: list[dict], seed: int, n_jobs: int = 4
 ) -> DataFrame:
-    """Evaluate trials concurrently; one row each."""
-
-    def evaluate(i: int) -> tuple:
-        scores = cross_validate(table, family, trials[i], seed_of(seed, i))
+    """Evaluate trials, all folds of all of them together; one row each."""
+    if family == "LR":  # without parameters: scored once for a table
+        if table._linear is None:
+            table._linear = cross_validate(table, family, {}, seed)
+        scored = [table._linear] * len(trials)
+    else:
+        seeds = [seed_of(seed, i) for i in range(len(trials))]
+        scored = score_trials(table, trial_models(table, family, trials, seeds, n_jobs))
+    rows = []
+    for i, scores in enumerate(scored):
         values = [scores[f"{m}_{part}"] for m in METRICS for part in ("mean", "std", "splits")]
-        return (i, family, json.dumps(trials[i]), *values, scores["ignored_params"])
-
-    with ThreadPoolExecutor(max_workers=max(1, n_jobs)) as pool:
-        rows = list(pool.map(evaluate, range(len(trials))))
+        rows.append((i, family, json.dumps(trials[i]), *values, scores["ignored_params"]))
     return table.df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
 
 
@@ -220,10 +326,12 @@ def optimize_and_evaluate(
     best = best_trial(trials, metric)
     elapsed = time.time() - started
     params = json.loads(best["params"])
-    model = fit_model(
-        table.train, table.features, table.target, family, params,
-        table.transforms["all"], seed_of(run_seed, best["trial_id"]), table.key_cols,
-    )
+    final, fit_seed = table.transforms["all"], seed_of(run_seed, best["trial_id"])
+    if family == "LR":
+        model = fit_linear(table.train, table.features, table.target, final)
+    else:
+        source, labels = table.source()
+        model = fit_jobs(source, family, [Job(params, fit_seed, final, labels.index(final))])[0]
     scores = train_test_metrics(table, model)
     row = {
         "model_name": family,

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regatta.functions import formatting, params
-from regatta.models.base import FittedModel, load_state
+from regatta.models.base import TREE_FAMILIES, FittedModel, load_state
 from regatta.models.ensemble import Ensemble
 from regatta.models.extra import ExtraTreesModel
 from regatta.models.linear import LinearModel
 from regatta.models.mlp import MlpModel
 from regatta.models.svr import SvrModel
-from regatta.models.trees import SparkTreeModel
 from regatta.sources.tables import CSV_OPTIONS
 
 _D, _A = "double", "array<double>"
@@ -212,36 +210,18 @@ def read_trials(spark: SparkSession, root: str) -> DataFrame:
 def save_model(spark: SparkSession, model: FittedModel, root: str, model_id: str) -> int:
     """Write a fitted model under its id; returns its size in bytes."""
     path = f"{root}/models/{model_id}"
-    if isinstance(model, SparkTreeModel):
-        model.pipeline.write().overwrite().save(f"{path}/pipeline")
-        _HeaderOnly.save(model, spark, f"{path}/state")
-    else:
-        model.save(spark, f"{path}/state")
+    model.save(spark, f"{path}/state")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.agg(F.sum("length")).first()[0]
 
 
-class _HeaderOnly(FittedModel):
-    def state(self):
-        return {}
-
-    @staticmethod
-    def save(model: FittedModel, spark: SparkSession, path: str) -> None:
-        header = model.header()
-        plain = _HeaderOnly(
-            header["family"], header["features"], header["params"], model.transform,
-            header["ignored_params"],
-        )
-        FittedModel.save(plain, spark, path)
-
-
 def list_models(spark: SparkSession, root: str) -> DataFrame:
     """``model_id, model_family`` of the saved models."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
         f"{root}/models"
     )
-    # a model's files lie in <id>/state or <id>/pipeline; the root may hold any names
-    deeper = F.regexp_replace("path", r"/(state|pipeline)(/(metadata|stages)/.*|/[^/]*)$", "")
+    # a model's files lie in <id>/state; the root may hold any names
+    deeper = F.regexp_replace("path", r"/state/[^/]*$", "")
     name = F.element_at(F.split(deeper, "/"), -1)
     return (
         files.select(name.alias("model_id"))
@@ -260,9 +240,7 @@ def load_model(spark: SparkSession, root: str, model_id: str) -> FittedModel:
         family, header["features"], header["params"], header["transform"],
         header["ignored_params"],
     )
-    if family == "RF":
-        return SparkTreeModel(*common, PipelineModel.load(f"{path}/pipeline"))
-    if family in ("ET", "XGB", "LGB"):
+    if family in TREE_FAMILIES:
         return ExtraTreesModel(*common, Ensemble.from_arrays(arrays))
     if family == "LR":
         return LinearModel(*common, float(arrays["intercept"]), arrays["coefficients"].tolist())
