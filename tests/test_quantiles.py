@@ -51,3 +51,34 @@ def test_hot_group_takes_the_search(spark):
         for r in grouped_quantiles(df, "g", "v", [0.5], exact_limit=200, finish_limit=20).collect()
     }
     assert plain == split and len(plain) == 51
+
+
+def test_many_columns_and_levels_in_few_jobs(spark):
+    """Twelve columns at three levels, over several rounds of narrowing."""
+    rng = np.random.default_rng(8)
+    values = {f"c{k}": np.round(rng.standard_normal(6000) * 10 ** (k % 5), k % 3) for k in range(12)}
+    columns = ", ".join(f"{n} double" for n in values)
+    df = spark.createDataFrame(list(map(tuple, np.column_stack(list(values.values())).tolist())), columns)
+    df = df.repartition(3).persist()
+    df.count()
+    context = spark.sparkContext
+    context.setJobGroup("quantiles", "quantiles")
+    got = exact_quantiles(df, {n: F.col(n) for n in values}, [0.25, 0.5, 0.9], exact_limit=1, finish_limit=40)
+    jobs = len(context.statusTracker().getJobIdsForGroup("quantiles"))
+    context.setJobGroup("", "")
+    for n, v in values.items():
+        np.testing.assert_allclose(got[n], np.quantile(v, [0.25, 0.5, 0.9]), rtol=1e-12)
+    assert jobs <= 10, jobs
+    df.unpersist()
+
+
+@pytest.mark.parametrize("summary", [8, 64])
+def test_coarse_sketches_change_nothing(spark, monkeypatch, summary):
+    from regatta.operators import quantiles
+
+    v = np.concatenate([column("heavy"), column("ties"), np.full(900, -7.25)])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(4)
+    ranks = [0, 17, len(v) // 2, len(v) - 1]
+    rows, series = df.select("v"), quantiles._columns(1)
+    got = quantiles._search(rows, series, [(0, len(v), r) for r in ranks], 5, summary)
+    assert got == np.sort(v)[ranks].tolist()
