@@ -40,3 +40,11 @@ def require_columns(df: DataFrame, names, what: str = "column") -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"unknown {what}(s): {', '.join(missing)}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

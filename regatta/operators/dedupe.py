@@ -7,13 +7,14 @@ does not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regatta.columns import col
+from regatta.columns import col, unused
 from regatta.session import materialize
 
-BROADCAST_ROWS = 1_000_000
+WORDS = 1 << 20
+"""Words of 64 bits of the bitmap; its size as a broadcast table is 16 bytes a word."""
 
 
 def _group_distinct(df: DataFrame, compared: list[str], keys: list[str]) -> DataFrame:
@@ -35,10 +36,10 @@ def drop_duplicate_rows(
 ) -> DataFrame:
     """Distinct rows, comparing every column but ``keys``.
 
-    ``"digest"`` shuffles 16-byte row digests; without repeated ones the rows stay where they
-    are, at the cost of one more scan. Only rows whose digest occurs twice are then grouped on
-    their real values, so a digest collision cannot remove a row. When the repeated digests
-    are too many to broadcast it falls back to ``"group"``, which shuffles whole rows once.
+    ``"digest"`` shuffles 16-byte row digests. A bitmap of those that repeat, of at most
+    ``WORDS`` words whatever the data, goes to every task; rows that miss it are distinct and
+    stay where they are. The others, all rows that repeat and a few that share a bit, are grouped
+    on their real values, so a digest collision cannot remove a row. ``"group"`` groups all rows.
     """
     keys = list(keys)
     compared = [n for n in df.columns if n not in keys]
@@ -47,20 +48,26 @@ def drop_duplicate_rows(
     if strategy != "digest":
         raise ValueError(f"unknown strategy: {strategy}")
     values = [col(n) for n in compared]
-    marked = df.withColumns(
-        {"__d1": F.xxhash64(*values), "__d2": F.xxhash64(F.lit(1), *values)}
-    )
-    digests = marked.groupBy("__d1", "__d2").agg(F.count("*").alias("n"))
-    repeated = materialize(digests.where("n > 1").select("__d1", "__d2"))
-    found = repeated.count()
-    if found == 0:
+    digests = df.select(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+    repeated = digests.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    words = materialize(
+        repeated.groupBy(_word(F.col("a")).alias("word")).agg(F.bit_or(_bit(F.col("b"))).alias("bits")))
+    if words.isEmpty():
         return df
-    if found > BROADCAST_ROWS:
-        return _group_distinct(df, compared, keys)
-    on = ["__d1", "__d2"]
-    single = marked.join(F.broadcast(repeated), on, "left_anti").drop(*on)
-    several = marked.join(F.broadcast(repeated), on, "left_semi").drop(*on)
-    return single.unionByName(_group_distinct(several, compared, keys))
+    word, bits = unused(df, "word"), unused(df, "bits")
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    marked = df.withColumn(word, _word(F.xxhash64(*values))).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(col(bits).bitwiseAND(_bit(F.xxhash64(F.lit(1), *values))), F.lit(0).cast("bigint")) != 0
+    alone, several = marked.where(~hit).drop(word, bits), marked.where(hit).drop(word, bits)
+    return alone.unionByName(_group_distinct(several, compared, keys))
+
+
+def _word(digest: Column) -> Column:
+    return F.pmod(digest, F.lit(WORDS).cast("bigint"))
+
+
+def _bit(digest: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(digest, F.lit(64)).cast("int"))
 
 
 def duplicate_count(df: DataFrame, compared: list[str] | None = None) -> DataFrame:

@@ -22,10 +22,9 @@ def impute_median(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     )
 
 
-def impute_mode(df: DataFrame, names: list[str], max_categories: int | None = None) -> DataFrame:
+def impute_mode(df: DataFrame, names: list[str]) -> DataFrame:
     """Missing categories get the most frequent value of their column."""
-    counts = S.value_counts(df, names, max_categories)
-    fills = {n: S.mode_of(c) for n, c in counts.items()}
+    fills = S.modes(df, names)
     return df.withColumns(
         {
             n: F.coalesce(col(n), F.lit(v).cast(df.schema[n].dataType))

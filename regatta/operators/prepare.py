@@ -32,7 +32,7 @@ class PrepareConfig:
     max_categories: int | None = None
     non_numeric: str = "error"  # undeclared text columns: "error", "drop" or "keep"
     dedupe: str = "digest"
-    reuse: bool = False  # write the de-duplicated rows once before the passes over them
+    reuse: bool = True  # write the de-duplicated rows once before the passes over them
 
 
 @dataclass
@@ -150,6 +150,11 @@ def prepare(df: DataFrame, config: PrepareConfig) -> Prepared:
     fills.update(
         {n: S.mode_of(counted[n]) for n in cats if found[n].n_missing and n not in fills}
     )
+    flags = [
+        n for n in kept
+        if n not in cats and n != target and found[n].n_missing and isinstance(rows.schema[n].dataType, T.BooleanType)
+    ]
+    fills.update(S.modes(rows, flags))
     steps.append(("impute", n_rows, len(rows.columns), ", ".join(sorted(fills))))
 
     def filled(name: str):

@@ -150,6 +150,36 @@ def value_counts(
     return out
 
 
+def modes(df: DataFrame, names: list[str]) -> dict[str, object]:
+    """The most frequent value of each column, ties to the smallest; null without values.
+
+    Values are counted where they are and only one of each column reaches the driver.
+    """
+    if not names:
+        return {}
+    numeric = {n: is_numeric(df.schema[n].dataType) for n in names}
+    pairs = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), col(n).cast("string").alias("v"),
+            (col(n).cast("double") if numeric[n] else F.lit(None).cast("double")).alias("x"),
+        )
+        for i, n in enumerate(names)
+    ])
+    counted = df.select(F.explode(pairs).alias("p")).where("p.v IS NOT NULL").groupBy("p.i", "p.x", "p.v").count()
+    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("count")).alias("n"), "x", "v")).alias("best"))
+    found = {names[r["i"]]: r["best"] for r in best.collect()}
+    out: dict[str, object] = {}
+    for n in names:
+        r = found.get(n)
+        if r is None:
+            out[n] = None
+        elif numeric[n]:
+            out[n] = r["x"]
+        else:
+            out[n] = r["v"] == "true" if isinstance(df.schema[n].dataType, T.BooleanType) else r["v"]
+    return out
+
+
 def mode_of(counts: list[tuple]):
     """Most frequent value; ties go to the smallest."""
     return min(counts, key=lambda vc: (-vc[1], vc[0]))[0] if counts else None

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regatta.columns import chunks, col
+from regatta.session import materialize
+from regatta.sources.records import csv_records
 
 #: Quotes are doubled inside quoted fields, which may hold line breaks.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
@@ -21,9 +23,24 @@ _STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 
 
 def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV's fields as text, with NA words as null."""
-    raw = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(path)
-    return raw.select(*[F.when(~col(n).isin(*NA_WORDS), col(n)).alias(n) for n in raw.columns])
+    """A CSV's fields as text, with NA words as null. Each file's first record is its header."""
+    records = csv_records(spark, path)
+    first = records.groupBy("file").agg(F.min(F.struct("block", "number", "text")).alias("first"))
+    headers = materialize(first.select("file", "first.block", "first.number", "first.text"))
+    heads = [r["text"] for r in headers.select("text").distinct().limit(2).collect()]
+    if not heads:
+        raise ValueError(f"{path} has no header")
+    if len(heads) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    names = spark.read.options(**{**CSV_OPTIONS, "header": "false"}, multiLine=True).csv(
+        spark.sparkContext.parallelize(heads, 1)).first()
+    names = [n or f"_c{i}" for i, n in enumerate(names)]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
+    body = records.join(F.broadcast(headers.select("file", "block", "number")), ["file", "block", "number"], "left_anti")
+    fields = body.select(F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    values = [F.col("r").getField(f"c{i}") for i in range(len(names))]
+    return fields.select(*[F.when(~v.isin(*NA_WORDS), v).alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
