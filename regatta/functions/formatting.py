@@ -59,13 +59,17 @@ def safe_name(text: Column) -> Column:
     return F.regexp_replace(F.trim(kept), " ", "_")
 
 
-def today() -> Column:
-    return F.date_format(F.current_timestamp(), "dd/MM/yyyy")
+def _at(time: Column | None, form: str) -> Column:
+    return F.date_format(F.current_timestamp() if time is None else time, form)
 
 
-def clock() -> Column:
-    return F.date_format(F.current_timestamp(), "HH:mm:ss")
+def today(time: Column | None = None) -> Column:
+    return _at(time, "dd/MM/yyyy")
 
 
-def stamp() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+def clock(time: Column | None = None) -> Column:
+    return _at(time, "HH:mm:ss")
+
+
+def stamp(time: Column | None = None) -> Column:
+    return _at(time, "yyyy-MM-dd HH:mm:ss")

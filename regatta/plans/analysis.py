@@ -161,6 +161,12 @@ def metadata_fields(config: AnalysisConfig) -> dict:
         "key_cols": list(p.key_cols),
         "test_size": float(config.test_size),
         "exact_folds": bool(config.exact_folds),
+        "drop_leaky": p.drop_leaky,
+        "composite_parts": list(p.composite_parts or ()),
+        "sparse_threshold": float(p.sparse_threshold),
+        "categorical_fill": p.categorical_fill,
+        "non_numeric": p.non_numeric,
+        "dedupe": p.dedupe,
     }
 
 
@@ -175,6 +181,8 @@ def rebuild_context(
         target=m["target"], key_cols=tuple(m["key_cols"]),
         features_to_drop=tuple(m["features_to_drop"]),
         categorical_features=tuple(m["categorical_features"]),
+        composite_parts=tuple(m["composite_parts"]) or None,
+        **{n: m[n] for n in ("drop_leaky", "sparse_threshold", "categorical_fill", "non_numeric", "dedupe")},
     )
     prep = replace(base, **fields) if base else PrepareConfig(**fields)
     config = AnalysisConfig(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regatta.functions import formatting, params
@@ -33,7 +34,9 @@ METADATA_SCHEMA = (
     "experiment_id string, date string, data_path string, random_state int, target string, "
     "target_transform string, features_to_drop array<string>, "
     "categorical_features array<string>, n_features int, kfold int, feature_scoring string, "
-    "key_cols array<string>, test_size double, exact_folds boolean, exp int"
+    "key_cols array<string>, test_size double, exact_folds boolean, drop_leaky boolean, "
+    "composite_parts array<string>, sparse_threshold double, categorical_fill string, "
+    "non_numeric string, dedupe string, exp int"
 )
 
 
@@ -113,11 +116,37 @@ def sorted_experiments(results: DataFrame) -> DataFrame:
 
 
 def allocate_experiment(spark: SparkSession, root: str) -> int:
-    """The next experiment number: one above the highest."""
-    if not _exists(spark, f"{root}/results"):
-        return 1
-    table = spark.read.parquet(f"{root}/results")
-    return table.agg(F.coalesce(F.max("exp"), F.lit(0))).first()[0] + 1
+    """The next free experiment number, claimed by a file that only one run can create.
+
+    Runs that start at the same time get different numbers; one that fails leaves its number
+    unused.
+    """
+    number = 1
+    if _exists(spark, f"{root}/results"):
+        table = spark.read.parquet(f"{root}/results")
+        number += table.agg(F.coalesce(F.max("exp"), F.lit(0))).first()[0]
+    while not _claimed(spark, f"{root}/claims", f"exp={number}"):
+        number += 1
+    return number
+
+
+def _claimed(spark: SparkSession, folder: str, name: str) -> bool:
+    """Create a file, unless there is one already."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path.getParent())
+    if files.getScheme() == "file":  # whose create is not one step
+        return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    if files.exists(path):
+        return False
+    try:
+        files.create(path, False).close()
+    except Py4JJavaError as problem:
+        if "AlreadyExists" in problem.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def export_view(view: DataFrame, path: str) -> None:
@@ -146,7 +175,11 @@ def read_metadata(spark: SparkSession, root: str, exp: int) -> DataFrame:
 
 def metadata_defaults(raw: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
-    split = {"test_size": F.lit(0.2), "exact_folds": F.lit(False)}  # absent in older files
+    split = {  # absent in older files
+        "test_size": F.lit(0.2), "exact_folds": F.lit(False), "drop_leaky": F.lit(False),
+        "sparse_threshold": F.lit(0.2), "categorical_fill": F.lit("median"),
+        "non_numeric": F.lit("error"), "dedupe": F.lit("digest"), "composite_parts": empty,
+    }
     raw = raw.withColumns({
         n: F.coalesce(n, v) if n in raw.columns else v for n, v in split.items()
     })
@@ -170,14 +203,21 @@ def write_log(spark: SparkSession, root: str, exp: int, lines: list[str]) -> Non
     frame.coalesce(1).write.mode("overwrite").text(f"{root}/logs/exp={exp}")
 
 
+def _without_bad_bytes(text: Column) -> Column:
+    """Text without the bytes that are no UTF-8; marks that stand for such bytes elsewhere stay."""
+    mark, kept = "\N{REPLACEMENT CHARACTER}", "\x00mark\x00"
+    valid = F.make_valid_utf8(F.replace(text, F.lit(mark), F.lit(kept)))
+    return F.replace(F.replace(valid, F.lit(mark), F.lit("")), F.lit(kept), F.lit(mark))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, line`` in file order.
+    """``line_no, line`` in file order, bad bytes left out.
 
     A text file is read in blocks by many tasks. Lines are numbered within their block, and
     the blocks' line counts (one row per block) give the offsets.
     """
     lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
+        _without_bad_bytes(F.col("value")).alias("line"),
         F.col("_metadata.file_path").alias("f"),
         F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("i"),

@@ -241,6 +241,27 @@ def boosted_sql(rounds: int, rate: float) -> str:
     return f"SELECT *, y AS label, f AS prediction FROM ({out})"
 
 
+def penalised_sql(rounds: int, rate: float, l1: float, l2: float, least: int, gain: float) -> str:
+    """``label, prediction`` of boosted stumps whose sums are shrunk before they become values."""
+    def shrunk(total: str) -> str:
+        return f"(sign({total}) * greatest(abs({total}) - {l1}, 0))"
+
+    def score(total: str, n: str) -> str:
+        return f"({shrunk(total)} * {shrunk(total)} / ({n} + {l2}))"
+
+    out = f"SELECT *, (SELECT avg(y) FROM ({STUMP_TRAIN})) AS f FROM ({STUMP_ROWS})"
+    for _ in range(rounds):
+        cuts = f"""SELECT v, sum(c) OVER (ORDER BY v) AS nl, sum(s) OVER (ORDER BY v) AS l, sum(c) OVER () AS n,
+          sum(s) OVER () AS t FROM (SELECT l_quantity AS v, count(*) AS c, sum(y - f) AS s FROM ({out})
+          WHERE NOT is_test GROUP BY l_quantity)"""
+        best = f"""SELECT v AS cut, {shrunk("l")} / (nl + {l2}) AS low, {shrunk("(t - l)")} / (n - nl + {l2}) AS high
+          FROM (SELECT *, {score("l", "nl")} + {score("(t - l)", "(n - nl)")} - {score("t", "n")} AS gain FROM ({cuts}))
+          WHERE nl >= {least} AND n - nl >= {least} AND gain > {gain} ORDER BY gain DESC, v LIMIT 1"""
+        out = f"""SELECT d.* EXCLUDE (f), f + {rate} * CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS f
+          FROM ({out}) d, ({best}) s"""
+    return f"SELECT *, y AS label, f AS prediction FROM ({out})"
+
+
 STUMP_MODEL = f"""SELECT d.*, y AS label, CASE WHEN l_quantity <= s.cut THEN s.low ELSE s.high END AS prediction
   FROM ({STUMP_ROWS}) d, ({stump(STUMP_TRAIN, 'l_quantity', 'y')}) s"""
 
@@ -599,3 +620,32 @@ ORACLE: dict[str, str] = {
         SELECT is_test, count(*) AS n, round(avg((label - prediction) * (label - prediction)), 6) AS mse,
           round(avg(abs(label - prediction)), 6) AS mae, round({R2}, 6) AS r2 FROM p GROUP BY is_test""",
 }
+
+FLAGGED = f"""SELECT {LK}, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity > 30 END AS large,
+  l_extendedprice, y FROM ({SCORED})"""
+
+ORACLE |= {
+    "penalised_stumps": split_metrics(penalised_sql(2, 0.5, 100.0, 40.0, 1, 1.0), "XGB"),
+    "penalised_leafwise": split_metrics(penalised_sql(3, 0.2, 60.0, 25.0, 20, 1.0), "LGB"),
+    "null_booleans": f"""WITH d AS ({FLAGGED}),
+      g AS (SELECT DISTINCT ON (large, l_extendedprice, y) {LK}, large, l_extendedprice, y FROM d
+            ORDER BY large, l_extendedprice, y, {LK}),
+      m AS (SELECT large AS mode FROM g WHERE large IS NOT NULL GROUP BY large ORDER BY count(*) DESC, large LIMIT 1)
+      SELECT {LK}, coalesce(large, mode) AS large, l_extendedprice, round(y, 6) AS y FROM g, m""",
+    "incomplete_rows_in_fits": f"""SELECT {LK}, round(avg(y) OVER (PARTITION BY large), 5) AS line,
+      round(avg(y) OVER (PARTITION BY large), 5) AS tree FROM ({FLAGGED}) WHERE large IS NOT NULL""",
+    "mostly_repeated_rows": """SELECT min(l_orderkey) AS l_orderkey, l_quantity, l_discount, l_tax
+      FROM lineitem GROUP BY l_quantity, l_discount, l_tax""",
+    "refused_inputs": """SELECT r.*, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES
+      ('target', 'unknown target(s): nothing'), ('categorical', 'unknown categorical feature(s): nothing'),
+      ('key', 'unknown key(s): nothing'), ('fill', 'unknown categorical_fill: mean'),
+      ('dropped target', 'the target cannot be dropped'), ('right', NULL)) r("case", refused)""",
+    "refused_models": """SELECT r.*, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES
+      ('transform', 'unknown target transformation: sqrt'), ('model', 'unknown model: KNN'),
+      ('metric', 'unknown metric: rmse'), ('explained', 'model SVR cannot be explained'),
+      ('log', 'the log transform needs every target above -1'), ('identity', NULL)) r("case", refused)""",
+    "stamped_dates": """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day,
+      strftime(o_orderdate, '%H:%M:%S') AS clock, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp FROM orders""",
+    "logs_of_orders": """SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no,
+      concat_ws(' ', o_orderkey, o_orderstatus, floor(o_totalprice)::BIGINT) AS line FROM orders""",
+}

@@ -14,13 +14,14 @@ from regatta.operators import split as sp
 from regatta.operators import stats, transforms
 from regatta.operators.mutual_info import mutual_info_binned
 from regatta.operators.neighbours import mutual_info_neighbours
-from regatta.operators.prepare import PrepareConfig, prepare, split_xy
+from regatta.models.svr import SvrModel
+from regatta.operators.prepare import PrepareConfig, prepare, split_xy, validate_inputs
 from regatta.operators.quantiles import grouped_quantiles
 from regatta.operators.transforms import TargetTransform
 from regatta.plans import search
 from regatta.plans.analysis import AnalysisConfig, rebuild_context, run_analysis
 from regatta.plans.comparison import ModelComparison, model_performances, rank_performances
-from regatta.plans.space import Domain, sample_hidden_layers, sample_trials
+from regatta.plans.space import Domain, draw_params, sample_hidden_layers, sample_trials
 from regatta.session import materialize, shared_folder
 from regatta.sources import store, tables
 
@@ -1272,3 +1273,188 @@ def flagship(spark, sf):
     model = fit_linear(split.where(~F.col("is_test")), names, "y", TargetTransform())
     out = metrics.regression_metrics(model.predict(split), "y", "prediction", ["is_test"])
     return out.select("is_test", "n", *[F.round(m, 6).alias(m) for m in metrics.METRICS])
+
+
+# -- fits without a closed form: held by invariants in tests -------------------------
+
+
+@query
+def bagged_forest(spark, sf):
+    """Ten bagged trees of depth six that split nodes of forty rows or more."""
+    return fitted_metrics(spark, sf, "RF", {"n_estimators": 10, "max_depth": 6, "min_samples_split": 40})
+
+
+@query
+def deep_boost(spark, sf):
+    """Ten rounds of depth four with penalties, on drawn rows and columns."""
+    p = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3, "colsample_bytree": 0.8, "subsample": 0.8,
+         "lambda": 1.0, "alpha": 0.5, "gamma": 0.2}
+    return fitted_metrics(spark, sf, "XGB", p)
+
+
+@query
+def leafwise_boost(spark, sf):
+    """Ten rounds of fifteen leaves opened best first, with dropped trees."""
+    p = {"n_estimators": 10, "num_leaves": 15, "learning_rate": 0.3, "max_bin": 128, "boosting_type": "dart",
+         "reg_lambda": 1.0, "min_split_gain": 0.1}
+    return fitted_metrics(spark, sf, "LGB", p)
+
+
+@query
+def bagged_extra_trees(spark, sf):
+    p = {"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 2, "bootstrap": True}
+    return fitted_metrics(spark, sf, "ET", p)
+
+
+@query
+def hidden_layer_network(spark, sf):
+    """Two hidden layers, stopped early."""
+    p = {"hidden_layer_sizes": [32, 16], "batch_size": 64, "learning_rate_init": 0.005,
+         "max_iter": 10, "early_stopping": True}
+    return fitted_metrics(spark, sf, "NN", p)
+
+
+@query
+def forest_shap(spark, sf):
+    """Shapley values of five trees of depth four, for every test row."""
+    t = model_table(spark, sf)
+    m = search.fit_model(t.train, t.features, t.target, "RF", {"n_estimators": 5, "max_depth": 4}, seed=1)
+    return explain.shap_values(m, t.test, ROW_KEYS)
+
+
+@query
+def forest_folds(spark, sf):
+    t = model_table(spark, sf)
+    models = search.cv_models(t, "RF", {"n_estimators": 5, "max_depth": 5}, 1, 3)
+    return metrics.fold_metrics(search.score_folds(t, models))
+
+
+@query
+def forest_comparison(spark, sf):
+    t = model_table(spark, sf)
+    candidates = {"LR": ("LR", {}), "RF": ("RF", {"n_estimators": 5, "max_depth": 5})}
+    return model_performances(t, candidates, 1, 3)
+
+
+@query
+def searched_kernels(spark, sf):
+    """Twelve drawn trials of the kernel machine over three folds, fitted together."""
+    t = model_table(spark, sf)
+    small = {"max_iter": Domain("max_iter", "int", 30, 60), "C": Domain("C", "float", 1e-3, 10.0, log=True)}
+    drawn = [{**p, "landmarks": 32} for p in draw_params(spark, "SVR", 12, 5, small)]
+    trials = search.run_trials(t, "SVR", drawn, 5)
+    return trials.select("trial_id", "params", "mse_mean", "mae_mean", "r2_mean")
+
+
+# -- penalties and missing values in closed form -------------------------------------
+
+
+@query
+def penalised_stumps(spark, sf):
+    """Two rounds with both penalties on a leaf's value and a least gain."""
+    p = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.5, "lambda": 40.0, "alpha": 100.0, "gamma": 1.0}
+    return family_metrics(stump_table(spark, sf), "XGB", p)
+
+
+@query
+def penalised_leafwise(spark, sf):
+    """The same penalties under the other family's names, two leaves a tree."""
+    p = {"n_estimators": 3, "num_leaves": 2, "learning_rate": 0.2, "reg_lambda": 25.0, "reg_alpha": 60.0,
+         "min_split_gain": 1.0}
+    return family_metrics(stump_table(spark, sf), "LGB", p)
+
+
+def flagged_lineitem(spark, sf) -> DataFrame:
+    """Lines with a flag that every tenth order leaves open."""
+    flag = every("l_orderkey", 10, F.lit(None).cast("boolean"), F.col("l_quantity") > 30)
+    return scored_lineitem(spark, sf).select(*LINE_KEYS, flag.alias("large"), "l_extendedprice", "y")
+
+
+@query
+def null_booleans(spark, sf):
+    """A prepared flag has no gaps: they are filled with its most frequent value."""
+    config = PrepareConfig("y", key_cols=tuple(LINE_KEYS))
+    out = prepare(flagged_lineitem(spark, sf), config).df
+    return out.select(*LINE_KEYS, "large", "l_extendedprice", F.round("y", 6).alias("y"))
+
+
+@query
+def incomplete_rows_in_fits(spark, sf):
+    """Line and stump over a flag with gaps learn the means of the complete rows."""
+    df = flagged_lineitem(spark, sf)
+    line = search.fit_model(df, ["large"], "y", "LR")
+    tree = search.fit_model(df, ["large"], "y", "RF", STUMP, key_cols=LINE_KEYS)
+    rows = tree.predict(line.predict(df.where("large is not null"), "line"), "tree")
+    return rows.select(*LINE_KEYS, F.round("line", 5).alias("line"), F.round("tree", 5).alias("tree"))
+
+
+@query
+def mostly_repeated_rows(spark, sf):
+    """Lines by quantity, discount and tax, of which nearly all repeat; the smallest key stays."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
+    return dedupe.drop_duplicate_rows(df, ["l_orderkey"])
+
+
+# -- refusals, as text for each case -------------------------------------------------
+
+
+def refusals(df: DataFrame, cases: dict) -> DataFrame:
+    """``case, refused`` with the rows that the refused work would have read."""
+    out = []
+    for name, run in cases.items():
+        try:
+            run()
+            out.append((name, None))
+        except ValueError as problem:
+            out.append((name, str(problem)))
+    said = df.sparkSession.createDataFrame(out, "case string, refused string")
+    return said.join(df.agg(F.count("*").alias("n_rows")))
+
+
+@query
+def refused_inputs(spark, sf):
+    """Wrong names and settings, each refused before any job."""
+    df = table(spark, sf, "orders")
+    wrong = {
+        "target": PrepareConfig("nothing"),
+        "categorical": PrepareConfig("o_totalprice", categorical_features=("nothing",)),
+        "key": PrepareConfig("o_totalprice", key_cols=("nothing",)),
+        "fill": PrepareConfig("o_totalprice", categorical_fill="mean"),
+        "dropped target": PrepareConfig("o_totalprice", features_to_drop=("o_totalprice",)),
+        "right": PrepareConfig("o_totalprice", key_cols=("o_orderkey",)),
+    }
+    return refusals(df, {k: (lambda c=c: validate_inputs(df, c)) for k, c in wrong.items()})
+
+
+@query
+def refused_models(spark, sf):
+    """Unknown transforms, models and metrics, and models that have no Shapley values."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    kernel = SvrModel("SVR", ["o_custkey"], {})
+    return refusals(df, {
+        "transform": lambda: transforms.fit_target_transform(df, "o_totalprice", "sqrt"),
+        "model": lambda: search.fit_model(df, ["o_custkey"], "o_totalprice", "KNN"),
+        "metric": lambda: search.check_metric("rmse"),
+        "explained": lambda: explain.shap_values(kernel, df, ["o_orderkey"]),
+        "log": lambda: transforms.fit_target_transform(df.selectExpr("-o_totalprice AS y"), "y", "log"),
+        "identity": lambda: transforms.fit_target_transform(df, "o_totalprice", "none"),
+    })
+
+
+@query
+def stamped_dates(spark, sf):
+    """The three date formats of records, at every order's date."""
+    at = F.col("o_orderdate")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", formatting.today(at).alias("day"), formatting.clock(at).alias("clock"),
+        formatting.stamp(at).alias("stamp"))
+
+
+@query
+def logs_of_orders(spark, sf):
+    """A log of one line for each order, written by Spark and read back as numbered lines."""
+    path = scratch(spark)
+    text = F.concat_ws(" ", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("bigint"))
+    orders = table(spark, sf, "orders").select("o_orderkey", text.alias("value"))
+    orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return store.read_log(spark, path)

@@ -327,3 +327,38 @@ def test_bars_report_unknown_metrics(spark, table):
     assert bars.count() == 1 and unknown == ["XYZ"]
     with pytest.raises(ValueError):
         metrics.cv_bar_table(long, ["R2"], "test")
+
+
+def test_stored_settings_rebuild_the_same_table(spark, tmp_path):
+    """Every setting of the preparation is kept with the experiment."""
+    df = synthetic(spark, 300).withColumns({
+        "code": F.when(F.col("id") % 9 > 0, F.col("id") % 4), "text": F.lit("x"),
+        "gaps": F.when(F.col("id") % 4 > 0, F.col("a")),
+    })
+    prep = PrepareConfig(
+        "y", key_cols=("id",), categorical_features=("code",), categorical_fill="mode", non_numeric="drop",
+        sparse_threshold=0.3, dedupe="group", composite_parts=("a", "b"), drop_leaky=True,
+    )
+    run = run_analysis(
+        spark, df.drop("y"), AnalysisConfig(prep, models=("LR",), n_iter=1, k=3), str(tmp_path))
+    context = rebuild_context(spark, str(tmp_path), 1, df.drop("y"))
+    assert context.features == run.table.features and "gaps" in context.features
+    assert context.df.exceptAll(run.table.df).count() == 0 and context.df.count() == run.table.df.count()
+
+
+def test_invariants_of_fits_without_a_closed_form(spark, table):
+    """Hidden layers and deep trees fit better than a line and a stump, on rows not seen."""
+    from regatta.workload.queries import STUMP
+
+    table.fit_transforms("none")
+    curve = table.df.withColumn("y", F.sin("a") * 8 + F.col("b") * F.when(F.col("flag"), 1).otherwise(-1))
+    t = search.TrainingTable(curve, table.features, "y", ["id"], 3)
+    t.fit_transforms("none")
+    line, stump = (search.cross_validate(t, f, p, 1)["mse_mean"] for f, p in (("LR", {}), ("RF", STUMP)))
+    deep = {
+        "RF": {"n_estimators": 10, "max_depth": 8}, "XGB": {"n_estimators": 20, "max_depth": 4},
+        "LGB": {"n_estimators": 30, "num_leaves": 12, "learning_rate": 0.3},
+        "NN": {"hidden_layer_sizes": [32, 16], "batch_size": 16, "learning_rate_init": 0.01, "max_iter": 40},
+    }
+    for family, p in deep.items():
+        assert search.cross_validate(t, family, p, 1)["mse_mean"] < 0.6 * min(line, stump), family

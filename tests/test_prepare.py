@@ -148,3 +148,32 @@ def test_names_with_dots_and_booleans(spark):
     out = prepare(df, PrepareConfig("the.y", key_cols=("k",), categorical_features=("is.on", "a b")))
     assert out.features == ["is.on_False", "is.on_True", "a b_x", "a b_y"]
     assert out.df.count() == 12
+
+
+def test_null_booleans_are_filled(spark):
+    rows = [(i, float(i), [True, False, None, True, True][i % 5]) for i in range(50)]
+    out = prepare(frame(spark, [*rows[:-1], (49, 49.0, True)], "k int, y double, f boolean"),
+                  PrepareConfig("y", key_cols=("k",), sparse_threshold=0.3))
+    assert out.df.where("f is null").count() == 0 and out.df.where("k = 2").first()["f"] is True
+
+
+def test_bitmap_of_repeated_rows(spark, monkeypatch):
+    """With few words distinct rows share bits with repeated ones and are compared by value."""
+    rows = [(i, i % 700, f"v{i % 700}" if i % 3 else None) for i in range(1500)]
+    df = frame(spark, rows, "word int, a int, bits string").repartition(4)
+    want = {}
+    for k, a, b in rows:
+        want[a, b] = min(k, want.get((a, b), k))
+    for words in (1, 8, 1 << 20):
+        monkeypatch.setattr(dedupe, "WORDS", words)
+        got = dedupe.drop_duplicate_rows(df, ["word"])
+        assert got.columns == ["word", "a", "bits"]
+        assert {(r.a, r.bits): r.word for r in got.collect()} == want
+        assert dedupe.drop_duplicate_rows(df.select("a", "bits")).count() == len(want)
+
+
+def test_modes(spark):
+    df = frame(spark, [(2.0, "b", True), (10.0, "b", False), (10.0, "a", None), (2.0, "a", None), (None, None, None)],
+               "x double, s string, f boolean")
+    assert stats.modes(df, ["x", "s", "f"]) == {"x": 2.0, "s": "a", "f": False}
+    assert stats.modes(df.where("x is null"), ["x", "f"]) == {"x": None, "f": None}

@@ -171,6 +171,18 @@ def test_log_lines_keep_file_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["line"] for r in rows[:5000]] == [f"line {i}" for i in range(5000)]
     assert [r["line_no"] for r in rows] == list(range(1, 5002))
+    assert rows[5000]["line"] == " bad bytes"
+    other = tmp_path / "marks.txt"
+    other.write_bytes("a \N{REPLACEMENT CHARACTER} b".encode() + b"\xff c")
+    assert store.read_log(spark, str(other)).first()["line"] == "a \N{REPLACEMENT CHARACTER} b c"
+
+
+def test_experiment_numbers_are_claimed_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: store.allocate_experiment(spark, str(tmp_path)), range(12)))
+    assert sorted(numbers) == list(range(1, 13))
 
 
 def test_csv_types_and_catalog(spark, tmp_path):
