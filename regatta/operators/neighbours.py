@@ -11,11 +11,13 @@ here and both are spread out:
   ranks, each the size of the ranges before plus a rank inside one.
 
 A tiny jitter, part of the estimator, separates equal values, so a value shared by a third of
-the rows is still cut into cells.
+the rows is still cut into cells. It is a function of the row's key, and the score therefore the
+same on any layout.
 """
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -26,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import col, require_columns
+from regatta.functions.hashing import MODULUS, add_key_hash
 from regatta.session import materialize
 
 NEIGHBOURS = 3
 JITTER = 1e-10
 CELL_ROWS = 50_000
 SAMPLE_PER_CELL = 50
-MAX_CELLS = 1 << 18  # what the tree sent to every task may hold
+MAX_CELLS = 1 << 18  # what the tree sent to every task may hold; with more rows, cells grow
 BLOCK = 64
 
 
@@ -45,12 +48,16 @@ def mutual_info_neighbours(
     cell_rows: int = CELL_ROWS,
     seed: int = 0,
     n_jobs: int = 2,
+    key_cols: list[str] = (),
 ) -> DataFrame:
-    """``feature, ordinal, score`` in nats, never below 0."""
+    """``feature, ordinal, score`` in nats, never below 0.
+
+    Without key columns a row is known by its whole content, and equal rows by their number.
+    """
     require_columns(df, [*features, target])
 
     def score(at: int) -> tuple:
-        rows, n = _plane(df, features[at], target, jitter, seed + at)
+        rows, n = _plane(df, features[at], target, jitter, seed + at, list(key_cols))
         if n <= neighbours:
             raise ValueError(f"{n} rows are too few for {neighbours} neighbours")
         return features[at], at, _information(rows, n, neighbours, cell_rows)
@@ -60,22 +67,42 @@ def mutual_info_neighbours(
     return df.sparkSession.createDataFrame(scores, "feature string, ordinal int, score double")
 
 
-def _plane(df: DataFrame, feature: str, target: str, jitter: float, seed: int):
+COPIES = 1_000_000
+"""Equal rows that are numbered at a time."""
+
+
+def _keyed(df: DataFrame, x: Column, y: Column, key_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """``x, y`` of rows that have both, and the columns that tell these rows apart."""
+    both = x.isNotNull() & y.isNotNull()
+    if key_cols:
+        keys = [col(k).alias(f"k{i}") for i, k in enumerate(key_cols)]
+        return df.where(both).select(x.alias("x"), y.alias("y"), *keys), [f"k{i}" for i in range(len(keys))]
+    content = F.xxhash64(*[col(n) for n in df.columns]).alias("k")
+    alike = df.where(both).select(x.alias("x"), y.alias("y"), content).groupBy("x", "y", "k").count()
+    lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0), F.expr(f"(count - 1) div {COPIES}"))))
+    size = F.least(F.lit(COPIES), F.expr(f"count - lot * {COPIES}")).cast("int")
+    numbered = lots.withColumn("i", F.explode(F.sequence(F.lit(1), size)))
+    return numbered.select("x", "y", "k", (F.col("lot") * COPIES + F.col("i")).alias("copy")), ["k", "copy"]
+
+
+def _plane(df: DataFrame, feature: str, target: str, jitter: float, seed: int, key_cols: list[str]):
     """``id, x, y`` scaled to unit deviation and jittered, written once; and the row count."""
-    pair = df.select(col(feature).cast("double").alias("x"), col(target).cast("double").alias("y"))
-    pair = pair.where("x IS NOT NULL AND y IS NOT NULL")
+    pair, keys = _keyed(df, col(feature).cast("double"), col(target).cast("double"), key_cols)
     s = pair.agg(
         F.count("*").alias("n"),
         *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate(
             (F.stddev_pop, lambda v: F.avg(F.abs(v))))],
     ).first()
+    for i in range(4 if jitter else 0):
+        pair = add_key_hash(pair, keys, f"__h{i}", 4 * seed + i)
 
     def moved(c: str, salt: int) -> Column:
         deviation = s[f"{c}0"] or 1.0
         size = max(1.0, (s[f"{c}1"] or 0.0) / deviation)
         out = F.col(c) / F.lit(deviation)
-        if jitter:
-            out = out + F.randn(2 * seed + salt) * F.lit(jitter * size)
+        if jitter:  # a normal number from two even ones (Box and Muller 1958)
+            one, two = ((F.col(f"__h{2 * salt + i}") + 0.5) / F.lit(float(MODULUS)) for i in (0, 1))
+            out = out + F.sqrt(-2.0 * F.ln(one)) * F.cos(F.lit(2 * math.pi) * two) * F.lit(jitter * size)
         return out.alias(c)
 
     numbered = pair.select(F.monotonically_increasing_id().alias("id"), moved("x", 0), moved("y", 1))
@@ -303,7 +330,7 @@ def _radii(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
 def _mean_digamma(radii: DataFrame, axis: str, n: int, cell_rows: int) -> float:
     """Mean of digamma(rows strictly closer than r on one axis, the row itself included)."""
     spark = radii.sparkSession
-    parts = min(10_000, -(-n // cell_rows))
+    parts = min(MAX_CELLS, -(-n // cell_rows))
     edges = np.zeros(0)
     if parts > 1:
         levels = [i / parts for i in range(1, parts)]

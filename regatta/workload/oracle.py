@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import log, pi
 
 MODULUS = 2147483647
 FACTORS = (48271, 69621, 40692, 39373, 16807, 62089911, 630360016, 742938285)
@@ -197,6 +197,28 @@ def neighbour_information(feature: str, ordinal: int) -> str:
       FROM c JOIN h hx ON hx.m = c.nx JOIN h hy ON hy.m = c.ny) AS score"""
 
 
+def jittered_information() -> str:
+    """The same over values that tie, each moved by a normal number that its key gives."""
+    def moved(c: str, salt: int) -> str:
+        one, two = (f"(({hash_sql(['c_custkey'], 2 * salt + i)} + 0.5) / {float(MODULUS)!r})" for i in (0, 1))
+        size = f"(1e-10::DOUBLE * greatest(1, (SELECT avg(abs({c})) / stddev_pop({c}) FROM v)))"
+        return f"""{c}::DOUBLE / (SELECT stddev_pop({c}) FROM v)
+          + sqrt(-2.0::DOUBLE * ln({one})) * cos({2 * pi!r}::DOUBLE * {two}) * {size}"""
+
+    return f"""WITH v AS (SELECT c_custkey, ((c_custkey * 37) % 20)::DOUBLE AS step,
+          ((c_custkey * 37) % 20 * 2 + (c_custkey * 11) % 7)::DOUBLE AS signal FROM customer),
+        p AS (SELECT c_custkey AS id, {moved("step", 0)} AS x, {moved("signal", 1)} AS y FROM v),
+        r AS (SELECT a.id, a.x, a.y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS r
+          FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id, a.x, a.y),
+        c AS (SELECT r.id, count(*) FILTER (WHERE abs(r.x - p.x) < r.r) AS nx,
+          count(*) FILTER (WHERE abs(r.y - p.y) < r.r) AS ny FROM r CROSS JOIN p GROUP BY r.id),
+        h AS (SELECT m, -0.5772156649015329 + coalesce(sum(1.0 / (m - 1)) FILTER (WHERE m > 1)
+          OVER (ORDER BY m), 0) AS psi FROM range(1, (SELECT count(*) + 1 FROM v)) t(m))
+      SELECT 'step' AS feature, 0 AS ordinal, round(greatest((SELECT psi FROM h WHERE m = (SELECT count(*) FROM v))
+          + (SELECT psi FROM h WHERE m = 3) - avg(hx.psi) - avg(hy.psi), 0), 3) AS score
+      FROM c JOIN h hx ON hx.m = c.nx JOIN h hy ON hy.m = c.ny"""
+
+
 def stump(source: str, feature: str, y: str) -> str:
     """The best two-way split: ``cut`` (left is <= cut) and the means of both sides."""
     return f"""SELECT v AS cut, nl_sum / nl AS low, (t - nl_sum) / (n - nl) AS high FROM (
@@ -625,6 +647,7 @@ FLAGGED = f"""SELECT {LK}, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quanti
   l_extendedprice, y FROM ({SCORED})"""
 
 ORACLE |= {
+    "mutual_info_neighbour_keys": jittered_information(),
     "penalised_stumps": split_metrics(penalised_sql(2, 0.5, 100.0, 40.0, 1, 1.0), "XGB"),
     "penalised_leafwise": split_metrics(penalised_sql(3, 0.2, 60.0, 25.0, 20, 1.0), "LGB"),
     "null_booleans": f"""WITH d AS ({FLAGGED}),

@@ -314,6 +314,17 @@ def mutual_info_neighbour_ties(spark, sf):
     )
 
 
+@query
+def mutual_info_neighbour_keys(spark, sf):
+    """Twenty distinct values against fifty, told apart by a jitter that the row's key gives."""
+    df = table(spark, sf, "customer").select(
+        "c_custkey", F.pmod(F.col("c_custkey") * 37, F.lit(20)).alias("step"),
+        (F.pmod(F.col("c_custkey") * 37, F.lit(20)) * 2 + F.pmod(F.col("c_custkey") * 11, F.lit(7))).alias("signal"),
+    )
+    out = mutual_info_neighbours(df, ["step"], "signal", cell_rows=300, key_cols=["c_custkey"])
+    return out.withColumn("score", F.round("score", 3))
+
+
 # -- splits --------------------------------------------------------------------------
 
 

@@ -118,6 +118,24 @@ def test_neighbours_with_a_third_of_rows_equal(spark):
     assert abs(one - many) < 1e-9 and one > 1
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    df = spark.range(1200).select(
+        "id", F.pmod(F.col("id") * 37, F.lit(9)).alias("x"), F.pmod(F.col("id") * 11, F.lit(5)).alias("y"))
+    for keys in (["id"], []):
+        scores = [
+            mutual_info_neighbours(d, ["x"], "y", cell_rows=c, key_cols=keys).first()["score"]
+            for d, c in ((df, 10_000), (df.repartition(5), 200))
+        ]
+        assert abs(scores[0] - scores[1]) < 1e-9
+    # rows that are equal throughout are numbered
+    pairs = df.select("x", "y")
+    scores = [
+        mutual_info_neighbours(d, ["x"], "y", cell_rows=c).first()["score"]
+        for d, c in ((pairs, 10_000), (pairs.repartition(3), 200))
+    ]
+    assert abs(scores[0] - scores[1]) < 1e-9
+
+
 def test_k_nearest_across_point_sets():
     rng = np.random.default_rng(2)
     p, q = rng.random((700, 2)), rng.random((300, 2))
