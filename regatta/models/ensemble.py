@@ -47,6 +47,7 @@ class Ensemble:
     weights: list[float]
     base: float = 0.0
     n_nodes: int = field(init=False)
+    leaf_paths: list | None = field(init=False, default=None, repr=False, compare=False)
 
     def __post_init__(self):
         self.n_nodes = sum(len(t.feature) for t in self.trees)
@@ -62,10 +63,16 @@ class Ensemble:
     def expectation(self) -> float:
         return self.base + sum(w * t.expectation() for t, w in zip(self.trees, self.weights))
 
+    def paths(self) -> "list[LeafPaths]":
+        """The leaves of all trees with their paths; built once for an ensemble."""
+        if self.leaf_paths is None:
+            self.leaf_paths = leaf_paths(self.trees, self.weights)
+        return self.leaf_paths
+
     def shapley(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(x.shape)
-        for tree, w in zip(self.trees, self.weights):
-            _add_tree_shapley(tree, w, x, out)
+        for paths in self.paths():
+            paths.add(x, out)
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -90,44 +97,98 @@ class Ensemble:
         return Ensemble(trees, a["weights"].tolist(), float(a["base"]))
 
 
-def _add_tree_shapley(tree: Tree, weight: float, x: np.ndarray, out: np.ndarray) -> None:
-    """Path-dependent Shapley values of one tree for all rows at once.
+PATTERNS = 10
+"""Features of a path up to which its contributions are tabled by the conditions that hold."""
+
+LEAVES = 512
+"""Leaves that are looked at together."""
+
+CELLS = 2_000_000
+"""Numbers of a block of rows and leaves."""
+
+
+@dataclass
+class LeafPaths:
+    """Leaves reached through equally many features: arrays of leaf x feature of its path.
 
-    For a leaf reached through features j with cover ratio z_j, and o_j = 1 where the row
-    meets the conditions on j, the weight of feature i is the integral over t in (0, 1) of
-    prod_{j != i} (z_j (1-t) + o_j t): the Shapley kernel written as a beta integral. The
-    integrand is a polynomial, so Gauss-Legendre nodes give it exactly.
+    A leaf is reached where each feature lies in its interval (low, high]; ``ratio`` is the
+    share of the cover that goes along at the splits on the feature, ``value`` the weighted value.
     """
-    stack = [(0, {})]
-    while stack:
-        node, path = stack.pop()
-        f = int(tree.feature[node])
-        if f >= 0:
+
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    ratio: np.ndarray
+    value: np.ndarray
+    table: np.ndarray | None = None
+
+    def __post_init__(self):
+        d = self.feature.shape[1]
+        if d <= PATTERNS:
+            holds = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+            self.table = self._contributions(np.broadcast_to(holds, (len(self.value), 1 << d, d)))
+
+    def _contributions(self, holds: np.ndarray) -> np.ndarray:
+        """What each feature of a path adds, for conditions that hold (1) or not: leaf x case x feature.
+
+        With cover ratio z_j, and o_j = 1 where the condition on j holds, the weight of feature i
+        is the integral over t in (0, 1) of prod_{j != i} (z_j (1-t) + o_j t): the Shapley kernel
+        written as a beta integral. The integrand is a polynomial, so Gauss-Legendre nodes give
+        it exactly.
+        """
+        z = self.ratio[:, None, :]
+        nodes, gauss = np.polynomial.legendre.leggauss((self.feature.shape[1] + 1) // 2 + 1)
+        out = np.zeros(holds.shape)
+        for t, g in zip((nodes + 1) / 2, gauss / 2, strict=True):
+            factors = z * (1 - t) + holds * t
+            out += g * factors.prod(axis=2, keepdims=True) / factors
+        return out * (holds - z) * self.value[:, None, None]
+
+    def add(self, x: np.ndarray, out: np.ndarray) -> None:
+        """Add the contributions of all leaves to ``out``, row x feature."""
+        n, d = self.feature.shape
+        place = np.zeros((n * d, x.shape[1]))
+        place[np.arange(n * d), self.feature.ravel()] = 1.0
+        step = max(1, CELLS // (n * d))
+        for at in range(0, len(x), step):
+            values = x[at:at + step][:, self.feature]
+            holds = (values > self.low) & (values <= self.high)
+            if self.table is not None:
+                case = holds @ (1 << np.arange(d))
+                found = self.table[np.arange(n), case]
+            else:
+                found = self._contributions(holds.transpose(1, 0, 2).astype(float)).transpose(1, 0, 2)
+            out[at:at + step] += found.reshape(len(values), n * d) @ place
+
+
+def leaf_paths(trees: list[Tree], weights: list[float]) -> list[LeafPaths]:
+    """All leaves that add something, by the number of features on their paths."""
+    by_size: dict[int, list] = {}
+    for tree, weight in zip(trees, weights, strict=True):
+        stack = [(0, {})]
+        while stack:
+            node, path = stack.pop()
+            f = int(tree.feature[node])
+            if f < 0:
+                if path and tree.value[node] != 0.0:
+                    by_size.setdefault(len(path), []).append((path, weight * tree.value[node]))
+                continue
             cut = tree.threshold[node]
             for child, low, high in (
-                (int(tree.left[node]), -np.inf, cut),
-                (int(tree.right[node]), cut, np.inf),
+                (int(tree.left[node]), -np.inf, cut), (int(tree.right[node]), cut, np.inf),
             ):
-                ratio = tree.cover[child] / tree.cover[node]
                 a, b, z = path.get(f, (-np.inf, np.inf, 1.0))
-                stack.append((child, {**path, f: (max(a, low), min(b, high), z * ratio)}))
-            continue
-        if not path or tree.value[node] == 0.0:
-            continue
-        features = list(path)
-        d = len(features)
-        nodes, gauss = np.polynomial.legendre.leggauss((d + 1) // 2 + 1)
-        t = (nodes + 1) / 2
-        inside = np.stack(
-            [(x[:, j] > path[j][0]) & (x[:, j] <= path[j][1]) for j in features]
-        ).astype(float)
-        zero = np.array([path[j][2] for j in features])
-        # factors: feature x row x node
-        factors = zero[:, None, None] * (1 - t) + inside[:, :, None] * t
-        product = factors.prod(axis=0)
-        for i, j in enumerate(features):
-            w = (product / factors[i]) @ (gauss / 2)
-            out[:, j] += weight * tree.value[node] * (inside[i] - zero[i]) * w
+                share = tree.cover[child] / tree.cover[node]
+                stack.append((child, {**path, f: (max(a, low), min(b, high), z * share)}))
+    out = []
+    for _, leaves in sorted(by_size.items()):
+        for at in range(0, len(leaves), LEAVES):
+            part = leaves[at:at + LEAVES]
+            bounds = np.array([list(p.values()) for p, _ in part], dtype=float)
+            out.append(LeafPaths(
+                np.array([list(p) for p, _ in part]), bounds[:, :, 0], bounds[:, :, 1], bounds[:, :, 2],
+                np.array([v for _, v in part])))
+    return out
 
 
 def predict_ensemble(df: DataFrame, ensemble: Ensemble, features: list[str], output: str) -> DataFrame:
@@ -141,7 +202,8 @@ def predict_ensemble(df: DataFrame, ensemble: Ensemble, features: list[str], out
 
 
 def shapley_column(df: DataFrame, ensemble: Ensemble, features: list[str], output: str) -> DataFrame:
-    """Adds an array with one Shapley value per feature."""
+    """Adds an array with one Shapley value per feature; the paths are worked out once."""
+    ensemble.paths()
     shared = df.sparkSession.sparkContext.broadcast(ensemble)
 
     @F.pandas_udf("array<double>")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regatta.models import ensemble
 from regatta.models.ensemble import Ensemble, Tree
 from regatta.models.linear import fit_linear, product_sums
 from regatta.operators import explain, metrics
@@ -98,7 +99,7 @@ def test_other_families_cannot_be_explained(table, models):
             explain.shap_values(models[family], table.test, ["id"])
 
 
-def test_tree_shapley_equals_the_definition():
+def test_tree_shapley_equals_the_definition(monkeypatch):
     """Against the sum over all feature subsets, expectations following the cover."""
     from itertools import combinations
     from math import factorial
@@ -123,6 +124,9 @@ def test_tree_shapley_equals_the_definition():
 
     x = np.random.default_rng(0).random((20, 3))
     got = Ensemble([tree], [1.0]).shapley(x)
+    for name, value in (("PATTERNS", 0), ("CELLS", 7), ("LEAVES", 2)):  # without tables, in small blocks
+        monkeypatch.setattr(ensemble, name, value)
+        np.testing.assert_allclose(Ensemble([tree], [1.0]).shapley(x), got, rtol=1e-12)
     for i, row in enumerate(x):
         for j in range(3):
             others, value = [f for f in range(3) if f != j], 0.0
