@@ -117,7 +117,10 @@ class Learner:
 
 
 class BinnedTable:
-    """Coded features, labels, fold, row hash and the stored fits of ``learners`` models."""
+    """Coded features, labels, fold, row hash and the stored fits of ``learners`` models.
+
+    A row is one binary value, so that a pass hands a single column to Python.
+    """
 
     def __init__(self, source: FitTable, bins: int, learners: int = 1):
         self.source, self.labels, self.learners = source, source.labels, learners
@@ -126,7 +129,10 @@ class BinnedTable:
             source.cuts[bins] = feature_cuts(source.rows, names, bins)
         self.cuts = source.cuts[bins]
         self.bins = max(len(c) for c in self.cuts) + 1
-        self.kind = np.uint8 if self.bins <= 256 else np.uint16
+        self.row = np.dtype([
+            ("y", "<f8", (len(self.labels),)), ("fits", "<f8", (learners,)), ("h", "<i8"), ("fold", "<i4"),
+            ("codes", "u1" if self.bins <= 256 else "<u2", (len(names),)),
+        ])
         self.passes = 0
         self._take(materialize(self._coded(source.rows, names)))
 
@@ -134,45 +140,34 @@ class BinnedTable:
         self.rows, self.tasks = rows, rows.rdd.getNumPartitions()  # a stored table: no job
 
     def _coded(self, rows: DataFrame, names: list[str]) -> DataFrame:
-        cuts, kind, labels, width = self.cuts, self.kind, self.labels, 8 * self.learners
+        cuts, labels, kind = self.cuts, self.labels, self.row
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = matrix(batch, names)
-                codes = np.empty(x.shape, kind)
+                x, out = matrix(batch, names), np.zeros(batch.num_rows, kind)
                 for j, c in enumerate(cuts):
-                    codes[:, j] = np.searchsorted(c, x[:, j], "left")
-                n = batch.num_rows
-                columns = [
-                    binary(codes), *(batch.column(batch.schema.get_field_index(c)) for c in (*labels, "fold", "h")),
-                    binary(np.zeros((n, width), np.uint8)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["codes", *labels, "fold", "h", "fits"])
+                    out["codes"][:, j] = np.searchsorted(c, x[:, j], "left")
+                out["y"] = matrix(batch, labels)
+                for name in ("h", "fold"):
+                    out[name] = batch.column(batch.schema.get_field_index(name)).to_numpy()
+                yield pa.RecordBatch.from_arrays([binary(out)], names=["row"])
 
-        kinds = ", ".join(f"{y} double" for y in labels)
-        return rows.mapInArrow(code, f"codes binary, {kinds}, fold int, h bigint, fits binary")
+        return rows.mapInArrow(code, "row binary")
 
     def _blocks(self):
-        """A function from a task's batches to blocks of arrays."""
-        kind, labels, learners, d = self.kind, self.labels, self.learners, len(self.cuts)
-
-        def arrays(batches: list[pa.RecordBatch]):
-            table = pa.Table.from_batches(batches).combine_chunks()
-            codes = raw(table.column("codes")).view(kind).reshape(-1, d)
-            fits = raw(table.column("fits")).view(np.float64).reshape(-1, learners)
-            ys = [table.column(y).to_numpy() for y in labels]
-            return codes, ys, table.column("fold").to_numpy(), table.column("h").to_numpy(), fits, table
+        """A function from a task's batches to blocks of rows."""
+        kind = self.row
 
-        def blocks(batches):
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             held, size = [], 0
             for batch in batches:
-                held.append(batch)
+                held.append(raw(batch.column(0)).view(kind))
                 size += batch.num_rows
                 if size >= BLOCK_ROWS:
-                    yield arrays(held)
+                    yield np.concatenate(held)
                     held, size = [], 0
             if size:
-                yield arrays(held)
+                yield np.concatenate(held)
 
         return blocks
 
@@ -226,19 +221,19 @@ class BinnedTable:
                 key: (np.zeros((n, len(columns), bins)), np.zeros((n, len(columns), bins)))
                 for *_, jobs in shared.value for key, _, _, n, columns, _ in jobs
             }
-            for codes, ys, fold, h, fits, _ in blocks(batches):
-                kept, drawn = {}, {}
+            for block in blocks(batches):
+                codes, kept, drawn = np.ascontiguousarray(block["codes"]), {}, {}
                 for m, label, left_out, base, recent, jobs in shared.value:
                     if left_out not in kept:
-                        rows = slice(None) if left_out is None else np.flatnonzero(fold != left_out)
+                        rows = slice(None) if left_out is None else np.flatnonzero(block["fold"] != left_out)
                         kept[left_out] = (codes[rows], rows)
                     mine, rows = kept[left_out]
-                    r = ys[label][rows] - base - fits[rows, m]
+                    r = block["y"][rows, label] - base - block["fits"][rows, m]
                     for tree, weight in recent:
                         r = r - weight * tree.value[tree.leaves(mine)]
                     for key, tree, lookup, n, columns, draw in jobs:
                         if (draw, left_out) not in drawn:
-                            drawn[draw, left_out] = draw.weights(h[rows])
+                            drawn[draw, left_out] = draw.weights(block["h"][rows])
                         add_histograms(out[key], mine, r, drawn[draw, left_out], tree, lookup, n, columns, bins)
             return out
 
@@ -251,19 +246,17 @@ class BinnedTable:
         """Add what the recent trees say to the stored fits, in a table of its own."""
         self.passes += 1
         shared = self.rows.sparkSession.sparkContext.broadcast([x.recent for x in learners])
-        blocks, names = self._blocks(), self.rows.columns
+        blocks = self._blocks()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for codes, _, _, _, fits, table in blocks(batches):
-                fits = fits.copy()
+            for block in blocks(batches):
+                codes = np.ascontiguousarray(block["codes"])
                 for m, recent in enumerate(shared.value):
                     for tree, weight in recent:
-                        fits[:, m] += weight * tree.value[tree.leaves(codes)]
-                kept = [table.column(c).combine_chunks() for c in names[:-1]]
-                kept = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in kept]
-                yield pa.RecordBatch.from_arrays([*kept, binary(fits.view(np.uint8))], names=names)
+                        block["fits"][:, m] += weight * tree.value[tree.leaves(codes)]
+                yield pa.RecordBatch.from_arrays([binary(block)], names=["row"])
 
-        self._take(materialize(self.rows.mapInArrow(add, self.rows.schema)))
+        self._take(materialize(self.rows.mapInArrow(add, "row binary")))
         shared.unpersist()
         for learner in learners:
             learner.recent = []
@@ -287,19 +280,14 @@ def add_histograms(out, codes, residual, weights, tree, lookup, n, columns, bins
 
 
 def binary(rows: np.ndarray) -> pa.Array:
-    """Each row of an array as bytes."""
-    n, width = len(rows), rows.dtype.itemsize * rows.shape[1]
-    ends = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32)
-    return pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+    """Each record of an array as bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
 
-def raw(column: pa.ChunkedArray) -> np.ndarray:
+def raw(column: pa.Array) -> np.ndarray:
     """The bytes of a column of equal lengths."""
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = array.chunk(0)
-    _, places, data = array.buffers()
-    ends = np.frombuffer(places, np.int64 if pa.types.is_large_binary(array.type) else np.int32)
-    first, last = ends[array.offset], ends[array.offset + len(array)]
-    return np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
+    _, places, data = column.buffers()
+    ends = np.frombuffer(places, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = ends[column.offset], ends[column.offset + len(column)]
+    return np.frombuffer(data, np.uint8)[first:last]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from regatta.columns import col, is_numeric, require_columns
 from regatta.operators import clean, dedupe, encode
 from regatta.operators import stats as S
-from regatta.session import materialize
+from regatta.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -90,6 +90,8 @@ def prepare(df: DataFrame, config: PrepareConfig) -> Prepared:
     steps: list[tuple] = []
 
     cleaned = clean.clean_sentinels(df)
+    if config.reuse:
+        cleaned = spread(cleaned)
     present = clean.all_present(list(parts) or [target])
     counts = cleaned.agg(F.count("*").alias("n"), F.count_if(present).alias("kept")).first()
     steps.append(("load", counts["n"], len(df.columns), ""))

@@ -9,16 +9,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regatta.columns import col
-from regatta.models.base import FAMILIES, FittedModel
+from regatta.models.base import FAMILIES, FittedModel, complete_rows
 from regatta.models.extra import extra_steps
 from regatta.models.linear import LinearModel, fit_linear, fit_linear_folds
 from regatta.models.mlp import mlp_steps, worker_count
+from regatta.models.partials import matrix
 from regatta.models.svr import svr_steps
 from regatta.models.together import FitTable, Job, fit_together
 from regatta.models.trees import BINNED, fit_tree_models
@@ -194,31 +195,35 @@ TRIALS_PER_SCORE = 20
 def score_trials(table: TrainingTable, trials: list[dict[int, FittedModel]]) -> list[dict]:
     """Mean, population deviation and per-fold values of MSE, MAE and R2 for each trial.
 
-    Every held-out row meets the models of its fold once, for many trials in one scan.
+    Every complete held-out row meets the models of its fold once, for many trials in one scan.
     """
     spark = table.df.sparkSession
     label = col(table.target).cast("double").alias("label")
-    inputs = F.struct(*[col(f).cast("double").alias(f"f{i}") for i, f in enumerate(table.features)])
+    inputs = [col(f).cast("double").alias(f"f{i}") for i, f in enumerate(table.features)]
     out = []
     for at in range(0, len(trials), TRIALS_PER_SCORE):
         part = trials[at:at + TRIALS_PER_SCORE]
         shared = spark.sparkContext.broadcast(part)
-
-        @F.pandas_udf("array<double>")
-        def decide(x: pd.DataFrame, fold: pd.Series) -> pd.Series:
-            values, folds = x.to_numpy(dtype=float), fold.to_numpy()
-            found = np.full((len(x), len(shared.value)), np.nan)
-            for f in np.unique(folds):
-                rows = np.flatnonzero(folds == f)
-                for t, models in enumerate(shared.value):
-                    if f in models:
-                        found[rows, t] = models[f].decide(values[rows])
-            return pd.Series(list(found))
-
-        scored = table.train.select(label, "fold", decide(inputs, F.col("fold")).alias("__p"))
+        names = [f"f{i}" for i in range(len(table.features))]
+        schema = ", ".join(["label double", "fold int", *(f"p{t} double" for t in range(len(part)))])
+
+        def decide(batches):
+            for batch in batches:
+                x, folds = matrix(batch, names), batch.column(1).to_numpy()
+                found = np.full((len(shared.value), len(x)), np.nan)
+                for f in np.unique(folds):
+                    rows = np.flatnonzero(folds == f)
+                    for t, models in enumerate(shared.value):
+                        if f in models:
+                            found[t, rows] = models[f].decide(x[rows])
+                columns = [batch.column(0), batch.column(1), *(pa.array(p, pa.float64()) for p in found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "fold", *(f"p{t}" for t in range(len(found)))])
+
+        scored = complete_rows(table.train.select(label, F.col("fold").cast("int").alias("fold"), *inputs), names)
+        scored = scored.mapInArrow(decide, schema)
         aggregates = []
         for t, models in enumerate(part):
-            raw, chosen = F.col("__p")[t], None
+            raw, chosen = F.col(f"p{t}"), None
             if len({m.transform for m in models.values()}) == 1:
                 chosen = next(iter(models.values())).transform.inverse(raw)
             else:

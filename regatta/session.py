@@ -60,6 +60,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that fewer tasks read than there are cores, dealt evenly and written once.
+
+    For inputs without shuffles that several passes read; larger ones stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialize(df.repartition(cores)) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per session."""
     context = spark.sparkContext
