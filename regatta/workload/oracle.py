@@ -526,11 +526,12 @@ ORACLE: dict[str, str] = {
     "metric_best": f"""SELECT 'R²' AS label, round(max(test_R2), 6) AS best FROM ({STAND_IN})
         UNION ALL SELECT 'MAE', round(min(test_MAE), 6) FROM ({STAND_IN})
         UNION ALL SELECT 'MSE', round(min(test_MSE), 6) FROM ({STAND_IN})""",
-    "log_round_trip": "SELECT row_number() OVER (ORDER BY r_regionkey) AS line_no, r_name AS line FROM region",
+    "log_round_trip": """SELECT row_number() OVER (ORDER BY o_orderstatus) AS line_no,
+        o_orderstatus || ': ' || count(*) || ' orders' AS line FROM orders GROUP BY o_orderstatus""",
     "metadata_round_trip": """SELECT 'experiment_3' AS experiment_id, count(*)::INT AS random_state, 'y' AS target,
-        0 AS n_features, 'f_regression' AS feature_scoring, 0.25::DOUBLE AS test_size, false AS exact_folds FROM nation""",
-    "listed_tables": """SELECT n_regionkey::INT AS region, sum(strlen(n_name) + 1)::BIGINT AS length
-        FROM nation GROUP BY n_regionkey""",
+        0 AS n_features, 'f_regression' AS feature_scoring, 0.25::DOUBLE AS test_size, false AS exact_folds FROM orders""",
+    "listed_tables": """SELECT c_nationkey::INT AS nation, sum(strlen(c_name) + 1)::BIGINT AS length
+        FROM customer GROUP BY c_nationkey""",
     "rebuilt_split": f"SELECT {LK} FROM ({ONE_FEATURE}) WHERE {hash_sql(LINE_KEYS, 42)} < {int(MODULUS * 0.3)}",
     "export_view": f"""SELECT model_id, CAST(iteration AS BIGINT) AS iteration, target,
         coalesce({hms('optimization_time')}, '—') AS optimization_time FROM ({STAND_IN})

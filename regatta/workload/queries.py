@@ -824,9 +824,10 @@ def metric_best(spark, sf):
 
 @query
 def log_round_trip(spark, sf):
-    """A log written and read with its line numbers."""
+    """A run's log written and read with its line numbers: one line for each order status."""
     root = scratch(spark)
-    lines = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    counted = table(spark, sf, "orders").groupBy("o_orderstatus").count().orderBy("o_orderstatus")
+    lines = [f"{r['o_orderstatus']}: {r['count']} orders" for r in counted.collect()]
     store.write_log(spark, root, 1, lines)
     return store.read_log(spark, f"{root}/logs/exp=1")
 
@@ -834,7 +835,7 @@ def log_round_trip(spark, sf):
 @query
 def metadata_round_trip(spark, sf):
     """An experiment's record written and read, with defaults for what it leaves out."""
-    root, n = scratch(spark), table(spark, sf, "nation").count()
+    root, n = scratch(spark), table(spark, sf, "orders").count()
     store.write_metadata(spark, root, 3, {"random_state": n, "target": "y", "test_size": 0.25})
     out = store.read_metadata(spark, root, 3)
     return out.select(
@@ -844,13 +845,13 @@ def metadata_round_trip(spark, sf):
 
 @query
 def listed_tables(spark, sf):
-    """The tables of a folder by name, here one for each region."""
+    """The files of a folder that Spark wrote, one part for each nation of the customers."""
     folder = scratch(spark)
-    for r in table(spark, sf, "region").collect():
-        mine = table(spark, sf, "nation").where(F.col("n_regionkey") == r["r_regionkey"])
-        mine.select("n_name").coalesce(1).write.text(f"{folder}/{r['r_regionkey']}")
+    names = table(spark, sf, "customer").select("c_name", "c_nationkey")
+    names.repartition("c_nationkey").write.partitionBy("c_nationkey").text(folder)
     found = tables.list_tables(spark, f"{folder}/*")
-    return found.select(F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("int").alias("region"), "length")
+    nation = F.regexp_extract("path", r"/c_nationkey=([0-9]+)/[^/]*$", 1).cast("int")
+    return found.groupBy(nation.alias("nation")).agg(F.sum("length").alias("length"))
 
 
 @query
