@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regatta.columns import col
 from regatta.operators.transforms import TargetTransform
 
 # The families on offer, and those whose features are robust-scaled.
@@ -96,5 +97,5 @@ def require_positive(name: str, value) -> None:
 def complete_rows(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows that have a number in every one of these columns; a fit takes no others."""
     for name in names:
-        df = df.where(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
+        df = df.where(col(name).isNotNull() & ~F.isnan(col(name).cast("double")))
     return df

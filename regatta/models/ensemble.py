@@ -1,4 +1,9 @@
-"""Tree ensembles as flat arrays: prediction and exact Shapley values in Arrow batches."""
+"""Tree ensembles as flat arrays: prediction and exact Shapley values in Arrow batches.
+
+An ensemble is sent to the tasks in parts of whole trees of a bounded size. Up to one part the
+rows are read as they are; with more, they meet one part per pass and carry their sum so far in a
+written table.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.columns import col
+from regatta.session import read_table_at, remove_table, write_table
 
-MAX_NODES = 20_000_000  # what may be shipped to every task
+MAX_NODES = 100_000_000  # what the driver holds of an ensemble, about 5 GB; checked while it grows
+SENT_NODES = 4_000_000  # nodes sent to every task for predictions, about 200 MB
+EXPLAINED_NODES = 500_000  # nodes whose leaf paths are sent to every task
+TREE_NODES = 20_000_000  # a larger tree is not sent to tasks at all
 
 
 @dataclass
@@ -41,6 +50,11 @@ class Tree:
         return float(np.sum(self.value[leaf] * self.cover[leaf]) / np.sum(self.cover[leaf]))
 
 
+def check_nodes(nodes: int) -> None:
+    if nodes > MAX_NODES:
+        raise ValueError(f"{nodes} nodes are too many for the driver")
+
+
 @dataclass
 class Ensemble:
     trees: list[Tree]
@@ -51,11 +65,30 @@ class Ensemble:
 
     def __post_init__(self):
         self.n_nodes = sum(len(t.feature) for t in self.trees)
-        if self.n_nodes > MAX_NODES:
-            raise ValueError(f"{self.n_nodes} nodes are too many to send to every task")
+        check_nodes(self.n_nodes)
+
+    def parts(self, nodes: int) -> "list[Ensemble]":
+        """The trees in their order, cut into ensembles of about this many nodes; the first has the base."""
+        sizes = [len(t.feature) for t in self.trees]
+        if max(sizes, default=0) > TREE_NODES:
+            raise ValueError(f"a tree of {max(sizes)} nodes is too large for a task")
+        if self.n_nodes <= nodes:
+            return [self]
+        cuts, held = [0], 0
+        for k, size in enumerate(sizes):
+            if held and held + size > nodes:
+                cuts.append(k)
+                held = 0
+            held += size
+        ends = [*cuts[1:], len(sizes)]
+        return [
+            Ensemble(self.trees[a:b], self.weights[a:b], 0.0 if a else self.base)
+            for a, b in zip(cuts, ends, strict=True)
+        ]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
+    def predict(self, x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Predictions, added to what the parts ``before`` this one gave."""
+        out = np.full(len(x), self.base) if before is None else before + self.base
         for tree, w in zip(self.trees, self.weights):
             out += w * tree.value[tree.leaves(x)]
         return out
@@ -106,6 +139,9 @@ LEAVES = 512
 CELLS = 2_000_000
 """Numbers of a block of rows and leaves."""
 
+TABLE_CELLS = 8_000_000
+"""Numbers in the tables of an ensemble's leaves; the leaves beyond are worked out row by row."""
+
 
 @dataclass
 class LeafPaths:
@@ -120,11 +156,12 @@ class LeafPaths:
     high: np.ndarray
     ratio: np.ndarray
     value: np.ndarray
+    tabled: bool = True
     table: np.ndarray | None = None
 
     def __post_init__(self):
         d = self.feature.shape[1]
-        if d <= PATTERNS:
+        if self.tabled:
             holds = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
             self.table = self._contributions(np.broadcast_to(holds, (len(self.value), 1 << d, d)))
 
@@ -144,6 +181,10 @@ class LeafPaths:
             out += g * factors.prod(axis=2, keepdims=True) / factors
         return out * (holds - z) * self.value[:, None, None]
 
+    @staticmethod
+    def table_cells(leaves: int, d: int) -> int:
+        return leaves * d << d
+
     def add(self, x: np.ndarray, out: np.ndarray) -> None:
         """Add the contributions of all leaves to ``out``, row x feature."""
         n, d = self.feature.shape
@@ -180,37 +221,73 @@ def leaf_paths(trees: list[Tree], weights: list[float]) -> list[LeafPaths]:
                 a, b, z = path.get(f, (-np.inf, np.inf, 1.0))
                 share = tree.cover[child] / tree.cover[node]
                 stack.append((child, {**path, f: (max(a, low), min(b, high), z * share)}))
-    out = []
-    for _, leaves in sorted(by_size.items()):
+    out, room = [], TABLE_CELLS
+    for d, leaves in sorted(by_size.items()):
         for at in range(0, len(leaves), LEAVES):
             part = leaves[at:at + LEAVES]
+            tabled = d <= PATTERNS and LeafPaths.table_cells(len(part), d) <= room
+            room -= LeafPaths.table_cells(len(part), d) if tabled else 0
             bounds = np.array([list(p.values()) for p, _ in part], dtype=float)
             out.append(LeafPaths(
                 np.array([list(p) for p, _ in part]), bounds[:, :, 0], bounds[:, :, 1], bounds[:, :, 2],
-                np.array([v for _, v in part])))
+                np.array([v for _, v in part]), tabled))
     return out
 
 
 def predict_ensemble(df: DataFrame, ensemble: Ensemble, features: list[str], output: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(ensemble)
+    """Adds the predictions; the same numbers however many parts the ensemble has."""
+
+    def scorer(part: Ensemble):
+        shared = df.sparkSession.sparkContext.broadcast(part)
 
-    @F.pandas_udf("double")
-    def score(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(shared.value.predict(x.to_numpy(dtype=float)))
+        @F.pandas_udf("double")
+        def score(x: pd.DataFrame, *before: pd.Series) -> pd.Series:
+            known = before[0].to_numpy(dtype=float) if before else None
+            return pd.Series(shared.value.predict(x.to_numpy(dtype=float), known))
 
-    return df.withColumn(output, score(_features(features)))
+        return score, shared
+
+    return _summed(df, ensemble.parts(SENT_NODES), scorer, features, output)
 
 
 def shapley_column(df: DataFrame, ensemble: Ensemble, features: list[str], output: str) -> DataFrame:
     """Adds an array with one Shapley value per feature; the paths are worked out once."""
-    ensemble.paths()
-    shared = df.sparkSession.sparkContext.broadcast(ensemble)
 
-    @F.pandas_udf("array<double>")
-    def explain(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(shared.value.shapley(x.to_numpy(dtype=float))))
+    def explainer(part: Ensemble):
+        part.paths()
+        shared = df.sparkSession.sparkContext.broadcast(part)
+
+        @F.pandas_udf("array<double>")
+        def explain(x: pd.DataFrame, *before: pd.Series) -> pd.Series:
+            found = shared.value.shapley(x.to_numpy(dtype=float))
+            if before:
+                found += np.stack(before[0].to_list())
+            return pd.Series(list(found))
+
+        return explain, shared
+
+    return _summed(df, ensemble.parts(EXPLAINED_NODES), explainer, features, output)
 
-    return df.withColumn(output, explain(_features(features)))
+
+def _summed(df: DataFrame, parts: list[Ensemble], function, features: list[str], output: str) -> DataFrame:
+    """``output``: what ``function`` of the last part adds to the sum of the parts before it.
+
+    Each part but the last costs a pass that writes the rows with their sums; a table is removed
+    once the next one is written.
+    """
+    spark, path = df.sparkSession, None
+    if len(parts) > 1 and output in features:
+        raise ValueError(f"{output} is a feature and cannot take the predictions")
+    for k, part in enumerate(parts):
+        call, shared = function(part)
+        df = df.withColumn(output, call(_features(features), *([col(output)] if k else [])))
+        if k < len(parts) - 1:
+            before, path = path, write_table(df)
+            shared.unpersist()
+            df = read_table_at(spark, path, df.schema)
+            if before:
+                remove_table(spark, before)
+    return df
 
 
 def _features(features: list[str]):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from regatta.models.base import FittedModel
-from regatta.models.ensemble import Ensemble, Tree, predict_ensemble
+from regatta.models.ensemble import Ensemble, Tree, check_nodes, predict_ensemble
 from regatta.models.together import FitTable, Request, Step
 
 CELLS_PER_PASS = 2_000_000  # open nodes x features held by one task
@@ -103,6 +103,7 @@ def extra_steps(
             reached += yield from _grow(
                 label, fold, trees, part, d, rng, sample, *limits, last=depth == max_depth)
         open_nodes = reached
+        check_nodes(sum(len(t.feature) for t in trees))
     model = Ensemble([t.frozen() for t in trees], [1.0 / n_trees] * n_trees)
     return ExtraTreesModel("ET", list(table.features), dict(params), transform, [], model)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from regatta.models.binned import BinnedTable, CodedTree, Draw, Learner, Request
-from regatta.models.ensemble import MAX_NODES, Ensemble, Tree
+from regatta.models.ensemble import Ensemble, Tree, check_nodes
 
 KEPT_CELLS = 8_000_000
 """Cells of parents that wait for the smaller child; beyond, both children are added up."""
@@ -232,6 +232,7 @@ class Fit:
             raise ValueError("no rows to fit")
         self.learner = Learner(label, fold, mean)
         self.trees: list[tuple[CodedTree, np.ndarray]] = []
+        self.n_nodes = 0
         self.weights: list[float] = []
         self.started, self.active, self.dropped = 0, [], []
         self._start()
@@ -267,6 +268,8 @@ class Fit:
                 continue
             tree, rows = grower.finished()
             self.trees.append((tree, rows))
+            self.n_nodes += len(rows)
+            check_nodes(self.n_nodes)
             if not self.plan.boosted:
                 continue
             n = len(self.dropped)
@@ -282,8 +285,6 @@ class Fit:
         self._start()
 
     def ensemble(self, table: BinnedTable) -> Ensemble:
-        if sum(len(rows) for _, rows in self.trees) > MAX_NODES:
-            raise ValueError("too many nodes to send to every task")
         trees = [decoded(tree, rows, table.cuts) for tree, rows in self.trees]
         weights = self.weights if self.plan.boosted else [1.0 / len(trees)] * len(trees)
         return Ensemble(trees, list(weights), self.learner.base)

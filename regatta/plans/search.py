@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regatta.columns import col
+from regatta.models import ensemble
 from regatta.models.base import FAMILIES, FittedModel, complete_rows
-from regatta.models.extra import extra_steps
+from regatta.models.extra import ExtraTreesModel, extra_steps
 from regatta.models.linear import LinearModel, fit_linear, fit_linear_folds
 from regatta.models.mlp import mlp_steps, worker_count
 from regatta.models.partials import matrix
@@ -181,6 +182,7 @@ def score_folds(
     out = None
     for f, m in models.items():
         rows = table.train if with_train else table.train.where(F.col("fold") == f)
+        rows = complete_rows(rows, table.features)
         split = F.when(F.col("fold") == f, "val").otherwise("train")
         part = m.predict(rows, "prediction").select(
             label, "prediction", F.lit(f).alias("fold"), split.alias("split")
@@ -192,17 +194,43 @@ def score_folds(
 TRIALS_PER_SCORE = 20
 
 
+def nodes_of(models: dict[int, FittedModel]) -> int:
+    """Tree nodes of the models of a trial."""
+    return sum(m.ensemble_.n_nodes for m in models.values() if isinstance(m, ExtraTreesModel))
+
+
+def ignored_by(models: dict[int, FittedModel]) -> list[str]:
+    return sorted({p for m in models.values() for p in m.ignored_params})
+
+
+def _scored_together(trials: list[dict[int, FittedModel]]) -> list[list[dict[int, FittedModel]]]:
+    """Trials in their order, in lots whose trees may be sent to every task."""
+    lots, held = [], 0
+    for models in trials:
+        size = nodes_of(models)
+        if not lots or len(lots[-1]) == TRIALS_PER_SCORE or held + size > ensemble.SENT_NODES:
+            lots.append([])
+            held = 0
+        lots[-1].append(models)
+        held += size
+    return lots
+
+
 def score_trials(table: TrainingTable, trials: list[dict[int, FittedModel]]) -> list[dict]:
     """Mean, population deviation and per-fold values of MSE, MAE and R2 for each trial.
 
     Every complete held-out row meets the models of its fold once, for many trials in one scan.
+    Trials with tree ensembles too large for that are scored on their own.
     """
     spark = table.df.sparkSession
     label = col(table.target).cast("double").alias("label")
     inputs = [col(f).cast("double").alias(f"f{i}") for i, f in enumerate(table.features)]
     out = []
-    for at in range(0, len(trials), TRIALS_PER_SCORE):
-        part = trials[at:at + TRIALS_PER_SCORE]
+    for part in _scored_together(trials):
+        if len(part) == 1 and nodes_of(part[0]) > ensemble.SENT_NODES:
+            found = fold_metrics(score_folds(table, part[0])).first().asDict()
+            out.append({**found, "ignored_params": ignored_by(part[0])})
+            continue
         shared = spark.sparkContext.broadcast(part)
         names = [f"f{i}" for i in range(len(table.features))]
         schema = ", ".join(["label double", "fold int", *(f"p{t} double" for t in range(len(part)))])
@@ -235,7 +263,7 @@ def score_trials(table: TrainingTable, trials: list[dict[int, FittedModel]]) ->
         rows = scored.groupBy("fold").agg(*aggregates).orderBy("fold").collect()
         shared.unpersist()
         for t, models in enumerate(part):
-            scores: dict = {"ignored_params": sorted({p for m in models.values() for p in m.ignored_params})}
+            scores: dict = {"ignored_params": ignored_by(models)}
             for m in METRICS:
                 splits = [r[f"{m}{t}"] for r in rows]
                 known = [v for v in splits if v is not None]

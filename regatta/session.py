@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "regatta", cores: str | int = "*", **conf) -> SparkSession:
@@ -55,9 +56,24 @@ def materialize(df: DataFrame) -> DataFrame:
     A written Parquet table cuts lineage like ``checkpoint()`` does, survives executor
     loss, and later readers still get column pruning and filter pushdown.
     """
+    return read_table_at(df.sparkSession, write_table(df), df.schema)
+
+
+def write_table(df: DataFrame) -> str:
+    """Write ``df`` to a new table of the shared folder; its path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_table_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``write_table`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
