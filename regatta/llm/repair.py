@@ -1,7 +1,7 @@
 """Token ids in grammar-compressed shards (Re-Pair).
 
 A shard is a range of documents in ascending id order. Its blocks of whole documents are each
-compressed by replacing frequent id pairs with nonterminals, round by round. A block stores the
+compressed by replacing id pairs with nonterminals, round by round, as long as a rule pays. A block stores the
 rules, the expansion length of each nonterminal and the shortened sequence, so that any part of
 a document can be read without expanding the rest.
 
@@ -26,97 +26,133 @@ from regatta.llm.tokenizing import encoder
 
 BLOCK_IDS = 1 << 20
 """Ids in a block; the last document of a block may exceed it."""
-MIN_COUNT = 24
-"""Pairs that occur less often in a block get no rule."""
-MIN_GAIN = 0.02
-"""Rounds end when one shortens the sequence by less than this share."""
-_SLOT_BITS = 18
+MIN_USES = 4
+"""A rule is stored as two symbols and a length no wider than a symbol, and each use of it saves a
+symbol: pairs get a rule from four uses on, which always pays."""
+SLOT_BITS = 20
+"""Slots in which pairs are counted roughly; rare pairs may look frequent there, never the reverse."""
 
 FORMAT = (
-    "shard int, block int, n_ids long, n_docs int, first_rule long, doc_ids binary, "
-    "doc_nulls binary, doc_starts binary, doc_symbols binary, rules binary, lengths binary, "
-    "width int, sequence binary"
+    "shard int, block int, n_ids long, n_docs int, n_rules long, n_symbols long, first_rule long, "
+    "bits int, length_bits int, doc_ids binary, doc_nulls binary, doc_starts binary, "
+    "doc_symbols binary, rules binary, lengths binary, sequence binary"
 )
 
 
-def _frequent(key: np.ndarray, free: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per place the slot of its pair, and per slot how often its pair occurs (0: no rule).
+class _Chain:
+    """A sequence whose symbols keep their places while pairs of them become one.
 
-    Pairs share slots by hash; one pair speaks for a slot, the others wait for another round.
+    ``live`` marks the places whose pair may still be frequent. No pair ever gets more frequent
+    unless a new symbol is in it, so only pairs found frequent and those beside a replacement are
+    looked at again.
     """
-    factor = np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) % (1 << 64) | 1)
-    slot = (key * factor >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-    owner = np.zeros(1 << _SLOT_BITS, np.uint64)
-    owner[slot[free]] = key[free]
-    mine = free & (owner[slot] == key)
-    count = np.bincount(slot[mine], minlength=1 << _SLOT_BITS)
-    count[count < MIN_COUNT] = 0
-    slot[~mine] = -1
-    return slot, count
+
+    def __init__(self, ids: np.ndarray, end: int):
+        n = len(ids)
+        self.end = end
+        self.symbol = ids.astype(np.int64)
+        self.after = np.arange(1, n + 1, dtype=np.int32)
+        self.before = np.arange(-1, n, dtype=np.int32)  # one place more, behind the last symbol
+        self.live = np.ones(n, bool)
+        self.live[-1:] = False
+        self.there = np.ones(n, bool)
+        self.weight = np.zeros(n + 1, np.int64)  # that of place -1 is never set
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places that can become a frequent pair, ascending, and the weights of these pairs: they
+        order pairs by their uses and differ between pairs. Places of rare pairs are no longer live."""
+        at = np.flatnonzero(self.live)
+        left, right = self.symbol[at], self.symbol[self.after[at]]
+        free = (left != self.end) & (right != self.end)
+        key = left << 32 | right
+        # places whose slot is rare hold a rare pair; the others are counted exactly
+        slot = (key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
+        slot = slot.astype(np.int64)
+        free &= np.bincount(slot[free], minlength=1 << SLOT_BITS)[slot] >= MIN_USES
+        self.live[at[~free]] = False
+        at, key = at[free], key[free]
+        if not len(at):
+            return at, key
+        again = np.append(False, (self.after[at[:-1]] == at[1:]) & (key[1:] == key[:-1]))
+        opens = np.flatnonzero(~again)
+        within = np.arange(len(at)) - np.repeat(opens, np.diff(np.append(opens, len(at))))
+        use = within % 2 == 0  # in a run of one symbol, every other place can become the pair
+        order = np.argsort(key)
+        ranked = key[order]
+        opens = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        count = np.add.reduceat(use[order].astype(np.int64), opens)
+        pair = np.arange(1, len(opens) + 1)
+        weight = np.empty(len(at), np.int64)
+        weights = np.where(count >= MIN_USES, count << 32 | _mixed(pair), 0)
+        weight[order] = np.repeat(weights, np.diff(np.append(opens, len(ranked))))
+        self.live[at[weight == 0]] = False
+        use &= weight > 0
+        return at[use], weight[use]
+
+    def chosen(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places to replace, no two overlapping, each with the number of its pair.
+
+        A pair that loses so many places to heavier ones that a rule would not pay waits for
+        another round; the heaviest pair loses none.
+        """
+        self.weight[at] = weight
+        taken = (weight >= self.weight[self.before[at]]) & (weight >= self.weight[self.after[at]])
+        self.weight[at] = 0
+        at, weight = at[taken], weight[taken]
+        _, which, uses = np.unique(weight, return_inverse=True, return_counts=True)
+        pays = uses >= MIN_USES
+        number = np.cumsum(pays) - 1
+        return at[pays[which]], number[which[pays[which]]]
+
+    def replace(self, at: np.ndarray, new: np.ndarray) -> None:
+        gone = self.after[at]
+        following = self.after[gone]
+        self.symbol[at] = new
+        self.after[at] = following
+        self.before[following] = at
+        self.there[gone] = False
+        self.live[gone] = False
+        self.live[at] = following < len(self.symbol)
+        ahead = self.before[at]
+        self.live[ahead[ahead >= 0]] = True
+
+
+def _mixed(n: np.ndarray) -> np.ndarray:
+    """Distinct numbers below 2^32 in no regular order, so that equally frequent pairs of a repeated
+    passage do not wait for each other."""
+    return (n * 2654435761 + 1) & 0xFFFFFFFF
 
 
 def compress(ids: np.ndarray, end: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First nonterminal, rules (pairs), expansion lengths and the shortened sequence.
 
-    A round replaces all frequent pairs together; where they overlap, the more frequent wins.
-    No rule holds ``end``, so each document starts at a symbol.
+    Until no pair has uses enough to pay for a rule, a round replaces all frequent pairs together;
+    where they overlap, the more frequent wins. No rule holds ``end``, so each document starts at a
+    symbol.
     """
     first_rule = int(ids.max(initial=0)) + 1
-    sequence = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    sizes = np.ones(0, np.int64)
-    salt = 0
-    while len(sequence) > 1:
-        left, right = sequence[:-1], sequence[1:]
-        free = (left != end) & (right != end)
-        key = left.astype(np.uint64) << np.uint64(32) | right
-        slot, count = _frequent(key, free, salt)
-        salt += 1
-        weight = np.where(slot >= 0, count[slot], 0) * (1 << _SLOT_BITS) + slot
-        weight[(slot < 0) | (weight < 1 << _SLOT_BITS)] = 0
-        taken = weight > 0
-        taken[1:] &= weight[1:] >= weight[:-1]
-        taken[:-1] &= weight[:-1] >= weight[1:]
-        at = np.flatnonzero(taken)
-        if len(at):  # of a run of equal pairs, every other one
-            opens = np.append(True, np.diff(at) > 1)
-            since = at - at[opens][np.cumsum(opens) - 1]
-            at = at[since % 2 == 0]
-        if len(at) < max(2, MIN_GAIN * len(sequence)):
+    chain = _Chain(ids, end)
+    rules, sizes = np.zeros((0, 2), np.int64), np.ones(first_rule, np.int64)
+    while True:
+        places, weight = chain.frequent()
+        if not len(places):
             break
-        used, which = np.unique(slot[at], return_inverse=True)
-        pairs = np.zeros((len(used), 2), np.uint32)
-        pairs[which, 0], pairs[which, 1] = left[at], right[at]
-        base = first_rule + sum(map(len, rules))
-        known = np.concatenate([np.ones(first_rule, np.int64), sizes])
-        sizes = np.concatenate([sizes, known[pairs[:, 0]] + known[pairs[:, 1]]])
-        rules.append(pairs)
-        sequence = sequence.copy()
-        sequence[at] = base + which
-        keep = np.ones(len(sequence), bool)
-        keep[at + 1] = False
-        sequence = sequence[keep]
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return first_rule, pairs, sizes.astype(np.uint32), sequence
+        at, number = chain.chosen(places, weight)
+        pairs = np.zeros((int(number.max()) + 1, 2), np.int64)
+        pairs[number, 0], pairs[number, 1] = chain.symbol[at], chain.symbol[chain.after[at]]
+        chain.replace(at, len(sizes) + number)
+        sizes = np.append(sizes, sizes[pairs[:, 0]] + sizes[pairs[:, 1]])
+        rules = np.concatenate([rules, pairs])
+    sequence = chain.symbol[chain.there].astype(np.uint32)
+    return first_rule, rules.astype(np.uint32), sizes[first_rule:].astype(np.uint32), sequence
 
 
 class Grammar:
-    """The rules of a block, with each nonterminal's expansion ready."""
+    """The rules of a block and the lengths of what they stand for."""
 
     def __init__(self, first_rule: int, rules: np.ndarray, lengths: np.ndarray):
-        self.first_rule, self.lengths = first_rule, lengths.astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.flat = np.zeros(int(self.starts[-1]), np.uint32)
-        for k, pair in enumerate(rules.reshape(-1, 2).tolist()):
-            at = int(self.starts[k])
-            for symbol in pair:
-                if symbol < first_rule:
-                    self.flat[at] = symbol
-                    at += 1
-                else:
-                    a, b = self.starts[symbol - first_rule:symbol - first_rule + 2].tolist()
-                    self.flat[at:at + b - a] = self.flat[a:b]
-                    at += b - a
+        self.first_rule, self.rules = first_rule, rules.reshape(-1, 2)
+        self.lengths = lengths.astype(np.int64)
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -125,14 +161,17 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of these symbols; the symbols of all rules of a depth are written together."""
         sizes = self.sizes(symbols)
-        ends = np.cumsum(sizes)
-        out = np.repeat(symbols.astype(np.uint32), sizes)
-        inside = np.repeat(symbols >= self.first_rule, sizes)
-        places = np.arange(len(out)) - np.repeat(ends - sizes, sizes)
-        base = self.starts[np.maximum(symbols.astype(np.int64) - self.first_rule, 0)]
-        places += np.repeat(base, sizes)
-        out[inside] = self.flat[places[inside]]
+        place = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        while len(symbols):
+            of_rule = symbols >= self.first_rule
+            out[place[~of_rule]] = symbols[~of_rule]
+            pairs, place = self.rules[symbols[of_rule] - self.first_rule], place[of_rule]
+            left, right = pairs[:, 0], pairs[:, 1]
+            symbols = np.concatenate([left, right])
+            place = np.concatenate([place, place + self.sizes(left)])
         return out
 
 
@@ -140,10 +179,27 @@ def _array(blob: bytes, kind=np.uint32) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+def _packed(values: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of all numbers, then one plane for each further bit."""
+    planes = [np.packbits((values >> k & 1).astype(bool)).tobytes() for k in range(16, bits)]
+    return b"".join([values.astype("<u2").tobytes(), *planes])
+
+
+def _unpacked(blob: bytes, n: int, bits: int) -> np.ndarray:
+    out = np.frombuffer(blob, "<u2", n).astype(np.uint32)
+    size = -(-n // 8)
+    for k in range(16, bits):
+        plane = np.frombuffer(blob, np.uint8, size, 2 * n + (k - 16) * size)
+        out |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(k)
+    return out
+
+
 def block_of(row: dict) -> tuple[Grammar, np.ndarray]:
     """Grammar and sequence of a stored block."""
-    grammar = Grammar(row["first_rule"], _array(row["rules"]), _array(row["lengths"]))
-    return grammar, _array(row["sequence"], f"<u{row['width']}").astype(np.uint32)
+    rules = _unpacked(row["rules"], 2 * row["n_rules"], row["bits"])
+    lengths = _unpacked(row["lengths"], row["n_rules"], row["length_bits"])
+    grammar = Grammar(row["first_rule"], rules, lengths)
+    return grammar, _unpacked(row["sequence"], row["n_symbols"], row["bits"])
 
 
 def read_part(row: dict, document: int, start: int = 0, length: int | None = None) -> np.ndarray:
@@ -174,15 +230,17 @@ def _block_row(shard: int, block: int, doc_ids: list, docs: list[np.ndarray], en
     if len(symbols) != len(starts):  # ``end`` also occurs inside a text
         sizes = Grammar(first_rule, rules, lengths).sizes(sequence)
         symbols = np.searchsorted(np.concatenate([[0], np.cumsum(sizes)]), starts)
-    width = 2 if first_rule + len(rules) <= 1 << 16 else 4
+    bits = (first_rule + len(rules)).bit_length()
+    length_bits = int(lengths.max(initial=0)).bit_length()
     return {
         "shard": shard, "block": block, "n_ids": len(ids), "n_docs": len(docs),
-        "first_rule": first_rule,
+        "n_rules": len(rules), "n_symbols": len(sequence), "first_rule": first_rule,
+        "bits": bits, "length_bits": length_bits,
         "doc_ids": np.array([d or 0 for d in doc_ids], np.int64).tobytes(),
         "doc_nulls": np.array([d is None for d in doc_ids], bool).tobytes(),
         "doc_starts": starts.tobytes(), "doc_symbols": symbols.astype(np.int64).tobytes(),
-        "rules": rules.tobytes(), "lengths": lengths.tobytes(), "width": width,
-        "sequence": sequence.astype(f"<u{width}").tobytes(),
+        "rules": _packed(rules.ravel(), bits), "lengths": _packed(lengths, length_bits),
+        "sequence": _packed(sequence, bits),
     }
 
 

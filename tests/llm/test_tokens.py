@@ -68,6 +68,51 @@ def test_repair_round_trip(ids):
         assert len(sequence) < len(ids) / 3
 
 
+def uses_left(sequence, end):
+    """Of each pair without ``end``, how often it could still be replaced from left to right."""
+    uses, free_from = {}, {}
+    for at, pair in enumerate(zip(sequence[:-1], sequence[1:], strict=True)):
+        if end not in pair and at >= free_from.get(pair, 0):
+            uses[pair] = uses.get(pair, 0) + 1
+            free_from[pair] = at + (2 if pair[0] == pair[1] else 1)
+    return uses
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_rules_until_none_pays(seed):
+    rng = np.random.default_rng(seed)
+    kinds = [rng.integers(0, 1 + seed, 4000), np.repeat(rng.integers(0, 9, 500), rng.integers(1, 9, 500)),
+             np.tile(rng.integers(0, 300, 97), 1 + seed)]
+    for ids in (kinds[0], kinds[1], kinds[2], np.concatenate(kinds)):
+        first, rules, lengths, sequence = repair.compress(ids.astype(np.uint32), 0)
+        grammar = repair.Grammar(first, rules, lengths)
+        assert grammar.expand(sequence).tolist() == ids.tolist()
+        assert max(uses_left(sequence.tolist(), 0).values(), default=0) < repair.MIN_USES
+        every = np.arange(first, first + len(rules), dtype=np.uint32)
+        assert [len(grammar.expand(every[k:k + 1])) for k in range(len(every))] == lengths.tolist()
+        assert not (rules == 0).any()
+
+
+def test_copies_of_a_passage_shrink():
+    passage = np.random.default_rng(1).integers(1, 50_000, 20_000).astype(np.uint32)
+    for copies in (4, 10, 50):
+        _, rules, _, sequence = repair.compress(np.tile(passage, copies), 0)
+        assert len(sequence) <= copies and len(rules) <= len(passage)
+        row = repair._block_row(0, 0, [1], [np.tile(passage, copies)], 0)
+        stored = sum(len(row[c]) for c in ("rules", "lengths", "sequence"))
+        assert copies < 10 or stored < 2 * copies * len(passage) / 3
+
+
+def test_numbers_by_bits():
+    rng = np.random.default_rng(2)
+    for bits in (1, 15, 16, 17, 19, 24, 31, 32):
+        for n in (0, 1, 7, 8, 9, 1000):
+            values = rng.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
+            blob = repair._packed(values, bits)
+            assert repair._unpacked(blob, n, bits).tolist() == values.tolist()
+            assert len(blob) == 2 * n + max(0, bits - 16) * -(-n // 8)
+
+
 def test_parts_of_documents():
     docs = [np.array(x + [0], np.uint32) for x in ([1, 2, 3] * 200, [], [4, 1, 2] * 99, [0, 9, 0])]
     row = repair._block_row(0, 0, [1, None, 3, 4], docs, 0)
