@@ -29,9 +29,6 @@ BLOCK_IDS = 1 << 20
 MIN_USES = 4
 """A rule is stored as two symbols and a length no wider than a symbol, and each use of it saves a
 symbol: pairs get a rule from four uses on, which always pays."""
-SLOT_BITS = 20
-"""Slots in which pairs are counted roughly; rare pairs may look frequent there, never the reverse."""
-
 FORMAT = (
     "shard int, block int, n_ids long, n_docs int, n_rules long, n_symbols long, first_rule long, "
     "bits int, length_bits int, doc_ids binary, doc_nulls binary, doc_starts binary, "
@@ -51,6 +48,7 @@ class _Chain:
         n = len(ids)
         self.end = end
         self.symbol = ids.astype(np.int64)
+        self.rounds = 0
         self.after = np.arange(1, n + 1, dtype=np.int32)
         self.before = np.arange(-1, n, dtype=np.int32)  # one place more, behind the last symbol
         self.live = np.ones(n, bool)
@@ -58,38 +56,46 @@ class _Chain:
         self.there = np.ones(n, bool)
         self.weight = np.zeros(n + 1, np.int64)  # that of place -1 is never set
 
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places that can become a frequent pair, ascending, and the weights of these pairs: they
-        order pairs by their uses and differ between pairs. Places of rare pairs are no longer live."""
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places that can become a frequent pair, ascending, with the weights and slots of the pairs.
+
+        Weights order pairs by their uses and differ between pairs. Pairs are counted in slots by
+        hash; one pair owns a slot, and others there wait for a round with other slots. Places of
+        pairs found rare are no longer live.
+        """
         at = np.flatnonzero(self.live)
         left, right = self.symbol[at], self.symbol[self.after[at]]
         free = (left != self.end) & (right != self.end)
+        if not free.all():
+            self.live[at[~free]] = False
+            at, left, right = at[free], left[free], right[free]
         key = left << 32 | right
-        # places whose slot is rare hold a rare pair; the others are counted exactly
-        slot = (key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - SLOT_BITS)
-        slot = slot.astype(np.int64)
-        free &= np.bincount(slot[free], minlength=1 << SLOT_BITS)[slot] >= MIN_USES
-        self.live[at[~free]] = False
-        at, key = at[free], key[free]
-        if not len(at):
-            return at, key
-        again = np.append(False, (self.after[at[:-1]] == at[1:]) & (key[1:] == key[:-1]))
-        opens = np.flatnonzero(~again)
-        within = np.arange(len(at)) - np.repeat(opens, np.diff(np.append(opens, len(at))))
-        use = within % 2 == 0  # in a run of one symbol, every other place can become the pair
-        order = np.argsort(key)
-        ranked = key[order]
-        opens = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        count = np.add.reduceat(use[order].astype(np.int64), opens)
-        pair = np.arange(1, len(opens) + 1)
-        weight = np.empty(len(at), np.int64)
-        weights = np.where(count >= MIN_USES, count << 32 | _mixed(pair), 0)
-        weight[order] = np.repeat(weights, np.diff(np.append(opens, len(ranked))))
-        self.live[at[weight == 0]] = False
-        use &= weight > 0
-        return at[use], weight[use]
-
-    def chosen(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = min(30, max(8, len(at).bit_length() - 1))
+        self.rounds += 1
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * self.rounds + 1)) % (1 << 64) | 1)
+        slot = (key.view(np.uint64) * factor >> np.uint64(64 - bits)).view(np.int64)
+        owner = np.empty(1 << bits, np.int64)
+        owner[slot] = key
+        mine = owner[slot] == key
+        use = mine.copy()
+        use[self._odd_in_runs(at, left, np.flatnonzero(left == right))] = False
+        times = np.bincount(slot[use], minlength=1 << bits)[slot]
+        often = times >= MIN_USES
+        self.live[at[mine & ~often]] = False
+        use &= often
+        slot = slot[use]
+        return at[use], times[use] << 32 | slot, slot
+
+    def _odd_in_runs(self, at: np.ndarray, left: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """In a run of one symbol every other place can become the pair; which of ``same`` cannot."""
+        if not len(same):
+            return same
+        places, symbols = at[same], left[same]
+        opens = np.flatnonzero(np.append(True, (self.after[places[:-1]] != places[1:]) | (symbols[1:] != symbols[:-1])))
+        within = np.arange(len(same)) - np.repeat(opens, np.diff(np.append(opens, len(same))))
+        return same[within % 2 == 1]
+
+    def chosen(self, at: np.ndarray, weight: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places to replace, no two overlapping, each with the number of its pair.
 
         A pair that loses so many places to heavier ones that a rule would not pay waits for
@@ -98,11 +104,11 @@ class _Chain:
         self.weight[at] = weight
         taken = (weight >= self.weight[self.before[at]]) & (weight >= self.weight[self.after[at]])
         self.weight[at] = 0
-        at, weight = at[taken], weight[taken]
-        _, which, uses = np.unique(weight, return_inverse=True, return_counts=True)
-        pays = uses >= MIN_USES
+        at, slot = at[taken], slot[taken]
+        pays = np.bincount(slot) >= MIN_USES
         number = np.cumsum(pays) - 1
-        return at[pays[which]], number[which[pays[which]]]
+        kept = pays[slot]
+        return at[kept], number[slot[kept]]
 
     def replace(self, at: np.ndarray, new: np.ndarray) -> None:
         gone = self.after[at]
@@ -117,12 +123,6 @@ class _Chain:
         self.live[ahead[ahead >= 0]] = True
 
 
-def _mixed(n: np.ndarray) -> np.ndarray:
-    """Distinct numbers below 2^32 in no regular order, so that equally frequent pairs of a repeated
-    passage do not wait for each other."""
-    return (n * 2654435761 + 1) & 0xFFFFFFFF
-
-
 def compress(ids: np.ndarray, end: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First nonterminal, rules (pairs), expansion lengths and the shortened sequence.
 
@@ -133,11 +133,11 @@ def compress(ids: np.ndarray, end: int) -> tuple[int, np.ndarray, np.ndarray, np
     first_rule = int(ids.max(initial=0)) + 1
     chain = _Chain(ids, end)
     rules, sizes = np.zeros((0, 2), np.int64), np.ones(first_rule, np.int64)
-    while True:
-        places, weight = chain.frequent()
-        if not len(places):
-            break
-        at, number = chain.chosen(places, weight)
+    while chain.live.any():
+        found = chain.frequent()
+        if not len(found[0]):
+            continue
+        at, number = chain.chosen(*found)
         pairs = np.zeros((int(number.max()) + 1, 2), np.int64)
         pairs[number, 0], pairs[number, 1] = chain.symbol[at], chain.symbol[chain.after[at]]
         chain.replace(at, len(sizes) + number)
