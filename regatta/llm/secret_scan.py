@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.llm.carried import quoted, rows_with, whole_rows
+
 ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
@@ -266,11 +268,11 @@ def scan(
     the run as a whole or its stretches with a log-likelihood ratio of at least ``least_ratio``,
     see ``MarkovRatio.stretches``. With ``cut``, a run that touches a span of the fixed rules is
     cut there and its parts are looked at; otherwise it is left out. A null text is empty; equal
-    rows are scanned apart; columns named like the results are replaced, all others are kept.
+    rows are scanned apart; an empty table stays one; a text is looked at as a whole, in memory in
+    proportion to it; columns named like the results are replaced, all others are kept.
     """
-    docs = docs.drop("assign", "access", "hex", "markov")
-    text = "_scanned_text"
-    docs = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    names, text = docs.columns, "text"
+    docs = whole_rows(docs, text=F.coalesce(F.col(quoted(text_col)), F.lit("")))
     docs = base_spans(docs, text)
     base = ordered("assign", "access", "hex")
     if cut:
@@ -290,7 +292,7 @@ def scan(
 
     likely = F.flatten(F.zip_with("markov", "markov_found", inside if cut else beside))
     docs = docs.withColumn("markov", likely.cast(SPAN))
-    return docs.drop(text, "markov_found")
+    return rows_with(docs, names, "assign", "access", "hex", "markov")
 
 
 def ordered(*columns: str) -> Column:

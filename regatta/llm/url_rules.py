@@ -13,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.llm.carried import quoted, rows_with, whole_rows
+
 MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.8
 BLOCK_RULES = 500
@@ -174,15 +176,16 @@ def judge(
 
     URLs that an explicit rule judges are the labelled examples; association rules mined from
     them judge the others, and ``default`` is for URLs that neither knows. A null URL or one
-    without ``://`` has an empty host and path. Rows are judged one by one, repeated ones alike;
-    columns named like the results are replaced, all others are kept.
+    without ``://`` has an empty host and path. Rows are judged one by one, repeated ones alike; an
+    empty table stays one; URLs of any length are read as a whole; columns named like the results
+    are replaced, all others are kept.
     """
-    pages = pages.drop("host", "path", "rule", "rule_verdict", "verdict")
-    url = F.col(f"`{url_col}`")
-    parsed = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    url = F.col("url")
+    parsed = whole_rows(pages, url=F.col(quoted(url_col)))
+    parsed = parsed.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     parsed = with_rule(parsed, rules, "host", "path")
     labelled = parsed.select(tokens_of(url).alias("tokens"), F.col("rule_verdict").alias("label"))
     found = mine(labelled, min_support, min_confidence)
-    parsed = parsed.withColumn("_tokens", tokens_of(url))
-    verdict = F.coalesce(F.col("rule_verdict"), matched(F.col("_tokens"), found), F.lit(default))
-    return parsed.withColumn("verdict", verdict).drop("rule_verdict", "_tokens")
+    parsed = parsed.withColumn("tokens", tokens_of(url))
+    verdict = F.coalesce(F.col("rule_verdict"), matched(F.col("tokens"), found), F.lit(default))
+    return rows_with(parsed.withColumn("verdict", verdict), pages.columns, "host", "path", "rule", "verdict")

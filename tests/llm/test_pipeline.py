@@ -75,3 +75,15 @@ def test_packing(stages):
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_columns_of_any_name_stay(spark, sf):
+    names = ["_score", "score", "n_words", "hit_words", "hit_items", "hex", "markov", "_own_id", "_own_tie", "row", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    marked = docs.select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, marked, sf)
+        assert found.dtypes == marked.dtypes, name
+        got = found.collect()
+        assert got, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name

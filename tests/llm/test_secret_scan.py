@@ -171,3 +171,15 @@ def test_secrets_inside_longer_runs(spark, model):
         assert len(want) == len(keys), text[:80]
         assert all(k[4:-4] in text[a:b] for k, (a, _, b) in zip(keys, want)), text[:80]
         assert all(b - a <= len(k) + 16 for k, (a, _, b) in zip(keys, want)), text[:80]
+
+
+def test_columns_of_any_name_stay(spark, model):
+    names = ["hex_found", "assign_found", "access_found", "markov_found", "_scanned_text", "row", "a.b", "text_gaps"]
+    df = spark.createDataFrame([("token=abcdef123 x", "h", *names), (None, "h", *names)], ["body", "hex", *names])
+    for cut in (False, True):
+        found = secret_scan.scan(df, model, text_col="body", cut=cut)
+        assert found.columns == ["body", *names, "assign", "access", "hex", "markov"]
+        for r in found.collect():
+            assert [r[n] for n in names] == names
+            assert len(r["assign"]) == (r["body"] is not None) and r["hex"] == []
+        assert secret_scan.scan(df.limit(0), model, text_col="body", cut=cut).collect() == []

@@ -102,3 +102,15 @@ def test_pruned_rules_never_decide(spark):
     )
     found = url_rules.mine(df, 0.1, 0.6)
     assert [(r.tokens, r.label) for r in found] == [(("a",), "block"), (("c",), "allow"), (("b",), "allow")]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["rule_verdict", "_tokens", "tokens", "url", "row", "a.b", "label"]
+    long = "http://example.com/en/" + "x/" * 50_000
+    df = spark.createDataFrame(
+        [(u, "old", *names) for u in (long, None, long)], ["at", "verdict", *names])
+    found = url_rules.judge(df, queries.URL_RULES, url_col="at")
+    assert found.columns == ["at", *names, "host", "path", "rule", "verdict"]
+    got = found.collect()
+    assert sorted((r["at"] or "", r["verdict"]) for r in got) == [("", "allow"), (long, "block"), (long, "block")]
+    assert all([r[n] for n in names] == names for r in got)
