@@ -1,4 +1,9 @@
-"""From raw documents to packed training windows, stage by stage."""
+"""From raw documents to packed training windows, stage by stage.
+
+Every stage but the last keeps all columns of the documents, whatever their names. A null text
+counts as empty in each and stays null; repeated rows are judged alike, and the second stage keeps
+one of them; an empty table stays empty. Texts are read as a whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regatta.llm import ngram_join, packing, queries, secret_scan, toxicity, wu_manber
+from regatta.llm.carried import quoted, rows_with, whole_rows
 from regatta.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7; the classifier learns from the labels."""
     ship_package(spark)
-    scored = toxicity.score(docs, queries.toxicity_classifier(docs, queries.table(spark, sf_dir, "labels")), to="_score")
-    return scored.where(F.col("_score") < 0.7).drop("_score")
+    known = queries.toxicity_classifier(docs, queries.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(whole_rows(docs, "text"), known)
+    return rows_with(scored.where(F.col("score") < 0.7), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +33,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     ship_package(spark)
-    names = docs.columns
-    found = wu_manber.find_passages(docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_words") == 0).select(*names)
+    whole = whole_rows(docs, "text")
+    found = wu_manber.find_passages(whole, queries.table(spark, sf_dir, "benchmark"))
+    return rows_with(found.where(F.size("hit_words") == 0), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` counted anew."""
     ship_package(spark)
-    names = docs.columns
     model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
+    found = secret_scan.scan(whole_rows(docs, "text"), model, cut=True)
     spans = secret_scan.ordered(*secret_scan.KINDS)
-    found = secret_scan.scan(docs, model, cut=True).withColumn("_spans", spans)
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("_spans")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), spans))
+    names = [c for c in docs.columns if c != "n_chars"]
+    return rows_with(clean.withColumn("n_chars", F.length("text").cast("long")), names, "n_chars").select(
+        *map(quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
