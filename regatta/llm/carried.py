@@ -27,3 +27,21 @@ def rows_with(found: DataFrame, names: list[str], *results: str) -> DataFrame:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many marks as it takes to differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def moved_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named like ``names`` renamed, and where its columns are now, in order."""
+    places = []
+    for c in df.columns:
+        place = free_name(df, c) if c.lower() in names else c
+        df = df.withColumnRenamed(c, place) if place != c else df
+        places.append(place)
+    return df, places

