@@ -2,7 +2,8 @@
 
 Every stage but the last keeps all columns of the documents, whatever their names. A null text
 counts as empty in each and stays null; repeated rows are judged alike, and the second stage keeps
-one of them; an empty table stays empty. Texts are read as a whole, however long.
+one of them; an empty table stays empty. Texts are read as a whole, however long. Column names with
+dots are refused: Spark does not hand such columns to Arrow functions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regatta.llm import ngram_join, packing, queries, secret_scan, toxicity, wu_manber
-from regatta.llm.carried import quoted, rows_with, whole_rows
+from regatta.llm.carried import free_name, moved_aside, quoted
 from regatta.session import ship_package
 
 
@@ -20,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7; the classifier learns from the labels."""
     ship_package(spark)
     known = queries.toxicity_classifier(docs, queries.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(whole_rows(docs, "text"), known)
-    return rows_with(scored.where(F.col("score") < 0.7), docs.columns)
+    score = free_name(docs, "_score")
+    return toxicity.score(docs, known, to=score).where(F.col(score) < 0.7).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +34,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     ship_package(spark)
-    whole = whole_rows(docs, "text")
-    found = wu_manber.find_passages(whole, queries.table(spark, sf_dir, "benchmark"))
-    return rows_with(found.where(F.size("hit_words") == 0), docs.columns)
+    aside, places = moved_aside(docs, "n_words", "hit_words", "hit_items")
+    found = wu_manber.find_passages(aside, queries.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hit_words") == 0).select(*map(quoted, places)).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` counted anew."""
     ship_package(spark)
     model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
-    found = secret_scan.scan(whole_rows(docs, "text"), model, cut=True)
-    spans = secret_scan.ordered(*secret_scan.KINDS)
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), spans))
-    names = [c for c in docs.columns if c != "n_chars"]
-    return rows_with(clean.withColumn("n_chars", F.length("text").cast("long")), names, "n_chars").select(
-        *map(quoted, docs.columns))
+    aside, places = moved_aside(docs, *secret_scan.KINDS)
+    found = secret_scan.scan(aside, model, cut=True)
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), secret_scan.ordered(*secret_scan.KINDS)))
+    clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*map(quoted, places)).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
