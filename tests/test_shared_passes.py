@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regatta.models import binned, grow, together
+from regatta.models import binned, grow, svr, together
 from regatta.models.together import FitTable, Job
 from regatta.plans import search
 from regatta.plans.space import draw_params
@@ -230,3 +230,22 @@ def test_passes_are_split_by_size(rows, monkeypatch):
     for a, b in zip(models, search.fit_jobs(split, "SVR", jobs), strict=True):
         np.testing.assert_allclose(a.decide(x), b.decide(x), rtol=1e-9)
     assert split.passes > 2 * whole.passes
+
+
+def test_kernel_sums_are_made_in_blocks_of_rows(monkeypatch):
+    """Maps of a whole batch leave the caches of a core; the sums are the same block by block."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(5000, 3)), rng.normal(size=5000)
+    model = svr.SvrModel("SVR", ["a", "b", "c"], {"kernel": "rbf", "gamma": 0.3})
+    model.center, model.scale, model.landmarks = np.zeros(3), np.ones(3), x[:8]
+    model.root, model.weights = rng.normal(size=(8, 8)), rng.normal(size=8)
+    step, sizes, mapped = svr._Sums(model, 0.1, 1.0), [], svr.SvrModel.mapped
+    monkeypatch.setattr(svr.SvrModel, "mapped", lambda m, rows: sizes.append(len(rows)) or mapped(m, rows))
+    state = step.start()
+    step.add(state, x, y, None)
+    assert sum(sizes) == 5000 and max(sizes) <= 1024
+    phi = np.hstack([mapped(model, x), np.ones((5000, 1))])
+    gap = y - phi[:, :-1] @ model.weights
+    w = sum(0.25 / np.maximum(np.abs(s * gap - 0.1), 1.0) for s in (1, -1))
+    assert np.allclose(state[1], (phi * w[:, None]).T @ phi)
+    assert np.isclose(state[0][0], np.clip(np.abs(gap) - 0.1, 0, None).sum())
