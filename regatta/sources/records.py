@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,35 +43,51 @@ PIECES = "file string, block bigint, number bigint, text string, head boolean, o
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of each block in order; number 0 is what belongs to an earlier block's record."""
+    """Records of each block in order; number 0 is what belongs to an earlier block's record.
+
+    A line with an even number of quotes outside a quoted field is a record as it is.
+    """
     key, held, number, odd = None, [], 0, False
     schema = pa.schema([
         ("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("text", pa.string()),
         ("head", pa.bool_()), ("open", pa.bool_())])
 
-    def flush(is_open: bool):
-        out = (key[0], key[1], number, "\n".join(held), number == 0, is_open)
-        held.clear()
-        return out
+    def records(texts: pa.Array, is_open: bool) -> pa.RecordBatch:
+        n = len(texts)
+        numbers = np.arange(number, number + n)
+        columns = [
+            pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n),
+            pa.array(numbers), texts.cast(pa.string()), pa.array(numbers == 0), pa.repeat(is_open, n)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for batch in batches:
-        rows = []
-        columns = (batch.column(i).to_pylist() for i in range(4))
-        for file, block, line, inside in zip(*columns, strict=True):
-            if key != (file, block):
+        if not batch.num_rows:
+            continue
+        file, block, line, inside = (batch.column(i) for i in range(4))
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        cuts = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        odd_line = pc.count_substring(line, QUOTE).to_numpy(zero_copy_only=False) % 2
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = file[a].as_py(), block[a].as_py()
+            if key != here:
                 if held:
-                    rows.append(flush(True))
-                key, odd = (file, block), bool(inside)
+                    yield records(pa.array(["\n".join(held)]), True)
+                key, odd, held = here, bool(inside[a].as_py()), []
                 number = 0 if odd else 1
-            held.append(line)
-            if line.count(QUOTE) % 2:
-                odd = not odd
-            if not odd:
-                rows.append(flush(False))
-                number += 1
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+            within = (np.cumsum(odd_line[a:b]) + odd) % 2
+            texts = line[a:b]
+            if odd or within.any():
+                lines, start, whole = texts.to_pylist(), 0, []
+                for end in (np.flatnonzero(within == 0) + 1).tolist():
+                    whole.append("\n".join(held + lines[start:end]))
+                    held, start = [], end
+                held += lines[start:]
+                texts = pa.array(whole, pa.string())
+            if len(texts):
+                yield records(texts, False)
+            number, odd = number + len(texts), bool(within[-1])
     if held:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, flush(True), strict=True))], schema)
+        yield records(pa.array(["\n".join(held)]), True)
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:

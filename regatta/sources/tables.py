@@ -18,12 +18,22 @@ NA_WORDS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# What a cast to bigint or double can take at most: a failing cast costs an exception for each value.
+_PAD = r"[\x00-\x20\x7f]*"
+_WHOLE = rf"^{_PAD}[+-]?[0-9]+{_PAD}$"
+_NUMBER = (
+    rf"^{_PAD}[+-]?(?:(?i:nan|inf(?:inity)?)|[0-9.][0-9a-fA-FxX.]*(?:[eEpP][+-]?[0-9]+)?[fFdD]?){_PAD}$"
+)
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 
 
 def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV's fields as text, with NA words as null. Each file's first record is its header."""
+    """A CSV's fields as text, with NA words as null. Each file's first record is its header.
+
+    Records are parsed once and the fields written: what reads them names each many times, and the
+    parser would run anew for every one.
+    """
     records = csv_records(spark, path)
     first = records.groupBy("file").agg(F.min(F.struct("block", "number", "text")).alias("first"))
     headers = materialize(first.select("file", "first.block", "first.number", "first.text"))
@@ -39,8 +49,9 @@ def _csv_text(spark: SparkSession, path: str) -> DataFrame:
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
     body = records.join(F.broadcast(headers.select("file", "block", "number")), ["file", "block", "number"], "left_anti")
     fields = body.select(F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    parsed = materialize(fields)
     values = [F.col("r").getField(f"c{i}") for i in range(len(names))]
-    return fields.select(*[F.when(~v.isin(*NA_WORDS), v).alias(n) for v, n in zip(values, names, strict=True)])
+    return parsed.select(*[F.when(~v.isin(*NA_WORDS), v).alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
@@ -59,8 +70,8 @@ def _inferred(raw: DataFrame) -> T.StructType:
             c = col(n)
             aggs += [
                 F.count(c).alias(f"n{i}"),
-                F.count(c.try_cast("bigint")).alias(f"i{i}"),
-                F.count(c.try_cast("double")).alias(f"d{i}"),
+                F.count_if(c.rlike(_WHOLE) & c.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                F.count_if(c.rlike(_NUMBER) & c.try_cast("double").isNotNull()).alias(f"d{i}"),
                 F.count_if(F.lower(c).isin("true", "false")).alias(f"b{i}"),
                 F.count_if(c.rlike(_DATE) & c.try_cast("date").isNotNull()).alias(f"t{i}"),
                 F.count_if(c.rlike(_STAMP) & c.try_cast("timestamp_ntz").isNotNull()).alias(f"s{i}"),
