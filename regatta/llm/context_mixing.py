@@ -181,14 +181,16 @@ class Model:
             event = np.arange(ends[-1]) + np.repeat(self.code.starts[symbol] - ends + size, size)
             column = self.code.columns_of_events[event]
             odds = np.empty((len(rows), len(column)), np.float32)
-            for k, (row, table) in enumerate(zip(rows, self.tables, strict=True)):
-                cell = np.repeat(row[here] * COLUMNS, size) + column
-                odds[k] = np.take(table, cell, mode="clip")
+            byte = np.repeat(np.arange(b - a), size)
+            for one, row, table in zip(odds, rows, self.tables, strict=True):
+                cell = np.take(row[here] * COLUMNS, byte, mode="clip")
+                cell += column
+                one[:] = np.take(table, cell, mode="clip")
             odds *= np.float32(1 / _SCALE)
-            key = np.repeat(lane[here] * GATES, size) + self.code.gates[event]
-            state.learn(np.repeat(lane[here], size), key, odds, self.code.turns[event])
+            lanes = np.take(lane[here], byte, mode="clip")
+            state.learn(lanes, lanes * GATES + self.code.gates[event], odds, self.code.turns[event])
         document = np.searchsorted(limits, opens, "right") - 1
-        return np.bincount(document, state.bits, len(sizes))
+        return np.bincount(document, state.nats, len(sizes)) / np.log(2)
 
 
 class _Lanes:
@@ -198,25 +200,39 @@ class _Lanes:
         self.weights = np.repeat(np.array(FIRST_WEIGHTS, np.float32)[:, None], n * GATES, axis=1)
         start = 1 / (1 + np.exp(-(np.arange(MAP_CELLS) - MAP_CELLS / 2) / 2))
         self.map = np.tile(start.astype(np.float32), n)
-        self.bits = np.zeros(n)
+        self.nats = np.zeros(n)
         self.n = n
 
     def learn(self, lane: np.ndarray, key: np.ndarray, odds: np.ndarray, turn: np.ndarray) -> None:
         """Code some bits with the present weights, then follow them."""
-        mixed = np.take(self.weights[0], key, mode="clip") * odds[0]
+        mixed = np.take(self.weights[0], key, mode="clip")
+        mixed *= odds[0]
         for weights, one in zip(self.weights[1:], odds[1:], strict=True):
-            mixed += np.take(weights, key, mode="clip") * one
+            part = np.take(weights, key, mode="clip")
+            part *= one
+            mixed += part
         np.clip(mixed, -15, 15, out=mixed)
-        p = 1 / (1 + np.exp(-mixed))
-        cell = np.clip(mixed * 2 + np.float32(MAP_CELLS / 2 + 0.5), 0, MAP_CELLS - 1).astype(np.int64)
+        p = np.negative(mixed)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        mixed *= 2
+        mixed += np.float32(MAP_CELLS / 2 + 0.5)
+        cell = np.clip(mixed, 0, MAP_CELLS - 1, out=mixed).astype(np.int64)
         cell += lane * MAP_CELLS
         mapped = np.take(self.map, cell, mode="clip")
-        refined = np.clip((p + mapped) / 2, 1e-5, 1 - 1e-5)
-        said = np.log2(1 - np.abs(turn - refined))
-        self.bits -= np.bincount(lane, said, self.n)
-        error = turn - p
+        said = p + mapped  # the refined probability, then the logarithm of the bit's own
+        said /= 2
+        np.clip(said, 1e-5, 1 - 1e-5, out=said)
+        np.subtract(turn, said, out=said)
+        np.abs(said, out=said)
+        np.subtract(1, said, out=said)
+        np.log(said, out=said)
+        self.nats -= np.bincount(lane, said, self.n)
+        error = np.subtract(turn, p, out=p)
         for weights, one in zip(self.weights, odds, strict=True):
-            weights += np.float32(RATE) * np.bincount(key, error * one, self.n * GATES).astype(np.float32)
+            one *= error
+            weights += np.float32(RATE) * np.bincount(key, one, self.n * GATES).astype(np.float32)
         moved = np.bincount(cell, turn - mapped, self.n * MAP_CELLS)
         self.map += np.float32(MAP_RATE) * moved.astype(np.float32)
 
@@ -250,7 +266,7 @@ def _cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(shape)
-        counts = np.zeros(CELLS, np.int32)
+        counts, one = np.zeros(CELLS, np.int32), np.int32(1)
         seen = 0
 
         def found() -> Iterator[pa.RecordBatch]:
@@ -267,8 +283,7 @@ def _cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 text, limits, _ = joined_bytes(part.column(0))
                 known, base = classes[text], 0
                 for size, rows in zip(ROWS, context_rows(text, limits), strict=True):
-                    cells, n = np.unique(rows * COLUMNS + known, return_counts=True)
-                    counts[base + cells] += n.astype(np.int32)
+                    np.add.at(counts[base:base + size * COLUMNS], rows * COLUMNS + known, one)
                     base += size * COLUMNS
                 seen += len(text)
                 if seen >= 1 << 30:
