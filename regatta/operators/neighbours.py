@@ -6,9 +6,11 @@ here and both are spread out:
 
 * The plane is cut into cells of about ``CELL_ROWS`` rows by a k-d tree learnt from a sample
   (the sample only decides where rows are processed). A row whose neighbourhood stays inside
-  its cell is finished there; the others also ask the cells their neighbourhood touches.
-* On an axis, rows and interval ends meet in value ranges; a count is the difference of two
-  ranks, each the size of the ranges before plus a rank inside one.
+  its cell is finished there; the others also ask the cells their neighbourhood touches, of
+  which only the rows within reach of a border are sent.
+* On an axis, rows are dealt by value ranges. A row whose interval lies in its range is counted
+  there; for the others a count is the difference of two ranks, each the size of the ranges
+  before plus a rank inside one.
 
 A tiny jitter, part of the estimator, separates equal values, so a value shared by a third of
 the rows is still cut into cells. It is a function of the row's key, and the score therefore the
@@ -36,7 +38,12 @@ JITTER = 1e-10
 CELL_ROWS = 50_000
 SAMPLE_PER_CELL = 50
 MAX_CELLS = 1 << 18  # what the tree sent to every task may hold; with more rows, cells grow
-BLOCK = 64
+AXIS_CELLS = 16
+"""Cells' worth of rows in a value range of an axis."""
+BLOCK = 12
+"""Points of a block of nearby ones, at least; there are less than twice as many."""
+BLOCKS, QUERIES = 1 << 12, 1 << 12
+"""Blocks, and queries, that are looked at together."""
 
 
 def mutual_info_neighbours(
@@ -56,11 +63,13 @@ def mutual_info_neighbours(
     """
     require_columns(df, [*features, target])
 
+    rows, keys = _keyed(df, features, target, list(key_cols))
+
     def score(at: int) -> tuple:
-        rows, n = _plane(df, features[at], target, jitter, seed + at, list(key_cols))
+        plane, n = _plane(df, rows, keys, at, features[at], target, jitter, seed + at)
         if n <= neighbours:
             raise ValueError(f"{n} rows are too few for {neighbours} neighbours")
-        return features[at], at, _information(rows, n, neighbours, cell_rows)
+        return features[at], at, _information(plane, n, neighbours, cell_rows)
 
     with ThreadPoolExecutor(max_workers=max(1, n_jobs)) as pool:
         scores = list(pool.map(score, range(len(features))))
@@ -71,28 +80,36 @@ COPIES = 1_000_000
 """Equal rows that are numbered at a time."""
 
 
-def _keyed(df: DataFrame, x: Column, y: Column, key_cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """``x, y`` of rows that have both, and the columns that tell these rows apart."""
-    both = x.isNotNull() & y.isNotNull()
+def _keyed(df: DataFrame, features: list[str], target: str, key_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """``x0, x1 ... y``, and the columns that tell rows apart: without keys numbered, written once."""
+    xs = [col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    y = col(target).cast("double").alias("y")
     if key_cols:
         keys = [col(k).alias(f"k{i}") for i, k in enumerate(key_cols)]
-        return df.where(both).select(x.alias("x"), y.alias("y"), *keys), [f"k{i}" for i in range(len(keys))]
+        return df.select(*xs, y, *keys), [f"k{i}" for i in range(len(keys))]
     content = F.xxhash64(*[col(n) for n in df.columns]).alias("k")
-    alike = df.where(both).select(x.alias("x"), y.alias("y"), content).groupBy("x", "y", "k").count()
+    present = df.where(col(target).cast("double").isNotNull()).select(*xs, y, content)
+    alike = present.groupBy(*present.columns).count()
     lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0), F.expr(f"(count - 1) div {COPIES}"))))
     size = F.least(F.lit(COPIES), F.expr(f"count - lot * {COPIES}")).cast("int")
     numbered = lots.withColumn("i", F.explode(F.sequence(F.lit(1), size)))
-    return numbered.select("x", "y", "k", (F.col("lot") * COPIES + F.col("i")).alias("copy")), ["k", "copy"]
+    copy = (F.col("lot") * COPIES + F.col("i")).alias("copy")
+    return materialize(numbered.select(*present.columns, copy)), ["k", "copy"]
 
 
-def _plane(df: DataFrame, feature: str, target: str, jitter: float, seed: int, key_cols: list[str]):
+def _plane(
+    df: DataFrame, rows: DataFrame, keys: list[str], at: int, feature: str, target: str, jitter: float, seed: int
+):
     """``id, x, y`` scaled to unit deviation and jittered, written once; and the row count."""
-    pair, keys = _keyed(df, col(feature).cast("double"), col(target).cast("double"), key_cols)
-    s = pair.agg(
+    x, y = col(feature).cast("double"), col(target).cast("double")
+    both = df.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y"))
+    s = both.agg(
         F.count("*").alias("n"),
         *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate(
             (F.stddev_pop, lambda v: F.avg(F.abs(v))))],
     ).first()
+    own = F.col(f"x{at}")
+    pair = rows.where(own.isNotNull() & F.col("y").isNotNull()).select(own.alias("x"), "y", *keys)
     for i in range(4 if jitter else 0):
         pair = add_key_hash(pair, keys, f"__h{i}", 4 * seed + i)
 
@@ -110,8 +127,15 @@ def _plane(df: DataFrame, feature: str, target: str, jitter: float, seed: int, k
 
 
 def _information(rows: DataFrame, n: int, k: int, cell_rows: int) -> float:
-    radii = _radii(rows, n, k, cell_rows)
-    means = [_mean_digamma(radii, axis, n, cell_rows) for axis in ("x", "y")]
+    wanted = min(MAX_CELLS, -(-n // cell_rows))
+    sample = np.zeros((1, 2))
+    if wanted > 1:
+        share = min(1.0, wanted * SAMPLE_PER_CELL / n)
+        drawn = rows.sample(share, seed=1).select("x", "y").toPandas().to_numpy()
+        sample = drawn if len(drawn) else sample
+    radii = _radii(rows, k, plan_cells(sample, wanted))
+    parts = -(-n // (cell_rows * AXIS_CELLS))
+    means = [_sum_digamma(radii, axis, axis_edges(v, parts)) / n for axis, v in zip("xy", sample.T, strict=True)]
     return max(0.0, float(digamma_at(n) + digamma_at(k) - sum(means)))
 
 
@@ -121,13 +145,14 @@ def digamma_at(n: int) -> float:
     )
 
 
-def digamma(n: Column) -> Column:
+def digamma(n: Column | np.ndarray, log=F.ln) -> Column | np.ndarray:
     """Digamma of a positive whole number: shifted up by 8, then the asymptotic series."""
     m = n + 8.0
-    series = F.ln(m) - 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * F.pow(m, F.lit(4.0)))
+    square = m * m
+    series = log(m) - 1 / (2 * m) - 1 / (12 * square) + 1 / (120 * square * square)
     for j in range(8):
         series = series - 1 / (n + float(j))
-    return series - 1 / (252 * F.pow(m, F.lit(6.0)))
+    return series - 1 / (252 * square * square * square)
 
 
 # -- the plane -----------------------------------------------------------------------
@@ -200,19 +225,57 @@ def plan_cells(sample: np.ndarray, cells: int) -> _Cells:
     return _Cells(*map(np.array, (axis, cut, left, right, cell)), np.array(boxes))
 
 
-def blocks_of(x: np.ndarray, y: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
-    """Index blocks of nearby points, by halving the longer side."""
-    out, stack = [], [np.arange(len(x))]
-    while stack:
-        at = stack.pop()
-        if len(at) <= size:
-            if len(at):
-                out.append(at)
-            continue
-        v = x[at] if np.ptp(x[at]) >= np.ptp(y[at]) else y[at]
-        order = np.argpartition(v, len(at) // 2)
-        stack += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-    return out
+@dataclass
+class _Blocks:
+    """Points halved again and again along the longer side, into blocks of equal size.
+
+    ``places`` has a row of point numbers for each block; those from ``len(x) - 1`` on, infinitely
+    far away, fill blocks up. ``boxes`` has what encloses each node, for each halving.
+    """
+
+    x: np.ndarray
+    y: np.ndarray
+    places: np.ndarray
+    boxes: list[tuple[np.ndarray, ...]]
+
+    def near(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray, best: np.ndarray):
+        """``(query, block, gap)`` where a gap between both leaves room up to reach and below the best."""
+        query, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for level, (x0, x1, y0, y1) in enumerate(self.boxes):
+            if level:
+                query, node = np.repeat(query, 2), np.repeat(2 * node, 2)
+                node[1::2] += 1
+            qx, qy = x[query], y[query]
+            gap = np.maximum(np.maximum(x0[node] - qx, qx - x1[node]), np.maximum(y0[node] - qy, qy - y1[node]))
+            gap = np.maximum(gap, 0.0)
+            hit = (gap <= reach[query]) & (gap < best[query])
+            query, node = query[hit], node[hit]
+        return query, node, gap[hit]
+
+
+def blocks_of(x: np.ndarray, y: np.ndarray, least: int = BLOCK) -> _Blocks:
+    n, levels = len(x), max(0, (len(x) // least).bit_length() - 1)
+    size = -(-n // (1 << levels))
+    px, py = np.append(x, np.inf), np.append(y, np.inf)
+    places = np.minimum(np.arange(size << levels), n)
+    for level in range(levels):
+        places = places.reshape(1 << level, -1)
+        vx, vy = px[places], py[places]
+        wide = np.ptp(vx, axis=1) >= np.ptp(vy, axis=1)
+        order = np.argpartition(np.where(wide[:, None], vx, vy), places.shape[1] // 2, axis=1)
+        places = np.take_along_axis(places, order, axis=1)
+    places = places.reshape(1 << levels, size)
+    filled = places == n
+    box = tuple(
+        found for p in (px, py)
+        for found in (p[places].min(axis=1), np.where(filled, -np.inf, p[places]).max(axis=1))
+    )
+    boxes = [box]
+    for _ in range(levels):
+        box = tuple((b[::2], b[1::2]) for b in box)
+        box = tuple((np.minimum, np.maximum)[i % 2](*pair) for i, pair in enumerate(box))
+        boxes.insert(0, box)
+    return _Blocks(px, py, places, boxes)
 
 
 def k_nearest(px, py, qx, qy, k: int, reach=None, same: bool = False) -> np.ndarray:
@@ -221,73 +284,78 @@ def k_nearest(px, py, qx, qy, k: int, reach=None, same: bool = False) -> np.ndar
     ``reach`` bounds what is worth finding. With ``same`` the queries are the points and a
     point is not its own neighbour; the bound then comes from its own block.
     """
-    out = np.full((len(qx), k), np.inf)
+    best = np.full((len(qx), k), np.inf)
     if not len(px):
-        return out
-    blocks = blocks_of(px, py)
-    box = np.array([(px[b].min(), px[b].max(), py[b].min(), py[b].max()) for b in blocks])
-    for q in blocks if same else blocks_of(qx, qy):
-        x, y = qx[q], qy[q]
-        if same:
-            near = _distances(x, y, x, y)
-            np.fill_diagonal(near, np.inf)
-            bound = np.partition(near, k - 1, axis=1)[:, k - 1] if len(q) > k else np.full(len(q), np.inf)
-        else:
-            bound = reach[q]
-        hit = (
-            (box[:, 0] <= (x + bound).max()) & (box[:, 1] >= (x - bound).min())
-            & (box[:, 2] <= (y + bound).max()) & (box[:, 3] >= (y - bound).min())
-        )
-        at = np.flatnonzero(hit)
-        if not len(at):
-            continue
-        found = np.concatenate([blocks[i] for i in at])
-        d = _distances(x, y, px[found], py[found])
+        return best
+    with np.errstate(invalid="ignore"):  # what fills blocks up is nowhere
+        blocks = blocks_of(px, py, max(BLOCK, 2 * (k + 1)))
+        own = np.full(len(qx), -1)
         if same:
-            d[found[None, :] == q[:, None]] = np.inf
-        if d.shape[1] > k:
-            d = np.partition(d, k - 1, axis=1)[:, :k]
-        out[q[:, None], np.arange(d.shape[1])[None, :]] = d
-    return np.sort(out, axis=1)
-
-
-def _distances(ax, ay, bx, by) -> np.ndarray:
-    return np.maximum(np.abs(ax[:, None] - bx[None, :]), np.abs(ay[:, None] - by[None, :]))
-
-
-def _radii(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
+            own = _within_blocks(blocks, k, best)
+            reach = best[:, -1].copy()
+        for a in range(0, len(qx), QUERIES):
+            part = slice(a, a + QUERIES)
+            query, block, gap = blocks.near(qx[part], qy[part], reach[part], best[part, -1])
+            query += a
+            other = block != own[query]
+            query, block, gap = query[other], block[other], gap[other]
+            order = np.lexsort((gap, query))
+            query, block, gap = query[order], block[order], gap[order]
+            while len(query):  # the nearest block of each query, and then what is still near enough
+                first = np.concatenate([[True], query[1:] != query[:-1]])
+                q, at = query[first], blocks.places[block[first]]
+                d = np.maximum(np.abs(blocks.x[at] - qx[q, None]), np.abs(blocks.y[at] - qy[q, None]))
+                d[d > reach[q, None]] = np.inf
+                best[q] = np.sort(np.partition(np.concatenate([best[q], d], axis=1), k - 1, axis=1)[:, :k], axis=1)
+                rest = ~first
+                rest[rest] = gap[rest] < best[query[rest], -1]
+                query, block, gap = query[rest], block[rest], gap[rest]
+    return best
+
+
+def _within_blocks(blocks: _Blocks, k: int, best: np.ndarray) -> np.ndarray:
+    """Puts the k smallest distances to other points of the same block into ``best``; the blocks."""
+    own, n = np.zeros(len(best) + 1, np.int64), len(best)
+    size = blocks.places.shape[1]
+    for a in range(0, len(blocks.places), BLOCKS):
+        at = blocks.places[a:a + BLOCKS]
+        x, y = blocks.x[at], blocks.y[at]
+        d = np.maximum(np.abs(x[:, :, None] - x[:, None, :]), np.abs(y[:, :, None] - y[:, None, :]))
+        d[:, np.arange(size), np.arange(size)] = np.inf
+        if size > k:
+            d = np.partition(d, k - 1, axis=2)[:, :, :k]
+        d = np.sort(d, axis=2)
+        there = at < n
+        best[at[there], :d.shape[2]] = d[there]
+        own[at] = np.arange(a, a + len(at))[:, None]
+    return own[:n]
+
+
+def _radii(rows: DataFrame, k: int, cells: _Cells) -> DataFrame:
     """``id, x, y, r``: the exact distance of every row to its k-th neighbour."""
-    spark = rows.sparkSession
-    wanted = min(MAX_CELLS, -(-n // cell_rows))
-    sample = np.zeros((1, 2))
-    if wanted > 1:
-        share = min(1.0, wanted * SAMPLE_PER_CELL / n)
-        drawn = rows.sample(share, seed=1).select("x", "y").toPandas().to_numpy()
-        sample = drawn if len(drawn) else sample
-    cells = plan_cells(sample, wanted)
-    shared = spark.sparkContext.broadcast(cells)
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
 
     @F.pandas_udf("bigint")
     def locate(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(shared.value.locate(np.column_stack([x, y])))
 
-    placed = rows.withColumn("cell", locate("x", "y"))
-
-    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+    def inside(key: tuple, table: pa.Table) -> pa.Table:
+        cell, x, y = key[0].as_py(), table["x"].to_numpy(), table["y"].to_numpy()
         near = k_nearest(x, y, x, y, k, same=True)
         r = near[:, k - 1]
-        x0, x1, y0, y1 = shared.value.boxes[key[0]]
+        x0, x1, y0, y1 = shared.value.boxes[cell]
         open_ = (x - r < x0) | (x + r >= x1) | (y - r < y0) | (y + r >= y1)
-        return pd.DataFrame(
-            {"id": pdf["id"], "cell": key[0], "x": x, "y": y, "r": r, "open": open_, "near": list(near)}
-        )
+        ends = np.concatenate([[0], np.cumsum(open_ * k)]).astype(np.int32)
+        return pa.table({
+            "id": table["id"], "cell": np.full(len(x), cell), "x": x, "y": y, "r": r, "open": open_,
+            "near": pa.ListArray.from_arrays(ends, near[open_].ravel()),
+        })
 
     schema = "id bigint, cell bigint, x double, y double, r double, open boolean, near array<double>"
-    first = placed.groupBy("cell").applyInPandas(inside, schema)
+    placed = rows.withColumn("cell", locate("x", "y"))
+    first = materialize(placed.groupBy("cell").applyInArrow(inside, schema))
     if len(cells.boxes) == 1:
-        return materialize(first.select("id", "x", "y", "r"))
-    first = materialize(first)
+        return first.select("id", "x", "y", "r")
 
     def asked(batches):
         for batch in batches:
@@ -297,6 +365,13 @@ def _radii(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
             other = c != t["cell"].to_numpy()[q]
             q, c = q[other], c[other]
             out = {"cell": c, "id": t["id"].to_numpy()[q], "x": xy[q, 0], "y": xy[q, 1], "r": r[q, 0]}
+            box = shared.value.boxes[c]
+            for i, name in enumerate(("left", "right", "below", "above")):  # the asked row lies there
+                v = xy[q, i // 2]
+                if i % 2:
+                    out[name] = np.where(v >= box[:, i], v - out["r"], np.inf)
+                else:
+                    out[name] = np.where(v < box[:, i], v + out["r"], -np.inf)
             yield pa.RecordBatch.from_pydict(out)
 
     def across(key: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
@@ -309,71 +384,105 @@ def _radii(rows: DataFrame, n: int, k: int, cell_rows: int) -> DataFrame:
         keep = d <= np.repeat(queries["r"].to_numpy(), near.shape[1])
         return pd.DataFrame({"id": ids[keep], "d": d[keep]})
 
-    ask = first.where("open").select("cell", "id", "x", "y", "r").mapInArrow(
-        asked, "cell bigint, id bigint, x double, y double, r double"
+    opened = first.where("open")
+    ask = materialize(opened.select("cell", "id", "x", "y", "r").mapInArrow(
+        asked, "cell bigint, id bigint, x double, y double, r double, "
+        "left double, right double, below double, above double",
+    ))
+    reach = ask.groupBy("cell").agg(
+        F.max("left").alias("left"), F.min("right").alias("right"),
+        F.max("below").alias("below"), F.min("above").alias("above"),
     )
+    points = first.join(F.broadcast(reach), "cell").where(
+        "x <= left or x >= right or y <= below or y >= above"
+    ).select("cell", "x", "y")
     found = (
-        ask.groupBy("cell")
-        .cogroup(placed.groupBy("cell"))
+        ask.select("cell", "id", "x", "y", "r").groupBy("cell")
+        .cogroup(points.groupBy("cell"))
         .applyInPandas(across, "id bigint, d double")
         .groupBy("id")
         .agg(F.collect_list("d").alias("more"))
     )
     every = F.concat("near", F.coalesce("more", F.array().cast("array<double>")))
     exact = F.element_at(F.array_sort(every), k)
-    return materialize(first.join(found, "id", "left").select("id", "x", "y", exact.alias("r")))
+    asking = materialize(opened.join(found, "id", "left").select("id", "x", "y", exact.alias("r")))
+    return first.where("not open").select("id", "x", "y", "r").unionByName(asking)
 
 
 # -- the axes ------------------------------------------------------------------------
 
 
-def _mean_digamma(radii: DataFrame, axis: str, n: int, cell_rows: int) -> float:
-    """Mean of digamma(rows strictly closer than r on one axis, the row itself included)."""
+def axis_edges(sample: np.ndarray, parts: int) -> np.ndarray:
+    """Limits of value ranges with about as many rows each; the sample decides nothing else."""
+    if parts <= 1:
+        return np.zeros(0)
+    found = np.unique(np.quantile(sample, np.arange(1, parts + 1) / (parts + 1), method="nearest"))
+    return (found[1:] + found[:-1]) / 2  # between values, so rounding cannot cross an edge
+
+
+def _sum_digamma(radii: DataFrame, axis: str, edges: np.ndarray) -> float:
+    """Sum of digamma(rows strictly closer than r on one axis, the row itself included)."""
     spark = radii.sparkSession
-    parts = min(MAX_CELLS, -(-n // cell_rows))
-    edges = np.zeros(0)
-    if parts > 1:
-        levels = [i / parts for i in range(1, parts)]
-        found = np.unique(radii.agg(F.percentile_approx(axis, levels, max(10_000, 4 * parts))).first()[0])
-        edges = (found[1:] + found[:-1]) / 2  # between values, so rounding cannot cross an edge
     shared = spark.sparkContext.broadcast(edges)
 
-    @F.pandas_udf("bigint")
-    def range_of(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, v.to_numpy(), side="right"))
-
-    v = F.col(axis)
-    ends = F.array(
-        F.struct(F.lit(0).alias("side"), v.alias("at")),  # the row itself
-        F.struct(F.lit(1).alias("side"), (v + F.col("r")).alias("at")),
-        F.struct(F.lit(-1).alias("side"), (v - F.col("r")).alias("at")),
-    )
-    sent = radii.select("id", v.alias("v"), "r", F.inline(ends)).withColumn("part", range_of("at"))
-    sizes = radii.select(range_of(axis).alias("part")).groupBy("part").count().collect()
-    before = np.zeros(len(edges) + 2, dtype=np.int64)
-    for row in sizes:
-        before[row["part"] + 1] = row["count"]
-    starts = spark.sparkContext.broadcast(np.cumsum(before))
-
-    def ranks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["side"].to_numpy()
-        points = np.sort(pdf["v"].to_numpy()[side == 0])
-        out = []
+    def dealt(batches):
+        """Rows to the range of their value, and interval ends beyond it to theirs."""
+        for batch in batches:
+            i, v, r = (c.to_numpy() for c in batch.columns)
+            part = np.searchsorted(shared.value, v, side="right")
+            for side in (0, 1, -1):
+                to, at = part, slice(None)
+                if side:
+                    to = np.searchsorted(shared.value, v + side * r, side="right")
+                    at = np.flatnonzero(to != part)
+                yield pa.RecordBatch.from_pydict({
+                    "part": to[at], "side": np.full(len(v[at]), side, np.int32), "id": i[at], "v": v[at], "r": r[at],
+                })
+
+    def ranks(key: tuple, table: pa.Table) -> pa.Table:
+        """The ranks of ends whose row or other end is elsewhere; a row of side 0 sums up the rest."""
+        part = key[0].as_py()
+        side, ids, v, r = (table[c].to_numpy() for c in ("side", "id", "v", "r"))
+        rows = np.flatnonzero(side == 0)
+        rows = rows[np.argsort(v[rows])]
+        points, out = v[rows], []
+        here, n = np.ones(len(rows), bool), np.zeros(len(rows), np.int64)
+        inner = {}
         for s in (1, -1):
-            q = pdf[side == s]
-            center, r, at = q["v"].to_numpy(), q["r"].to_numpy(), q["at"].to_numpy()
-            found = closer_rank(points, center, r, at, upper=s == 1)
-            out.append(pd.DataFrame({"id": q["id"], "n": s * (found + starts.value[key[0]])}))
-        return pd.concat(out)
-
-    counted = (
-        sent.groupBy("part")
-        .applyInPandas(ranks, "id bigint, n bigint")
-        .groupBy("id")
-        .agg(F.sum("n").cast("double").alias("n"))
+            at = points + s * r[rows]
+            inner[s] = np.searchsorted(shared.value, at, side="right") == part
+            here &= inner[s]
+        for s in (1, -1):
+            q = np.concatenate([rows[inner[s]], np.flatnonzero(side == s)])
+            found = closer_rank(points, v[q], r[q], v[q] + s * r[q], upper=s == 1)
+            mine = np.flatnonzero(inner[s])
+            n[mine] += s * found[:len(mine)]
+            left = np.concatenate([~here[mine], np.ones(len(q) - len(mine), bool)])
+            out.append((ids[q[left]], s, found[left]))
+        # a neighbour at distance 0 leaves no row strictly closer, the row itself included
+        total = float(digamma(np.maximum(n[here], 1).astype(float), np.log).sum())
+        count = [len(i) for i, _, _ in out]
+        return pa.table({
+            "part": np.full(1 + sum(count), part),
+            "side": np.repeat(np.array([0, 1, -1], np.int32), [1, *count]),
+            "id": np.concatenate([[0], *(i for i, _, _ in out)]).astype(np.int64),
+            "n": np.concatenate([[len(rows)], *(f for _, _, f in out)]).astype(np.int64),
+            "total": np.concatenate([[total], np.zeros(sum(count))]),
+        })
+
+    sent = radii.select("id", axis, "r").mapInArrow(dealt, "part bigint, side int, id bigint, v double, r double")
+    counted = materialize(
+        sent.groupBy("part").applyInArrow(ranks, "part bigint, side int, id bigint, n bigint, total double")
+    )
+    sums = sorted(counted.where("side = 0").select("part", "n", "total").collect())
+    total = math.fsum(row["total"] for row in sums)
+    before = np.cumsum([0, *(row["n"] for row in sums)]).tolist()
+    starts = spark.createDataFrame(
+        [(row["part"], start) for row, start in zip(sums, before[:-1], strict=True)], "part bigint, start bigint"
     )
-    # a neighbour at distance 0 leaves no row strictly closer, the row itself included
-    return counted.agg(F.avg(digamma(F.greatest("n", F.lit(1.0))))).first()[0]
+    ends = counted.where("side <> 0").join(F.broadcast(starts), "part")
+    apart = ends.groupBy("id").agg(F.sum(F.col("side") * (F.col("n") + F.col("start"))).cast("double").alias("n"))
+    return total + (apart.agg(F.sum(digamma(F.greatest("n", F.lit(1.0))))).first()[0] or 0.0)
 
 
 def closer_rank(points, center, r, at, upper: bool) -> np.ndarray:

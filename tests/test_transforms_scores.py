@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regatta.operators import metrics, scoring, transforms
+from regatta.operators import neighbours
 from regatta.operators.mutual_info import mutual_info_binned
 from regatta.operators.neighbours import closer_rank, k_nearest, mutual_info_neighbours
 
@@ -145,6 +146,35 @@ def test_k_nearest_across_point_sets():
     np.testing.assert_array_equal(k_nearest(p[:, 0], p[:, 1], q[:, 0], q[:, 1], 3, reach), want)
 
 
+def test_points_in_one_place_ask_no_other_block(monkeypatch):
+    asked, near = [], neighbours._Blocks.near
+
+    def counted(self, *args):
+        found = near(self, *args)
+        asked.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(neighbours._Blocks, "near", counted)
+    one = np.ones(5000)
+    assert not k_nearest(one, one, one, one, 3, same=True).any() and sum(asked) == 0
+    x, y = np.random.default_rng(3).random((2, 5000))  # a few blocks of 24 points at most, not 64 x all around
+    k_nearest(x, y, x, y, 3, same=True)
+    assert sum(asked) < 5 * 5000
+
+
+def test_intervals_on_an_axis_in_and_across_ranges(spark):
+    rng = np.random.default_rng(8)
+    x, r = np.round(rng.random(400), 2), rng.random(400) ** 4
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, r))]
+    radii = spark.createDataFrame(rows, "id bigint, x double, r double").repartition(3)
+    n = np.maximum((abs(x[:, None] - x) < r[:, None]).sum(1), 1)
+    want = neighbours.digamma(n.astype(float), np.log).sum()
+    for parts in (1, 2, 40):
+        edges = neighbours.axis_edges(x[::3], parts)
+        assert len(edges) < max(parts, 1)
+        assert abs(neighbours._sum_digamma(radii, "x", edges) - want) < 1e-9
+
+
 def test_closer_rank_decides_by_distance():
     points = np.sort(np.random.default_rng(4).random(500)) * 1e3
     center = points[100:200]
