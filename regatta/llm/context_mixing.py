@@ -43,6 +43,8 @@ _SCALE = 16.0
 """Log odds are kept in sixteenths, from -8 to 8."""
 CHUNK_BYTES = 1 << 19
 """Text that a task scores in one go; more lanes run faster and take more memory."""
+COUNT_BYTES = 1 << 16
+"""Text that a task counts in one go; its arrays stay in the processor's cache."""
 BLOCK_TOKENS = 1 << 19
 BUCKET_WORDS = 1 << 20
 """Distinct words of a bucket, about."""
@@ -58,36 +60,44 @@ SENT = "block long, bucket int, kind int, payload binary"
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, common.Words]:
     """The byte strings that are scored, one after the other, their limits, and their words."""
     data, offsets = common.buffers(column)
-    words = common.Words(data, offsets)
-    sizes = words.end - words.start + 1
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    inside = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-    at = np.repeat(words.start, sizes) + inside
-    last = inside == np.repeat(sizes, sizes) - 1
-    out = np.full(len(at), 32, np.uint8)
-    out[~last] = data[at[~last]]
-    upper = (out >= 65) & (out <= 90)
-    out[upper] += 32
-    limits = ends[words.first]
-    empty = np.flatnonzero(limits[1:] == limits[:-1])
-    out[limits[1:][limits[1:] > limits[:-1]] - 1] = END
-    out = np.insert(out, limits[empty], END)
-    return out, limits + np.searchsorted(empty, np.arange(len(limits))), words
+    return *_joined(data, offsets), common.Words(data, offsets)
+
+
+_WRITTEN = np.arange(256, dtype=np.uint8)
+_WRITTEN[65:91] += 32
+_WRITTEN[common.WHITE] = 32
+
+
+def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings that are scored and their limits."""
+    data = np.insert(data, offsets[1:], 32)  # a separator after each text
+    last = offsets[1:] + np.arange(len(offsets) - 1)
+    gap = common.WHITE[data]
+    kept = ~gap
+    kept[1:] |= ~gap[:-1]
+    sizes = np.add.reduceat(kept, np.concatenate([[0], last[:-1] + 1]), dtype=np.int64) if len(last) else last
+    empty = sizes == 0
+    kept[last[empty]] = True
+    sizes[empty] = 1
+    limits = np.concatenate([[0], np.cumsum(sizes)])
+    out = _WRITTEN[data[kept]]
+    out[limits[1:] - 1] = END
+    return out, limits
 
 
 def context_rows(text: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
     """For each byte the row of each predictor's context."""
-    n = len(text)
-    place = np.arange(n) - np.repeat(limits[:-1], np.diff(limits))
+    n, first = len(text), limits[:-1]
     near = np.zeros((4, n), np.uint32)
     for k in range(1, 5):
         near[k - 1, k:] = text[:-k]
-        near[k - 1, place < k] = 0
+        for j in range(k):
+            near[k - 1, first[first + j < limits[1:]] + j] = 0
     two = near[0] | near[1] << np.uint32(8)
     four = two | near[2] << np.uint32(16) | near[3] << np.uint32(24)
-    opens = (place == 0) | (near[0] == 32)
-    start = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-    word = common.spans_hash(text, start, np.arange(n))
+    opens = near[0] == 32
+    opens[first] = True
+    word = common.prefix_hashes(text, np.flatnonzero(opens))
     factor = np.uint32(2654435761)
     return [
         near[0].astype(np.int64), ((two * factor) >> np.uint32(18)).astype(np.int64),
@@ -260,27 +270,33 @@ def _byte_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
+COUNTS = "slice int, cells binary, counts binary"
+
+
 def _cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """How often each class of bytes followed each context row, over the rows to learn from."""
-    shape = "cell int, n long"
+    """How often each class of bytes followed each context row, over the rows to learn from.
+
+    A row has the counts that a task found in a slice of cells.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(shape)
         counts, one = np.zeros(CELLS, np.int32), np.int32(1)
         seen = 0
 
         def found() -> Iterator[pa.RecordBatch]:
-            cells = np.flatnonzero(counts)
-            for a in range(0, len(cells), 1 << 17):
-                part = cells[a:a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], schema=schema
-                )
+            for k in range(0, CELLS, _SLICE):
+                part = counts[k:k + _SLICE]
+                cells = np.flatnonzero(part)
+                if len(cells):
+                    payload = [[_planes(x)] for x in (np.diff(cells, prepend=0), part[cells])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k // _SLICE], pa.int32()), *(pa.array(x, pa.binary()) for x in payload)
+                    ], schema=arrow_schema(COUNTS))
             counts[:] = 0
 
         for batch in batches:
-            for part in common.chunks(batch, "text", CHUNK_BYTES // 2):
-                text, limits, _ = joined_bytes(part.column(0))
+            for part in common.chunks(batch, "text", COUNT_BYTES):
+                text, limits = _joined(*common.buffers(part.column(0)))
                 known, base = classes[text], 0
                 for size, rows in zip(ROWS, context_rows(text, limits), strict=True):
                     np.add.at(counts[base:base + size * COLUMNS], rows * COLUMNS + known, one)
@@ -291,32 +307,40 @@ def _cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                     seen = 0
         yield from found()
 
-    return docs.select("text").mapInArrow(count, shape).groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, COUNTS)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, first the lowest byte of each, then the next."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
 
 
 def train(docs: DataFrame) -> Model:
     """Predictors from all rows of (text); an empty table gives even odds everywhere.
 
-    Counts are summed by cell in Spark; the odds are worked out slice by slice on executors, and
-    only they, a byte for each cell, reach the driver.
+    Counts are summed and the odds are worked out slice by slice on executors, and only the odds,
+    a byte for each cell, reach the driver.
     """
     code = Code(_byte_counts(docs))
     sent = docs.sparkSession.sparkContext.broadcast(code)
     shape = "slice int, odds binary"
 
-    def odds(table: pa.Table) -> pa.Table:
-        cell = table["cell"].to_numpy()
-        part = int(cell[0]) // _SLICE
-        dense = np.zeros(_SLICE, np.float32)
-        dense[cell - part * _SLICE] = table["n"].to_numpy()
-        found = sent.value.odds(dense.reshape(-1, COLUMNS)).tobytes()
-        return pa.table(
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, part = np.zeros(_SLICE, np.int64), None
+        for batch in batches:
+            for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                dense[np.cumsum(_numbers(cells), dtype=np.int64)] += _numbers(counts)
+        found = sent.value.odds(dense.astype(np.float32).reshape(-1, COLUMNS)).tobytes()
+        yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([found], pa.binary())], schema=arrow_schema(shape)
         )
 
     flat = np.zeros(-(-CELLS // _SLICE) * _SLICE, np.int8)
-    slices = _cells(docs, code.classes).withColumn("slice", F.floor(F.col("cell") / _SLICE).cast("int"))
-    for row in slices.groupBy("slice").applyInArrow(odds, shape).collect():
+    for row in _cells(docs, code.classes).groupBy("slice").applyInArrow(odds, shape).collect():
         flat[row["slice"] * _SLICE:(row["slice"] + 1) * _SLICE] = np.frombuffer(row["odds"], np.int8)
     limits = COLUMNS * np.concatenate([[0], np.cumsum(ROWS)])
     return Model(code, [flat[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)])

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from regatta.llm import common
 from regatta.llm import context_mixing as cm
 from regatta.llm import queries
 
@@ -116,3 +117,31 @@ def test_table(spark, sf):
     assert len(rows) == 1000 and 60 < len(held) < 140
     assert sum(r.bits_per_byte * r.n_bytes for r in held) / sum(r.n_bytes for r in held) < 3
     assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
+
+
+def test_training_counts_are_sent_in_slices(spark):
+    """A row for each slice and task, not one for each cell, with every byte counted once in each table."""
+    docs = spark.createDataFrame([(t,) for t in TEXTS * 3], "text string").repartition(2)
+    classes = cm.Code(np.arange(256)).classes
+    rows = cm._cells(docs, classes).collect()
+    assert len(rows) <= 2 * (-(-cm.CELLS // cm._SLICE))
+    counts = np.zeros(-(-cm.CELLS // cm._SLICE) * cm._SLICE, np.int64)
+    for r in rows:
+        cells = np.cumsum(cm._numbers(r["cells"]), dtype=np.int64)
+        assert (cells < cm._SLICE).all()
+        counts[r["slice"] * cm._SLICE + cells] += cm._numbers(r["counts"])
+    text, limits, _ = cm.joined_bytes(pa.array(TEXTS, pa.string()))
+    want, base = np.zeros_like(counts), 0
+    for size, found in zip(cm.ROWS, cm.context_rows(text, limits)):
+        np.add.at(want, base + found * cm.COLUMNS + classes[text], 3)
+        base += size * cm.COLUMNS
+    assert np.array_equal(counts, want)
+
+
+def test_numbers_by_planes_and_hashes_of_beginnings():
+    numbers = np.array([0, 1, 255, 256, 2**31 + 7, 2**32 - 1], np.int64)
+    assert cm._numbers(cm._planes(numbers)).tolist() == numbers.tolist()
+    data = np.random.default_rng(5).integers(0, 256, 500).astype(np.uint8)
+    opens = np.array([0, 1, 40, 41, 499])
+    start = np.repeat(opens, np.diff(opens, append=500))
+    assert np.array_equal(common.prefix_hashes(data, opens), common.spans_hash(data, start, np.arange(500)))
