@@ -3,7 +3,8 @@
 Every stage but the last keeps all columns of the documents, whatever their names. A null text
 counts as empty in each and stays null; repeated rows are judged alike, and the second stage keeps
 one of them; an empty table stays empty. Texts are read as a whole, however long. Column names with
-dots are refused: Spark does not hand such columns to Arrow functions.
+dots are refused: Spark does not hand such columns to Arrow functions. Each stage bounds the rows
+of the session's Arrow batches, as its result is computed after it returns; results do not change.
 """
 
 from __future__ import annotations
@@ -16,10 +17,20 @@ from regatta.llm import ngram_join, packing, queries, secret_scan, toxicity, wu_
 from regatta.llm.carried import free_name, moved_aside, quoted
 from regatta.session import ship_package
 
+BATCH_ROWS = 1000
+"""Documents that pass between Spark and a Python worker at a time: whole texts, held by both."""
+
+
+def _prepared(spark: SparkSession) -> None:
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.7; the classifier learns from the labels."""
-    ship_package(spark)
+    _prepared(spark)
     known = queries.toxicity_classifier(docs, queries.table(spark, sf_dir, "labels"))
     score = free_name(docs, "_score")
     return toxicity.score(docs, known, to=score).where(F.col(score) < 0.7).drop(score)
@@ -27,13 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
-    ship_package(spark)
+    _prepared(spark)
     return ngram_join.one_of_each(docs, ngram_join.link_components(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    ship_package(spark)
+    _prepared(spark)
     aside, places = moved_aside(docs, "n_words", "hit_words", "hit_items")
     found = wu_manber.find_passages(aside, queries.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hit_words") == 0).select(*map(quoted, places)).toDF(*docs.columns)
@@ -41,7 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` counted anew."""
-    ship_package(spark)
+    _prepared(spark)
     model = secret_scan.MarkovRatio(secret_scan.labelled_samples(docs))
     aside, places = moved_aside(docs, *secret_scan.KINDS)
     found = secret_scan.scan(aside, model, cut=True)
@@ -52,7 +63,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows."""
-    ship_package(spark)
+    _prepared(spark)
     return packing.pack(docs, public_tokenizers.path(queries.TOKENIZER))
 
 
