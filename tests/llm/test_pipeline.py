@@ -87,3 +87,15 @@ def test_columns_of_any_name_stay(spark, sf):
         got = found.collect()
         assert got, name
         assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+
+
+def test_a_stage_bounds_the_rows_of_batches(spark, sf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    try:
+        for value, want in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (7, 7)):
+            spark.conf.set(name, value)
+            corpus_pipeline.pack(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, was)
