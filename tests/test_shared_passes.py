@@ -249,3 +249,46 @@ def test_kernel_sums_are_made_in_blocks_of_rows(monkeypatch):
     w = sum(0.25 / np.maximum(np.abs(s * gap - 0.1), 1.0) for s in (1, -1))
     assert np.allclose(state[1], (phi * w[:, None]).T @ phi)
     assert np.isclose(state[0][0], np.clip(np.abs(gap) - 0.1, 0, None).sum())
+
+
+def test_passes_read_packed_rows(rows, monkeypatch):
+    """Every row lies once in a record of its own fold, bit for bit, also in small records and runs."""
+    monkeypatch.setattr(together, "RECORD_BYTES", 200)
+    monkeypatch.setattr(together, "RUN_ROWS", 16)
+    t = source(rows.withColumn("fold", F.when(F.col("id") % 9 > 0, F.col("fold"))))
+    found = t.packed().collect()
+    assert len(found) >= 240 / 5 and {r["fold"] for r in found} == {-1, 0, 1, 2}
+    got = sorted(
+        (r["fold"], *v[:-1].tolist(), int(v[-1:].view(np.int64)[0]))
+        for r in found for v in np.frombuffer(bytes(r["block"])).reshape(-1, 5))
+    assert got == sorted((-1 if r["fold"] is None else r["fold"], r.f0, r.f1, r.f2, r.y0, r.h) for r in t.rows.collect())
+    x, _ = numbers()
+    small = search.fit_jobs(t, "SVR", [Job(JOBS["SVR"], 1, fold=2)])[0]
+    assert t._packed is None
+    monkeypatch.undo()
+    np.testing.assert_allclose(
+        small.decide(x), search.fit_jobs(t, "SVR", [Job(JOBS["SVR"], 1, fold=2)])[0].decide(x), rtol=1e-9)
+
+
+def test_landmarks_sort_few_rows(monkeypatch):
+    """Only rows whose draw is small enough are sorted, and the same ones are found, ties included."""
+    rng = np.random.default_rng(5)
+    step, sizes, least = svr._Landmarks(20, 3, 2), [], svr._Landmarks._least
+    h, x = rng.integers(0, 3000, 6000), rng.integers(0, 9, (6000, 2)).astype(float)
+    monkeypatch.setattr(svr._Landmarks, "_least", lambda s, r: sizes.append(len(r)) or least(s, r))
+    state = step.start()
+    for at in range(0, 6000, 1000):
+        step.add(state, x[at:at + 1000], None, h[at:at + 1000])
+    assert max(sizes) <= 100
+    everything = np.column_stack([svr.row_uniform(h, 0, 3), x])
+    np.testing.assert_array_equal(state[0], least(step, everything))
+
+
+def test_kernel_values():
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(30, 3)) * 4, rng.normal(size=(7, 3)) * 4
+    apart = ((a[:, None] - b[None]) ** 2).sum(2)
+    np.testing.assert_allclose(svr.kernel(a, b, {"gamma": 0.3}), np.exp(-0.3 * apart), rtol=1e-12)
+    for degree in range(7):
+        p = {"kernel": "poly", "gamma": 0.2, "coef0": 0.5, "degree": degree}
+        np.testing.assert_allclose(svr.kernel(a, b, p), (0.2 * a @ b.T + 0.5) ** degree, rtol=1e-11)
