@@ -292,3 +292,17 @@ def test_kernel_values():
     for degree in range(7):
         p = {"kernel": "poly", "gamma": 0.2, "coef0": 0.5, "degree": degree}
         np.testing.assert_allclose(svr.kernel(a, b, p), (0.2 * a @ b.T + 0.5) ** degree, rtol=1e-11)
+
+
+def test_predictions_are_made_in_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 3))
+    model = svr.SvrModel("SVR", ["a", "b", "c"], {"kernel": "rbf", "gamma": 0.3})
+    model.center, model.scale, model.landmarks = np.ones(3), np.full(3, 2.0), x[:256]
+    model.root, model.weights, model.intercept = rng.normal(size=(256, 9)), rng.normal(size=9), 2.0
+    want = model.mapped(x) @ model.weights + 2.0
+    sizes, kernel = [], svr.kernel
+    monkeypatch.setattr(svr, "kernel", lambda a, b, p: sizes.append(len(a)) or kernel(a, b, p))
+    np.testing.assert_allclose(model.decide(x), want, rtol=1e-9, atol=1e-9)
+    assert sum(sizes) == 5000 and max(sizes) <= 1024
+    assert model.decide(x[:0]).shape == (0,)
